@@ -184,7 +184,7 @@ def run_status(
     """
     keys = list(keys)
     df = with_hold_window(decisions, policy.alert_hold_seconds, keys, block_us)
-    df = blocked.with_next(df, keys, ["ts_us", "row_id"], {"_next": "ts_us"}, blocked.time_block(block_us))
+    df = blocked.with_next(df, keys, ["ts_us", "row_id"], {"_nts": "ts_us"}, blocked.time_block(block_us))
     peak = F.col("peak_score")
     hit = F.coalesce((peak != 0) & S.is_hit(peak, policy.threshold, policy.lower_is_attack), F.lit(False))
     own, held = S.norm_status("status"), F.col("hold_status")
@@ -201,7 +201,7 @@ def run_status(
     )
     idle_us = _us(policy.runtime_idle_reset_s)
     idle_from = F.col("ts_us") + F.lit(idle_us + 1)
-    silent = F.col("_next").isNull() | (F.col("_next") > F.col("ts_us") + F.lit(idle_us))
+    silent = F.col("_nts").isNull() | (F.col("_nts") > F.col("ts_us") + F.lit(idle_us))
     state = lambda t, st, rs, ph, sig, score: F.struct(
         t.alias("at_us"), st.alias("run_status"), rs.alias("run_reason"), ph.alias("run_phase"),
         sig.alias("active_signals"), score.alias("display_score"),

@@ -18,11 +18,11 @@ _FIRST = Window.unboundedPreceding
 _G, _V, _R = "_group", "_value", "_range"
 
 
-def _range_of(v: Column, borders: Column, side: int) -> Column:
-    """Number of borders below ``v``: ``side`` wide steps, then single ones."""
-    wide = F.filter(borders, lambda x, i: (F.pmod(i + 1, F.lit(side)) == 0) & (x < v))
+def _count_while(items: Column, test, side: int) -> Column:
+    """How many leading items pass ``test`` (monotone): ``side`` wide steps, then single ones."""
+    wide = F.filter(items, lambda x, i: (F.pmod(i + 1, F.lit(side)) == 0) & test(x))
     skip = F.size(wide) * side
-    fine = F.filter(F.slice(borders, skip + 1, F.lit(side)), lambda x: x < v)
+    fine = F.filter(F.slice(items, skip + 1, F.lit(side)), test)
     return (skip + F.size(fine)).cast("long")
 
 
@@ -51,7 +51,7 @@ def cumulative(
     cuts = F.array(*[F.lit(i / n) for i in range(1, n)])
     borders = base.groupBy(_G).agg(F.percentile_approx(_V, cuts, F.lit(max(1000, 4 * n))).alias("_borders"))
     # one row per group: fixed small size
-    placed = distinct.join(F.broadcast(borders), _G).withColumn(_R, _range_of(F.col(_V), F.col("_borders"), side))
+    placed = distinct.join(F.broadcast(borders), _G).withColumn(_R, _count_while(F.col("_borders"), lambda x: x < F.col(_V), side))
     placed = placed.drop("_borders")
     per = placed.groupBy(_G, _R).agg(*[F.sum(s).alias(f"_s_{s}") for s in names])
     w = Window.partitionBy(_G)
@@ -86,21 +86,18 @@ def exact_quantiles(
 
 def quantiles_from(cum: DataFrame, at: Sequence[float]) -> DataFrame:
     """Quantiles of a ``cumulative`` table whose counter is ``n``."""
-    asks = F.array(
-        *[F.struct(F.lit(i).alias("q_index"), F.lit(float(q)).alias("q")) for i, q in enumerate(at)]
-    )
-    last = F.col("total_n") - 1
-    lo_of = lambda q: F.floor(q * last)
-    first, end = F.col("before_n"), F.col("before_n") + F.col("n")
-    # a value answers the asks whose lower or upper rank falls on it
-    mine = F.filter(
-        asks,
-        lambda a: ((lo_of(a["q"]) >= first) & (lo_of(a["q"]) < end))
-        | ((F.least(lo_of(a["q"]) + 1, last) >= first) & (F.least(lo_of(a["q"]) + 1, last) < end)),
-    )
-    hits = cum.withColumn("_a", F.explode(mine)).select(
-        _G, "_a.q_index", "_a.q", "total_n", "before_n", (F.col("before_n") + F.col("n")).alias("_end"), _V
-    )
+    asked = sorted((float(q), i) for i, q in enumerate(at))
+    qs, index = F.array(*[F.lit(q) for q, _ in asked]), F.array(*[F.lit(i) for _, i in asked])
+    side = max(2, int(len(asked) ** 0.5))
+    last, first = F.col("total_n") - 1, F.col("before_n")
+    end = first + F.col("n")
+    below = lambda rank: _count_while(qs, lambda q: F.floor(q * last) < rank, side)
+    # a value answers the asks whose lower rank, or the rank above it, falls on it
+    hits = cum.withColumns({"_from": below(first - 1), "_to": below(end)}).filter(F.col("_from") < F.col("_to"))
+    hits = hits.withColumn("_a", F.explode(F.sequence(F.col("_from").cast("int"), (F.col("_to") - 1).cast("int")))).select(
+        _G, F.get(index, F.col("_a")).alias("q_index"), F.get(qs, F.col("_a")).alias("q"),
+        "total_n", "before_n", end.alias("_end"), _V,
+    )
     lo = F.floor(F.col("q") * (F.col("total_n") - 1))
     hi = F.least(lo + 1, F.col("total_n") - 1)
     on = lambda r: (r >= F.col("before_n")) & (r < F.col("_end"))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.operators import blocked
 from flowlens.operators.features import with_feature_vector
-from flowlens.operators.snapshots import vote_array, vote_label
+from flowlens.operators.snapshots import vote_array
 from flowlens.policy import DEFAULT_SCHEME
+from flowlens.session import stage
 
 KEYS = ["source_file", "conversation_key"]
 ORDER = ["ts_us", "row_id"]
@@ -99,13 +100,17 @@ def split_chronological(
 def window_groups(windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per key: voted label, window count, first and last time."""
     keys = list(keys)
-    label = vote_label(windows, keys, "any_attack_priority")
-    spans = windows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_windows"),
-        F.min("start_us").alias("start_us"),
-        F.max("end_us").alias("end_us"),
+    per = windows.groupBy(*keys, "label").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("start_us").alias("_s"), F.max("end_us").alias("_e")
+    )
+    text = F.col("label")
+    vote = F.struct(F.when(text != "Normal", F.col("_n")).otherwise(F.lit(0)), text)
+    return per.groupBy(*keys).agg(
+        F.sum("_n").alias("n_windows"),
+        F.min("_s").alias("start_us"),
+        F.max("_e").alias("end_us"),
+        F.max_by(text, vote).alias("label"),
     )
-    return spans.join(label, keys)
 
 
 def _counts_for_label(n: Column, train: float, val: float) -> tuple[Column, Column]:
@@ -144,7 +149,8 @@ def split_groups(
     """
     keys = list(keys)
     h = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k) for k in keys]))
-    df = groups.withColumn("_h", h)
+    # the ranks below read the groups four times; windows are built once
+    df = stage(groups, "groups").withColumn("_h", h)
     if mode == "temporal":
         order, block = ["start_us", "end_us", *reversed(keys)], blocked.time_block(block_us, "start_us")
     elif mode == "stratified":
@@ -217,8 +223,6 @@ def cap_train_normals(
         return normal
     df = normal.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
     df = df.withColumn("_b", _hash_block("_h"))
-    from pyspark.sql import Window
-
     counts = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"), "_c")

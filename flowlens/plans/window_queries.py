@@ -294,12 +294,12 @@ def _(t):
     return windows.coverage_warnings(windows.split_report(windows.split_groups(_groups(t))), 40, 10)
 
 
-@query("s4_prepared_splits", with_pieces("chrono", f"SELECT row_id, {_K}, split FROM chrono WHERE split = 'val'"))
+@query("s4_prepared_splits", with_pieces("chrono", f"SELECT row_id, {_K}, split FROM chrono WHERE split = 'train'"))
 def _(t):
     """Write the split rows partitioned by split, read one split back."""
     path = new_path(t.spark, "prepared")
     exports.write_prepared(windows.split_chronological(t.flows()).select("row_id", "source_file", "conversation_key", "split"), path)
-    return exports.read_prepared(t.spark, path, "val")
+    return exports.read_prepared(t.spark, path, "train")
 
 
 @query(
@@ -363,7 +363,7 @@ _QC = ["packet_count", "flow_duration_s", "avg_packet_size"]
         "flows",
         " UNION ALL ".join(
             f"""SELECT '{c}' AS feature, i AS q_index, round(i / 100.0::DOUBLE, 6) AS q, round(v, 6) AS value FROM
- (SELECT unnest(generate_series(0, 100)) AS i, unnest(quantile_cont({c}, list_transform(generate_series(0, 100), x -> x / 100.0::DOUBLE))) AS v FROM flows) t"""
+ (SELECT unnest(generate_series(0, 100)) AS i, unnest(quantile_cont({c}, [x / 100.0::DOUBLE for x in generate_series(0, 100)])) AS v FROM flows) t"""
             for c in _QC
         ),
     ),
