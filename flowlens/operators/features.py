@@ -146,20 +146,19 @@ def with_key(df: DataFrame, mode: str = "flow", name: str = "conversation_key")
     return df.withColumn(name, key_column(mode))
 
 
-_MATCH_SCHEMA = "array<map<string,struct<field:string,value:string>>>"
-
-
 def extract_match(df: DataFrame, json_col: str = "match") -> DataFrame:
     """Match fields from a JSON list ``[{"OXMTlv": {"field": .., "value": ..}}]``.
 
     Also reads bare ``{"field": .., "value": ..}`` items.  TCP ports win over
     UDP ports; missing numbers are -1, missing text is empty.
     """
-    nested = F.from_json(F.col(json_col), _MATCH_SCHEMA)
-    flat = F.from_json(F.col(json_col), "array<struct<field:string,value:string>>")
-    items = F.concat(
-        F.coalesce(F.flatten(F.transform(nested, lambda m: F.map_values(m))), F.array().cast("array<struct<field:string,value:string>>")),
-        F.coalesce(flat, F.array().cast("array<struct<field:string,value:string>>")),
+    # an object value of a string map is kept as its JSON text
+    maps = F.from_json(F.col(json_col), "array<map<string,string>>")
+    items = F.transform(
+        maps,
+        lambda m: F.when(
+            m["field"].isNotNull(), F.struct(m["field"].alias("field"), m["value"].alias("value"))
+        ).otherwise(F.from_json(F.get(F.map_values(m), F.lit(0)), "field string, value string")),
     )
     df = df.withColumn("_items", items)
 

@@ -129,6 +129,12 @@ LABEL_CASE = """CASE WHEN low IN ('','nan','none','normal','benign','background'
 PIECES: dict[str, tuple[tuple[str, ...], str]] = {
     name: ((), fixtures.SQL[name].format(us=fixtures.DUCK_US)) for name in fixtures.SQL
 }
+PIECES["poll_stats"] = (
+    (),
+    "SELECT * REPLACE (dst_port::BIGINT AS dst_port, protocol::BIGINT AS protocol) FROM ("
+    + fixtures.SQL["poll_stats"].format(us=fixtures.DUCK_US)
+    + ") t",
+)
 PIECES["labelled"] = (
     ("flow_export",),
     f"""SELECT *, {LABEL_CASE} AS label FROM (SELECT *,
