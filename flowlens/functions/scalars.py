@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from flowlens.policy import LABELS
 
 EPS = 1e-6
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Timestamp patterns tried in order, day first.
 TIMESTAMP_FORMATS = [
@@ -30,8 +29,11 @@ def col_of(c: Column | str) -> Column:
 
 def num(c: Column | str, default: float = 0.0) -> Column:
     """Text to double; bad text, NaN, infinities and nulls give ``default``."""
-    text = col_of(c).cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double")).otherwise(F.lit(default))
+    text = strip(c)
+    x = text.try_cast("double")
+    # the parser also takes type suffixes (1d, 1f) and hexadecimal floats
+    plain = ~F.lower(text).rlike("[dfx]")
+    return F.when(x.isNotNull() & plain, clean(x, default)).otherwise(F.lit(default))
 
 
 def finite_or(c: Column | str, nan: float = 0.0, inf: float = 1e6) -> Column:
@@ -50,7 +52,7 @@ def clean(c: Column | str, default: float = 0.0) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col_of(c).cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(col_of(c).cast("string"), F.lit(" \t\n\r\x0b\x0c"))
 
 
 def fold_text(c: Column | str) -> Column:
@@ -58,9 +60,11 @@ def fold_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(strip(c)), "_-", "  "), r"\s+", " "))
 
 
-def normalise_label(c: Column | str) -> Column:
-    text = strip(c)
-    low = fold_text(c)
+def label_of(low: Column, text: Column) -> Column:
+    """Class of a folded label; ``text`` is kept when no rule matches.
+
+    Pass columns, not expressions: every rule reads ``low`` again.
+    """
     return (
         F.when(low.isNull() | low.isin("", "nan", "none", "normal", "benign", "background"), "Normal")
         .when(low.contains("ddos"), "DDoS")
@@ -74,6 +78,12 @@ def normalise_label(c: Column | str) -> Column:
     )
 
 
+def normalise_label(c: Column | str) -> Column:
+    """Class of a raw label; the folded text is bound once per row."""
+    pair = F.array(F.struct(fold_text(c).alias("low"), strip(c).alias("text")))
+    return F.get(F.transform(pair, lambda p: label_of(p["low"], p["text"])), F.lit(0))
+
+
 def is_attack(label: Column | str) -> Column:
     return (col_of(label) != "Normal").cast("long")
 

@@ -154,8 +154,7 @@ def with_hold_window(
         S.status_rank("status").alias("rank"), F.col("score").alias("score"), category.alias("category")
     )
     both = F.struct(F.col("score").alias("peak"))
-    df = blocked.sliding_max(df, keys, worst, _us(hold_s), "_worst")
-    df = blocked.sliding_max(df, keys, both, _us(hold_s), "_peak")
+    df = blocked.sliding_max(df, keys, {"_worst": worst, "_peak": both}, _us(hold_s))
     df = blocked.sliding_totals(
         df, keys, _us(hold_s), {"signal_count": (S.status_rank("status") > 0).cast("long")}, block_us
     )
@@ -183,8 +182,9 @@ def run_status(
     NORMAL (phase ``idle``) until the next one.
     """
     keys = list(keys)
-    df = with_hold_window(decisions, policy.alert_hold_seconds, keys, block_us)
-    df = blocked.with_next(df, keys, ["ts_us", "row_id"], {"_nts": "ts_us"}, blocked.time_block(block_us))
+    # the look-ahead reads its input twice, so it comes before the windows
+    df = blocked.with_next(decisions, keys, ["ts_us", "row_id"], {"_nts": "ts_us"}, blocked.time_block(block_us))
+    df = with_hold_window(df, policy.alert_hold_seconds, keys, block_us)
     peak = F.col("peak_score")
     hit = F.coalesce((peak != 0) & S.is_hit(peak, policy.threshold, policy.lower_is_attack), F.lit(False))
     own, held = S.norm_status("status"), F.col("hold_status")

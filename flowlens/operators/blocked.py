@@ -338,34 +338,48 @@ def sliding_distinct(
 def sliding_max(
     df: DataFrame,
     keys: Sequence[str],
-    value: Column,
+    values: Mapping[str, Column],
     window_us: int,
-    name: str,
     ts: str = "ts_us",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """Exact maximum of ``value`` over ``[t - w, t]`` (rows seen so far).
+    """Exact maxima over ``[t - w, t]`` (rows seen so far); ``row_id`` must be unique.
 
     The line is cut into cells as long as the window.  A window is the tail of
     the previous cell plus the head of its own: the head is a running maximum,
-    the tail a running maximum taken backwards and read at ``t - w``.
+    the tail a running maximum taken backwards and read at ``t - w``.  Every row
+    goes to its own cell and, as a narrow question, to the one before.
     """
     w_us = F.lit(int(window_us))
+    names = list(values)
+    rows = df.withColumns({f"_v_{n}": values[n] for n in names})
+    wide = F.struct(*[F.col(c) for c in df.columns])
+    kinds = {n: rows.schema[f"_v_{n}"].dataType for n in names}
     cell = lambda t: F.floor(t / w_us).cast("long")
-    rows = df.withColumn("_v", value).withColumn(BLOCK, cell(F.col(ts)))
-    head = Window.partitionBy(*keys, BLOCK).orderBy(ts, row_id).rowsBetween(_FIRST, 0)
-    rows = rows.withColumn("_head", F.max("_v").over(head))
-    data = rows.select(*keys, BLOCK, F.col(ts).alias("_at"), F.lit(0).alias("_kind"),
-                       F.col(row_id).alias("_rid"), "_v")
-    asks = rows.select(*keys, cell(F.col(ts) - w_us).alias(BLOCK), (F.col(ts) - w_us).alias("_at"),
-                       F.lit(1).alias("_kind"), F.col(row_id).alias("_rid"),
-                       F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"))
-    tail = Window.partitionBy(*keys, BLOCK).orderBy(F.desc("_at"), F.asc("_kind")).rowsBetween(_FIRST, 0)
-    tails = (
-        data.unionByName(asks)
-        .withColumn("_tail", F.max("_v").over(tail))
-        .filter("_kind = 1")
-        .select(F.col("_rid").alias(row_id), "_tail")
+
+    def event(at: Column, kind: int, row: Column, vals: list[Column]) -> Column:
+        return F.struct(
+            cell(at).alias(BLOCK), at.alias("_at"), F.lit(kind).alias("_kind"), F.col(row_id).alias("_rid"),
+            row.alias("_row"), *vals,
+        )
+
+    none = F.lit(None)
+    events = F.array(
+        event(F.col(ts), 0, wide, [F.col(f"_v_{n}").alias(f"_v_{n}") for n in names]),
+        event(F.col(ts) - w_us, 1, none.cast(rows.select(wide.alias("r")).schema["r"].dataType),
+              [none.cast(kinds[n]).alias(f"_v_{n}") for n in names]),
+    )
+    placed = rows.select(*keys, F.explode(events).alias("_e")).select(*keys, "_e.*")
+    part = Window.partitionBy(*keys, BLOCK)
+    head = part.orderBy("_at", "_kind", "_rid").rowsBetween(_FIRST, 0)
+    tail = part.orderBy(F.desc("_at"), F.asc("_kind")).rowsBetween(_FIRST, 0)
+    own = F.col("_kind") == 0
+    placed = placed.withColumns({f"_h_{n}": F.when(own, F.max(f"_v_{n}").over(head)) for n in names})
+    placed = placed.withColumns({f"_t_{n}": F.when(~own, F.max(f"_v_{n}").over(tail)) for n in names})
+    # the two halves of a row meet again on its id
+    met = placed.groupBy("_rid").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        *[F.max(f"_h_{n}").alias(f"_h_{n}") for n in names],
+        *[F.max(f"_t_{n}").alias(f"_t_{n}") for n in names],
     )
-    out = rows.join(tails, row_id)
-    return out.withColumn(name, F.greatest("_head", "_tail")).drop(BLOCK, "_v", "_head", "_tail")
+    return met.select("_row.*", *[F.greatest(f"_h_{n}", f"_t_{n}").alias(n) for n in names])

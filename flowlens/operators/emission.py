@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.blocked import BLOCK, time_block
+from flowlens.session import stage
 
 _STATE = "struct<ts:bigint,p:double,b:double>"
 _NODE = "struct<ts:bigint,p:double,b:double,fresh:boolean,exit_ts:bigint,exit_p:double,exit_b:double>"
@@ -168,19 +169,30 @@ def keep_changed(
 ) -> DataFrame:
     """Rows of ``df`` kept by the fold; ``row_id`` must be unique.
 
+    ``df`` is read three times, so it is staged once first.
+
     Without counters this is a plain cool-down of ``force_us``.  ``fresh`` marks
     rows before which the state of the key was dropped.
     """
     block_us = max(int(block_us), 4 * int(force_us))
     force_us = int(force_us)
+    given = df.columns
+    df = df.withColumns(
+        {
+            "_p": F.lit(1.0) if packets is None else packets.cast("double"),
+            "_b": F.lit(0.0) if octets is None else octets.cast("double"),
+            "_fresh": F.lit(False) if fresh is None else F.coalesce(fresh, F.lit(False)),
+        }
+    )
+    df = stage(df, "fold-input")
     small = df.select(
         F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]).alias("_key"),
         time_block(block_us, ts).alias(BLOCK),
         F.col(ts).cast("long").alias("_ts"),
         F.col(row_id).cast("long").alias("_rid"),
-        (F.lit(1.0) if packets is None else packets.cast("double")).alias("_p"),
-        (F.lit(0.0) if octets is None else octets.cast("double")).alias("_b"),
-        (F.lit(False) if fresh is None else F.coalesce(fresh, F.lit(False))).alias("_fresh"),
+        "_p",
+        "_b",
+        "_fresh",
     )
     limits = (force_us, float(min_packet_delta), float(min_byte_delta))
     by_block = ["_key", BLOCK]
@@ -201,4 +213,4 @@ def keep_changed(
         .mapInPandas(_walk(*limits), f"_key string, {BLOCK} long, _ts long, _rid long")
         .select(F.col("_rid").alias(row_id))
     )
-    return df.join(kept, row_id, "left_semi")
+    return df.join(kept, row_id, "left_semi").select(*given)

@@ -12,9 +12,11 @@ from flowlens.policy import DEFAULT_SCHEME, feature_names
 
 
 def with_label_columns(df: DataFrame, raw: str = "label_raw") -> DataFrame:
-    label = S.normalise_label(raw)
-    return df.withColumn("label", label).withColumns(
-        {"is_attack": S.is_attack("label"), "label_index": S.label_index("label")}
+    df = df.withColumns({"_low": S.fold_text(raw), "_text": S.strip(raw)})
+    return (
+        df.withColumn("label", S.label_of(F.col("_low"), F.col("_text")))
+        .withColumns({"is_attack": S.is_attack("label"), "label_index": S.label_index("label")})
+        .drop("_low", "_text")
     )
 
 

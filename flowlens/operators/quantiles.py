@@ -18,12 +18,18 @@ _FIRST = Window.unboundedPreceding
 _G, _V, _R = "_group", "_value", "_range"
 
 
-def _count_while(items: Column, test, side: int) -> Column:
-    """How many leading items pass ``test`` (monotone): ``side`` wide steps, then single ones."""
-    wide = F.filter(items, lambda x, i: (F.pmod(i + 1, F.lit(side)) == 0) & test(x))
-    skip = F.size(wide) * side
-    fine = F.filter(F.slice(items, skip + 1, F.lit(side)), test)
-    return (skip + F.size(fine)).cast("long")
+def _count_leading(df: DataFrame, name: str, items: Column, size: int, test) -> DataFrame:
+    """Column ``name``: how many leading ``items`` pass a monotone ``test`` (binary search).
+
+    One projection per halving, so that every step is generated code.
+    """
+    df = df.withColumn(name, F.lit(0))
+    step = 1 << max(size.bit_length() - 1, 0)
+    while step:
+        here = F.get(items, F.col(name) + F.lit(step - 1))
+        df = df.withColumn(name, F.col(name) + F.when(test(here), step).otherwise(0))
+        step >>= 1
+    return df
 
 
 def cumulative(
@@ -39,8 +45,7 @@ def cumulative(
     one row per group.  Columns: ``_group, _value, <sums>, before_<sums>,
     total_<sums>``.
     """
-    side = max(2, int(ranges**0.5))
-    n = side * side
+    n = max(4, int(ranges))
     names = list(sums)
     base = df.select(
         (F.lit(0) if group is None else group).alias(_G),
@@ -48,11 +53,11 @@ def cumulative(
         *[sums[s].alias(s) for s in names],
     ).filter(F.col(_V).isNotNull())
     distinct = base.groupBy(_G, _V).agg(*[F.sum(s).alias(s) for s in names])
-    cuts = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = F.lit([i / n for i in range(1, n)])
     borders = base.groupBy(_G).agg(F.percentile_approx(_V, cuts, F.lit(max(1000, 4 * n))).alias("_borders"))
     # one row per group: fixed small size
-    placed = distinct.join(F.broadcast(borders), _G).withColumn(_R, _count_while(F.col("_borders"), lambda x: x < F.col(_V), side))
-    placed = placed.drop("_borders")
+    placed = distinct.join(F.broadcast(borders), _G)
+    placed = _count_leading(placed, _R, F.col("_borders"), n - 1, lambda x: x < F.col(_V)).drop("_borders")
     per = placed.groupBy(_G, _R).agg(*[F.sum(s).alias(f"_s_{s}") for s in names])
     w = Window.partitionBy(_G)
     before = w.orderBy(_R).rowsBetween(_FIRST, -1)
@@ -85,26 +90,49 @@ def exact_quantiles(
 
 
 def quantiles_from(cum: DataFrame, at: Sequence[float]) -> DataFrame:
-    """Quantiles of a ``cumulative`` table whose counter is ``n``."""
-    asked = sorted((float(q), i) for i, q in enumerate(at))
-    qs, index = F.array(*[F.lit(q) for q, _ in asked]), F.array(*[F.lit(i) for _, i in asked])
-    side = max(2, int(len(asked) ** 0.5))
-    last, first = F.col("total_n") - 1, F.col("before_n")
-    end = first + F.col("n")
-    below = lambda rank: _count_while(qs, lambda q: F.floor(q * last) < rank, side)
-    # a value answers the asks whose lower rank, or the rank above it, falls on it
-    hits = cum.withColumns({"_from": below(first - 1), "_to": below(end)}).filter(F.col("_from") < F.col("_to"))
-    hits = hits.withColumn("_a", F.explode(F.sequence(F.col("_from").cast("int"), (F.col("_to") - 1).cast("int")))).select(
-        _G, F.get(index, F.col("_a")).alias("q_index"), F.get(qs, F.col("_a")).alias("q"),
-        "total_n", "before_n", end.alias("_end"), _V,
-    )
-    lo = F.floor(F.col("q") * (F.col("total_n") - 1))
-    hi = F.least(lo + 1, F.col("total_n") - 1)
-    on = lambda r: (r >= F.col("before_n")) & (r < F.col("_end"))
+    """Quantiles of a ``cumulative`` table whose counter is ``n``, for a short list."""
+    asks = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(q)).alias("q")) for i, q in enumerate(at)])
+    return _pick(cum.withColumn("_a", F.explode(F.filter(asks, lambda a: _answers(a["q"])))))
+
+
+def quantile_grid(cum: DataFrame, points: int) -> DataFrame:
+    """Quantiles at ``points`` evenly spaced references from 0 to 1.
+
+    The references that fall on a value follow from its ranks, whatever their number.
+    """
+    m = max(int(points) - 1, 1)
+    last = F.greatest(F.col("total_n") - 1, F.lit(1))
+    # one reference of slack on both sides, settled by the exact test
+    lo = F.greatest(F.floor((F.col("before_n") - 1) * m / last) - 1, F.lit(0))
+    hi = F.least(F.ceil((F.col("before_n") + F.col("n")) * m / last) + 1, F.lit(int(points) - 1))
+    index = F.filter(F.sequence(lo.cast("int"), hi.cast("int")), lambda i: _answers(i / F.lit(float(m))))
+    df = cum.withColumn("_i", F.explode(index))
+    return _pick(df.withColumn("_a", F.struct(F.col("_i").alias("q_index"), (F.col("_i") / F.lit(float(m))).alias("q"))))
+
+
+def _lower(q: Column) -> Column:
+    return F.floor(q * (F.col("total_n") - 1))
+
+
+def _upper(q: Column) -> Column:
+    return F.least(_lower(q) + 1, F.col("total_n") - 1)
+
+
+def _on(rank: Column) -> Column:
+    return (rank >= F.col("before_n")) & (rank < F.col("before_n") + F.col("n"))
+
+
+def _answers(q: Column) -> Column:
+    return _on(_lower(q)) | _on(_upper(q))
+
+
+def _pick(hits: DataFrame) -> DataFrame:
+    hits = hits.select(_G, "_a.q_index", "_a.q", "total_n", "before_n", "n", _V)
+    q = F.col("q")
     picked = hits.groupBy(_G, "q_index", "q", "total_n").agg(
-        F.max(F.when(on(lo), F.col(_V))).alias("_lo"), F.max(F.when(on(hi), F.col(_V))).alias("_hi")
+        F.max(F.when(_on(_lower(q)), F.col(_V))).alias("_lo"), F.max(F.when(_on(_upper(q)), F.col(_V))).alias("_hi")
     )
-    frac = F.col("q") * (F.col("total_n") - 1) - lo
+    frac = q * (F.col("total_n") - 1) - _lower(q)
     return picked.select(
         _G, "q_index", "q", F.col("total_n").alias("n"),
         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.operators.quantiles import cumulative, exact_quantiles, quantiles_from, unpivot
+from flowlens.operators.quantiles import cumulative, exact_quantiles, quantile_grid, quantiles_from, unpivot
 from flowlens.policy import feature_weights
 
 TINY = 1e-12
@@ -83,8 +83,7 @@ def fit_quantiles(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) -
     """Per feature the values at evenly spaced references: (feature, q_index, q, value)."""
     long = unpivot(df.select(*[S.finite_or(c).alias(c) for c in cols]), cols)
     cum = cumulative(long, F.col("value"), {"n": F.lit(1).cast("long")}, F.col("feature"))
-    refs = [float(x) for x in np.linspace(0.0, 1.0, n_quantiles)]
-    return quantiles_from(cum, refs).select(F.col("_group").alias("feature"), "q_index", "q", "value")
+    return quantile_grid(cum, n_quantiles).select(F.col("_group").alias("feature"), "q_index", "q", "value")
 
 
 def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) -> QuantileStats:
@@ -151,19 +150,17 @@ def fit_score_normalizer(df: DataFrame, score: str = "score", points: int = 200)
         F.avg(score).alias("normal_mean"), (F.stddev_pop(score) + 1e-9).alias("normal_std")
     )
     cum = cumulative(normal, F.col(score), {"n": F.lit(1).cast("long")})
-    grid = [i / (points - 1) for i in range(points)]
-    at = [1.0 - f for f in STORED_FPRS] + grid
-    q = quantiles_from(cum, at)
-    k = len(STORED_FPRS)
-    listed = F.array_sort(F.collect_list(F.struct("q_index", "value")))  # points + 6 entries
-    packed = q.agg(listed.alias("q")).select(F.transform("q", lambda x: x["value"]).alias("v"))
-    return moments.select(
-        "*", packed.scalar().alias("_v")
-    ).select(
-        "normal_mean",
-        "normal_std",
-        F.slice("_v", 1, k).alias("percentiles"),
-        F.slice("_v", k + 1, points).alias("cdf_scores"),
+
+    def listed(q: DataFrame) -> Column:
+        # a short list, ordered by position
+        rows = F.array_sort(F.collect_list(F.struct("q_index", "value")))
+        return q.agg(F.transform(rows, lambda x: x["value"]).alias("v")).scalar()
+
+    return moments.withColumns(
+        {
+            "percentiles": listed(quantiles_from(cum, [1.0 - f for f in STORED_FPRS])),
+            "cdf_scores": listed(quantile_grid(cum, points)),
+        }
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import blocked
+from flowlens.session import spread
 
 SPARK_US = "unix_micros(cast(ts AS TIMESTAMP))"
 DUCK_US = "epoch_us(ts)"
@@ -75,7 +76,7 @@ def duck_cte(name: str) -> str:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     # events.ts has no zone; the microsecond columns are read as UTC
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

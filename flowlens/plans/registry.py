@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from flowlens.operators import features, polls
 from flowlens.plans import fixtures
 from flowlens.policy import Policy
+from flowlens.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,8 +104,12 @@ class Tables:
         )
 
     def obs(self) -> DataFrame:
-        """Poll readings with deltas; a two-day silence drops the state."""
-        return polls.with_poll_deltas(self.get("poll_stats"), idle_timeout_s=TEST_POLICY.idle_timeout_s)
+        """Poll readings with deltas; a two-day silence drops the state.
+
+        Staged: this is the telemetry table that the rules and reports read.
+        """
+        df = polls.with_poll_deltas(self.get("poll_stats"), idle_timeout_s=TEST_POLICY.idle_timeout_s)
+        return stage(df, "telemetry")
 
     def scored_runs(self) -> DataFrame:
         """Scored rows spread over three runs."""

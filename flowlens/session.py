@@ -61,3 +61,12 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that has fewer file splits than the cluster has cores.
+
+    A large table has far more splits, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

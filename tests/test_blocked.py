@@ -90,7 +90,7 @@ def test_sliding(data, window):
         blocked.sliding_totals(df, ["key"], window, {"n": F.lit(1)}, BLOCK, include_current=False).fillna(0, ["n"]), "n"
     )
     dis = got(blocked.sliding_distinct(df, ["key"], "v", window, BLOCK, "d", when=~F.col("r")), "d")
-    top = got(blocked.sliding_max(df, ["key"], F.struct("v", "row_id"), window, "m"), "m")
+    top = got(blocked.sliding_max(df, ["key"], {"m": F.struct("v", "row_id")}, window), "m")
     for rs in by_key.values():
         for i, r in enumerate(rs):
             w = [x for x in rs[: i + 1] if x[1] >= r[1] - window]
