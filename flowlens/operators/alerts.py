@@ -12,6 +12,7 @@ from flowlens.operators import blocked, metrics
 from flowlens.operators.emission import keep_changed
 from flowlens.operators.quantiles import cumulative, quantiles_from
 from flowlens.policy import Policy
+from flowlens.session import stage
 
 HOUR_US = 3_600_000_000
 
@@ -111,7 +112,7 @@ def exclude_alerted(scores: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def clean_summary(scores: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
     """Rows in and out, excluded keys, mean, p95 and p99 of the clean subset."""
-    clean = clean_benign(scores, alerts)
+    clean = stage(clean_benign(scores, alerts), "clean")  # read four times
     cum = cumulative(clean, F.col("score"), {"n": F.lit(1).cast("long")})
     q = quantiles_from(cum, [0.95, 0.99])
     stats = q.agg(
@@ -131,7 +132,7 @@ def calibrate_run(
     scores: DataFrame, alerts: DataFrame | None, fpr: float = 0.01, direction: str = metrics.HIGHER
 ) -> DataFrame:
     """Threshold and score summary from an unlabelled run: one row."""
-    clean = clean_benign(scores, alerts)
+    clean = stage(clean_benign(scores, alerts), "clean")  # read several times
     threshold = metrics.threshold_at_fpr(clean, fpr, direction)
     t = threshold.scalar()
     return metrics.score_summary(clean, t, direction).withColumn("recommended_threshold", threshold.scalar())

@@ -55,8 +55,11 @@ def cumulative(
     distinct = base.groupBy(_G, _V).agg(*[F.sum(s).alias(s) for s in names])
     cuts = F.lit([i / n for i in range(1, n)])
     borders = base.groupBy(_G).agg(F.percentile_approx(_V, cuts, F.lit(max(1000, 4 * n))).alias("_borders"))
-    # one row per group: fixed small size
-    placed = distinct.join(F.broadcast(borders), _G)
+    if group is None:
+        placed = distinct.withColumn("_borders", borders.select("_borders").scalar())
+    else:
+        # one row per group: fixed small size
+        placed = distinct.join(F.broadcast(borders), _G)
     placed = _count_leading(placed, _R, F.col("_borders"), n - 1, lambda x: x < F.col(_V)).drop("_borders")
     per = placed.groupBy(_G, _R).agg(*[F.sum(s).alias(f"_s_{s}") for s in names])
     w = Window.partitionBy(_G)
