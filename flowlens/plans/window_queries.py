@@ -124,8 +124,9 @@ FROM (SELECT *, pc * poll_step::DOUBLE / n_polls AS packet_count, bc * poll_step
 _RP = ["packet_count", "byte_count", "flow_duration_s", "packet_rate", "byte_rate", "avg_packet_size", "packet_delta", "byte_delta"]
 
 
-# durations are microseconds over 2..6 parts: times 6000 they have no rounding ties
-_RP2 = [c for c in _RP if c != "flow_duration_s"]
+# Parts of round numbers sit exactly on rounding ties, where the last bit decides; a
+# factor without structure moves every value off them.
+_OFF = 0.7310585786
 
 
 @query(
@@ -133,13 +134,13 @@ _RP2 = [c for c in _RP if c != "flow_duration_s"]
     with_pieces(
         "replay",
         f"""SELECT 'replay::' || source_file || '::' || row_id AS flow_key, poll_step, n_polls, has_history, flow_us + poll_step * 1000000 AS ts_us,
- round(flow_duration_s * 6000, 4) AS scaled_duration, {r6(*_RP2, digits=4)} FROM replay""",
+ {', '.join(f'round({c} * {_OFF}::DOUBLE, 4) AS {c}_scaled' for c in _RP)} FROM replay""",
     ),
     digits=4,
 )
 def _(t):
     df = snapshots.expand_replay(t.flows(), 1.0, 6)
-    return df.select("flow_key", "poll_step", "n_polls", "has_history", "ts_us", (F.col("flow_duration_s") * 6000).alias("scaled_duration"), *_RP2)
+    return df.select("flow_key", "poll_step", "n_polls", "has_history", "ts_us", *[(F.col(c) * _OFF).alias(f"{c}_scaled") for c in _RP])
 
 
 @query(
