@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, decontaminate, license_scan, simhash, url_filter
-from flowlens.llm.textio import table
+from flowlens.llm import bpe, decontaminate, license_scan, simhash, toxicity, url_filter
+from flowlens.llm.textio import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on documents whose id isn't held out."""
+    return toxicity.fit(docs.filter(~held_out(F.col("doc_id"), 3, 1)), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), toxicity.score("text", toxicity_model(spark, docs, sf_dir)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of near-copies."""
