@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, decontaminate, license_scan, simhash, toxicity, url_filter
+from flowlens.llm import bpe, decontaminate, license_scan, pii, simhash, toxicity, url_filter
 from flowlens.llm.textio import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ h AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY rank DESC, length(l
   FROM p LEFT JOIN listed ON (host = lhost OR ends_with(host, '.' || lhost)) AND starts_with(path, lpath))
 SELECT page_id, host, path, CASE WHEN rank = 1 THEN lhost || lpath END AS rule, coalesce(lverdict, 'allow') AS verdict FROM h WHERE rn = 1
 """
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.find("text", pii.fit(docs)).alias("r")).select("doc_id", "r.*")
