@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, decontaminate, license_scan, pii, simhash, toxicity, url_filter
+from flowlens.llm import bpe, decontaminate, license_scan, line_quality, pii, quality_rules, simhash, toxicity, url_filter
 from flowlens.llm.textio import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,49 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", out.alias("r")).select("doc_id", "r.*")
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts with limits by language and source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+_flags = " AND ".join(
+    f"{v} <= {n}_most" + ("" if quality_rules.MARGINS[n][1] is None else f" AND {v} >= {n}_least")
+    for n, v in (("symbols", "symbols"), ("dup_lines", "dup_lines"), ("repeats", "repeats"), ("length", "length"))
+)
+_margins = ", ".join(f"('{n}', {a}, {-1 if b is None else b})" for n, (a, b) in quality_rules.MARGINS.items())
+_limits = ", ".join(f"max(CASE WHEN share = '{n}' THEN hi END) AS {n}_most, max(CASE WHEN share = '{n}' THEN lo END) AS {n}_least" for n in quality_rules.MARGINS)
+ORACLES["op2_quality_rules"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+s AS (SELECT d.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN w USING (rid) LEFT JOIN l USING (rid) LEFT JOIN r USING (rid)),
+v AS (SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines,
+  n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, word_chars * 1000 // greatest(n_words, 1) AS length FROM s),
+x AS (SELECT rid, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'length']) AS share, unnest([symbols, dup_lines, repeats, length]) AS value FROM v),
+y AS (SELECT *, CASE WHEN value < 16 THEN value ELSE (value >> (length(bin(value)) - 5)::INT) << (length(bin(value)) - 5)::INT END AS cell FROM x),
+z AS (SELECT 0 AS level, lang, source, share, cell FROM y UNION ALL SELECT 1, lang, NULL, share, cell FROM y UNION ALL SELECT 3, NULL, NULL, share, cell FROM y),
+k AS (SELECT level, lang, source, share, cell, count(*) AS n FROM z GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share) AS total, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY cell) AS upto FROM k),
+q AS (SELECT level, lang, source, share, max(total) AS rows_, min(CASE WHEN upto * 4 >= total THEN cell END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN cell END) AS q3
+  FROM u GROUP BY ALL),
+b AS (SELECT level, lang, source, max(rows_) AS rows_, {_limits} FROM (SELECT q.*, q3 + (q3 - q1) * 3 + above AS hi, q1 - (q3 - q1) * 3 - below AS lo
+  FROM q JOIN (VALUES {_margins}) m(share, above, below) USING (share)) GROUP BY ALL),
+j AS (SELECT v.*, CASE WHEN b0.rows_ >= 30 THEN 0 WHEN b1.rows_ >= 30 THEN 1 ELSE 3 END AS level FROM v
+  LEFT JOIN b b0 ON b0.level = 0 AND b0.lang IS NOT DISTINCT FROM v.lang AND b0.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN b b1 ON b1.level = 1 AND b1.lang IS NOT DISTINCT FROM v.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fits AS kept, level FROM (
+  SELECT j.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_flags} AS fits FROM j
+  JOIN b ON b.level = j.level AND (j.level = 3 OR b.lang IS NOT DISTINCT FROM j.lang) AND (j.level > 0 OR b.source IS NOT DISTINCT FROM j.source))
+"""
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices by diagonal voting."""
@@ -45,6 +88,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@query
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from its lines."""
+    docs = table(spark, sf_dir, "documents")
+    model = line_quality.fit(docs.filter(~held_out(F.col("doc_id"), 5, 0)), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), line_quality.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of near-copies."""
