@@ -28,7 +28,7 @@ from flowlens.session import stage
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Share (in thousandths): margin above the upper fence, margin below the lower fence (None: no lower limit).
-MARGINS = {"symbols": (20, None), "dup_lines": (200, None), "repeats": (200, None), "length": (2000, 1500)}
+MARGINS = {"symbols": (20, None), "dup_lines": (500, None), "repeats": (400, None), "length": (2000, 1500)}
 
 
 def _repeat_words(words: list[bytes]) -> int:
