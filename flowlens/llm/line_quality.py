@@ -19,13 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm import chain
 from flowlens.llm.toxicity import bounded
 
 SAMPLE, LINES = 4_000, 200
@@ -76,7 +76,7 @@ def line_bits(text: str | None) -> tuple[list[int], list[int]]:
 def _matrix(bits: np.ndarray) -> np.ndarray:
     """Lines x features, the first always on."""
     on = (bits[:, None] >> np.arange(WIDTH - 1)) & 1
-    return np.column_stack([np.ones(len(bits)), on]).astype(np.float64)
+    return np.column_stack([np.ones(len(bits)), on]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -86,54 +86,6 @@ class Model:
     steps: np.ndarray | None  # 2 x 2 scores of label pairs of neighbouring lines
 
 
-def train_chain(chains: list[np.ndarray], labels: list[int], turns: int = 120, rate: float = 0.08, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and steps of the chain that maximise the likelihood of all lines having their label."""
-    order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
-    chains, y = [chains[i] for i in order], np.array([labels[i] for i in order])
-    size = np.array([len(c) for c in chains])
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    x = _matrix(np.concatenate(chains))
-    line_y = np.repeat(y, size).astype(float)
-    alive = [int((size > t).sum()) for t in range(size[0])]  # chains are sorted by length: the first ones live on
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    weight = balance / np.maximum(size, 1)  # a long document doesn't outweigh others
-    lines = np.repeat(weight, size)
-    w, s = np.zeros(WIDTH), np.zeros((2, 2))
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(s), np.zeros_like(s)]
-    total = lines.sum()
-    for turn in range(1, turns + 1):
-        e = np.exp(np.clip(x @ w, -20, 20))
-        t = np.exp(s)
-        ahead = np.empty((len(e), 2))
-        back = np.ones((len(e), 2))
-        for k, n in enumerate(alive):
-            at = starts[:n] + k
-            prior = np.ones((n, 2)) if k == 0 else ahead[at - 1] @ t
-            a = prior * np.column_stack([np.ones(n), e[at]])
-            ahead[at] = a / a.sum(1, keepdims=True)
-        pair_target, pair_model = np.zeros((2, 2)), np.zeros((2, 2))
-        for k in range(size[0] - 1, 0, -1):
-            n = alive[k]
-            at = starts[:n] + k
-            after = back[at] * np.column_stack([np.ones(n), e[at]])
-            b = after @ t.T
-            pair = ahead[at - 1][:, :, None] * t[None] * after[:, None, :]
-            pair *= (weight[:n] / pair.sum((1, 2)))[:, None, None]
-            pair_model += pair.sum(0)
-            back[at - 1] = b / b.sum(1, keepdims=True)
-        pairs = weight * np.maximum(size - 1, 0)
-        pair_target[0, 0], pair_target[1, 1] = pairs[y == 0].sum(), pairs[y == 1].sum()
-        both = ahead * back
-        good = both[:, 1] / both.sum(1)
-        grads = [x.T @ (lines * (line_y - good)) / total - ridge * w, (pair_target - pair_model) / total - ridge * s]
-        for i, (p, g) in enumerate(zip((w, s), grads)):
-            m, v = state[2 * i], state[2 * i + 1]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    return w, s
-
-
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Chain trained on a bounded sample of the labelled rows; ``labels``: key, quality."""
     given = labels.filter("quality IS NOT NULL").groupBy(key).agg(F.max("quality").cast("int").alias("quality"))
@@ -152,48 +104,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     share = float(np.mean(y)) if y else 0.5
     if len(set(y)) < 2:
         return Model(share, None, None)
-    return Model(share, *train_chain([np.array(r["bits"], dtype=np.int64) for r in got], y))
-
-
-def marginals(bits: list[int], weights: list[float], steps: list[list[float]]) -> list[float]:
-    """Probability of good for each line; ``weights``: per bit, the first always on; ``steps``: exponentials."""
-    memory: dict[int, float] = {}
-    e = []
-    for b in bits:
-        if b not in memory:
-            memory[b] = exp(max(-20.0, min(20.0, weights[0] + sum(weights[i + 1] for i in range(WIDTH - 1) if b >> i & 1))))
-        e.append(memory[b])
-    (t00, t01), (t10, t11) = steps
-    p = 0.0
-    ahead = []
-    for i, x in enumerate(e):
-        bad, good = (1.0, x) if i == 0 else ((1 - p) * t00 + p * t10, ((1 - p) * t01 + p * t11) * x)
-        p = good / (bad + good)
-        ahead.append(p)
-    b0 = b1 = 0.5
-    out = [0.0] * len(e)
-    for i in range(len(e) - 1, -1, -1):
-        good, bad = ahead[i] * b1, (1 - ahead[i]) * b0
-        out[i] = good / (good + bad)
-        u0, u1 = b0, b1 * e[i]
-        b0, b1 = t00 * u0 + t01 * u1, t10 * u0 + t11 * u1
-        b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
-    return out
+    balance = [0.5 / share if q == 1 else 0.5 / (1 - share) for q in y]  # neither class nor long documents outweigh the rest
+    return Model(share, *chain.train([_matrix(np.array(r["bits"], dtype=np.int64)) for r in got], [np.full(len(r["bits"]), r["quality"]) for r in got], np.array(balance)))
 
 
 def score(text: Column | str, model: Model) -> Column:
     """Length-weighted mean probability that a line is good."""
     share = model.share
     weights = None if model.weights is None else model.weights.tolist()
-    steps = None if model.steps is None else np.exp(model.steps).tolist()
+    steps = None if model.steps is None else model.steps.tolist()
 
     @F.arrow_udf("double")
     def run(v: pa.Array) -> pa.Array:
         out = []
+        memory: dict[int, float] = {}  # score by feature bits
         for t in v:
             bits, sizes = line_bits(t.as_py()) if weights is not None else ([], [])
-            p = sum(a * b for a, b in zip(marginals(bits, weights, steps), sizes)) / sum(sizes) if bits else share
-            out.append(round(p, 6))
+            for b in set(bits).difference(memory):
+                memory[b] = weights[0] + sum(weights[i + 1] for i in range(WIDTH - 1) if b >> i & 1)
+            good = chain.marginals([memory[b] for b in bits], steps) if bits else []
+            out.append(round(sum(p * n for p, n in zip(good, sizes)) / sum(sizes), 6) if bits else share)
         return pa.array(out, pa.float64())
 
     return run(text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, decontaminate, license_scan, line_quality, pii, quality_rules, simhash, toxicity, url_filter
+from flowlens.llm import bpe, decontaminate, html_extract, license_scan, line_quality, pii, quality_rules, simhash, toxicity, url_filter
 from flowlens.llm.textio import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_extract.extract("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Trained on documents whose id isn't held out."""
     return toxicity.fit(docs.filter(~held_out(F.col("doc_id"), 3, 1)), table(spark, sf_dir, "labels"))
