@@ -225,7 +225,7 @@ NOTICES = ("", "<div class='cookie-banner'><p>{l}</p></div>", "<div id='consent'
 ADS = ("", "<div class='ad'>{s}</div>", "<div class='ads'><p>{l}</p></div>", "<div id='banner-ad'>{s}</div>")
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     """Pages of invented words whose elements carry ``data-main``."""
     r = random.Random(seed)
     syllables = "an ba che de er fi go ha in ka lo mi nu ou pa re si ta un ve éa ö".split()
@@ -280,7 +280,7 @@ class Model:
 def train(pages: list[str]) -> Model:
     """The field that fits labelled pages."""
     chains = [c for p in pages if (c := blocks(p))]
-    w, s = chain.train([np.stack([_row(b.bits) for b in c]) for c in chains], [np.array([b.label for b in c]) for c in chains], np.array([len(c) for c in chains], float), turns=250)
+    w, s = chain.train([np.stack([_row(b.bits) for b in c]) for c in chains], [np.array([b.label for b in c]) for c in chains], np.array([len(c) for c in chains], float), turns=500, rate=0.1, ridge=1e-4)
     return Model(tuple(w.tolist()), tuple(map(tuple, s.tolist())))
 
 
