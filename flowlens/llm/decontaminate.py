@@ -220,6 +220,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = leaks(docs, items, text, key, **how).select(F.col(key).cast("long").alias("key_"), F.col("th").alias("th_")).distinct()
-    hit = F.col(key).cast("long").eqNullSafe(F.col("key_")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("th_"))
-    return docs.join(bad, hit, "left_anti")
+    bad = leaks(docs, items, text, key, **how).select(F.col(key).cast("long").alias("key"), "th").distinct().alias("leak")
+    own = docs.alias("doc")
+    hit = F.col(f"doc.`{key}`").cast("long").eqNullSafe(F.col("leak.key")) & (F.xxhash64(F.coalesce(f"doc.`{text}`", F.lit(""))) == F.col("leak.th"))
+    return own.join(bad, hit, "left_anti")

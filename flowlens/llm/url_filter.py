@@ -11,7 +11,7 @@ it is the only thing that is broadcast by hand.
 
 Cases: a null URL or one without ``://`` has an empty host and path and gets the
 default verdict; repeated rows are judged alike and all returned; an empty table gives
-an empty result; other columns are ignored. Of rules of equal length the one with the
+an empty result; other columns are kept, but host, path, rule and verdict are written anew. Of rules of equal length the one with the
 longer host wins. A listed key that repeats counts once.
 """
 
@@ -100,8 +100,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
         n_blocks *= 2
     probe = _prober(bloom_blocks(listed, "key", n_blocks), lengths, size["labels"] or 0)
     possible = pages.select("host", "path").mapInArrow(probe, "host string, path string, key string")
-    best = F.max(F.struct("rank", F.length("key").alias("n"), F.length("listed_host").alias("m"), "key", "verdict")).alias("best")
+    best = F.max(F.struct("rank", F.length("key").alias("n"), F.length("listed_host").alias("m"), "key", "verdict")).alias("url_filter_best")
     hits = possible.join(listed.withColumnRenamed("host", "listed_host"), "key").groupBy("host", "path").agg(best)
     return pages.join(hits, ["host", "path"], "left").withColumns(
-        {"rule": F.when(F.col("best.rank") == 1, F.col("best.key")), "verdict": F.coalesce("best.verdict", F.lit("allow"))}
-    ).drop("best")
+        {"rule": F.when(F.col("url_filter_best.rank") == 1, F.col("url_filter_best.key")), "verdict": F.coalesce("url_filter_best.verdict", F.lit("allow"))}
+    ).drop("url_filter_best")
