@@ -223,7 +223,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
                     found = {b for w in set(words) for b in beginnings(w)}
                     group = _group(words) % 1_000_003
                     seen.update((b, group) for b in (found if wanted is None else found & wanted))
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         yield pack(seen)
                         seen.clear()
             yield pack(seen)
@@ -249,9 +249,14 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
     often = {r["b"]: r["n"] for r in tally(toxic, None).filter(F.col("n") >= least).collect()}  # bounded: the sample is, and so is each document's share of it
     rare = {r["b"]: r["n"] for r in tally(clean, frozenset(often)).collect()}
     lift = {b: ((n + 0.5) / (n_toxic + 1)) / ((rare.get(b, 0) + 0.5) / (n_clean + 1)) for b, n in often.items()}
-    good = sorted((b for b in often if lift[b] >= 12), key=lambda b: (len(b), b))
+    good = [b for b in often if lift[b] >= 12]
+    finest = {b: b for b in good}  # the longest beginning that holds nearly all of a beginning's documents
+    for b in sorted(good, key=lambda b: (len(b), b)):
+        for n in range(SHORTEST, len(b)):
+            if b[:n] in finest and often[b] >= 0.9 * often[b[:n]]:
+                finest[b[:n]] = b
     chosen: set[str] = set()
-    for b in good:  # a longer beginning adds nothing to a chosen shorter one
+    for b in sorted(set(finest.values()), key=lambda b: (len(b), b)):  # a longer beginning adds nothing to a chosen shorter one
         if not any(b[:n] in chosen for n in range(SHORTEST, len(b))):
             chosen.add(b)
     return frozenset(chosen)
