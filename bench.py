@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from flowlens.plans.queries import QUERIES  # noqa: E402
-from flowlens.session import local_session  # noqa: E402
+from flowlens.session import local_session, ship  # noqa: E402
 
 HEADLINE = [
     "p5_flow_features", "p6_alt_flow_features", "p10_extract_match", "w1_poll_deltas", "e1_expand_snapshots", "e2_expand_replay",
@@ -30,6 +30,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, "flowlens-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # start the executors
     times = {}
     for name in HEADLINE:

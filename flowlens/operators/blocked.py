@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+KEY = "_k"
 DAY_US = 86_400_000_000
 _FIRST = Window.unboundedPreceding
 
@@ -35,22 +36,27 @@ def _order(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def _carry(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Mapping[str, Column],
-    over_blocks,
-) -> DataFrame:
+def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Add the block and ``_k``, the key and block as one value.
+
+    A struct is never NULL and NULLs inside it are equal, so grouping, windows and
+    the join of the carry treat NULL keys and NULL times as values like any other,
+    and all of them share one partitioning.
+    """
+    return df.withColumn(BLOCK, block).withColumn(KEY, F.struct(*keys, BLOCK))
+
+
+def _carry(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], over_blocks) -> DataFrame:
     """Summaries per (key, block), then ``over_blocks(before, whole)`` columns."""
-    summary = df.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in aggs.items()])
-    w = Window.partitionBy(*keys)
-    ordered = w.orderBy(BLOCK)
+    summary = df.groupBy(KEY).agg(*[c.alias(n) for n, c in aggs.items()])
+    w = Window.partitionBy(*[f"{KEY}.{k}" for k in keys])
+    ordered = w.orderBy(f"{KEY}.{BLOCK}")
     cols = over_blocks(ordered.rowsBetween(_FIRST, -1), w, ordered)
-    return summary.select(*keys, BLOCK, *[c.alias(n) for n, c in cols.items()])
+    return summary.select(KEY, *[c.alias(n) for n, c in cols.items()])
 
 
-def _join_back(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(carry, [*keys, BLOCK])
+def _join_back(df: DataFrame, carry: DataFrame) -> DataFrame:
+    return df.join(carry, KEY).drop(KEY)
 
 
 def ranked(
@@ -62,7 +68,7 @@ def ranked(
     total: str | None = "n",
 ) -> DataFrame:
     """Dense 1-based row number along ``order`` and the row count of the key."""
-    df = df.withColumn(BLOCK, block)
+    df = _placed(df, keys, block)
     carry = _carry(
         df,
         keys,
@@ -72,8 +78,8 @@ def ranked(
             "_total": F.sum("_c").over(whole),
         },
     )
-    local = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
-    out = _join_back(df.withColumn("_local", local), carry, keys)
+    local = F.row_number().over(Window.partitionBy(KEY).orderBy(*order))
+    out = _join_back(df.withColumn("_local", local), carry)
     out = out.withColumn(number, (F.col("_before") + F.col("_local")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
@@ -89,8 +95,8 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` along the order of each key."""
     names = list(sums)
-    df = df.withColumn(BLOCK, block)
-    w = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(_FIRST, 0)
+    df = _placed(df, keys, block)
+    w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(_FIRST, 0)
     local = df.select("*", *[F.sum(sums[n]).over(w).alias(f"_l_{n}") for n in names])
     carry = _carry(
         df,
@@ -98,7 +104,7 @@ def running_sums(
         {f"_s_{n}": F.sum(sums[n]) for n in names},
         lambda before, *_: {f"_b_{n}": F.sum(f"_s_{n}").over(before) for n in names},
     )
-    out = _join_back(local, carry, keys)
+    out = _join_back(local, carry)
     zero = F.lit(0)
     for n in names:
         out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_b_{n}"), zero))
@@ -117,32 +123,33 @@ def running_since_reset(
     A reset row starts the new span and its own ``add`` counts.
     """
     names = list(counters)
-    df = df.withColumn(BLOCK, block)
+    df = _placed(df, keys, block)
     for n in names:
         add, reset = counters[n]
         df = df.withColumn(f"_a_{n}", add.cast("long")).withColumn(
             f"_r_{n}", F.coalesce(reset, F.lit(False)).cast("long")
         )
-    w = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(_FIRST, 0)
+    w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(_FIRST, 0)
     local = df.select("*", *[F.sum(f"_r_{n}").over(w).alias(f"_g_{n}") for n in names])
     for n in names:
-        span = Window.partitionBy(*keys, BLOCK, f"_g_{n}").orderBy(*order).rowsBetween(_FIRST, 0)
+        span = Window.partitionBy(KEY, f"_g_{n}").orderBy(*order).rowsBetween(_FIRST, 0)
         local = local.withColumn(f"_v_{n}", F.sum(f"_a_{n}").over(span))
     last = _order(order)
     aggs: dict[str, Column] = {}
     for n in names:
         aggs[f"_t_{n}"] = F.max_by(f"_v_{n}", last)
         aggs[f"_h_{n}"] = F.max(f"_g_{n}")
-    summary = local.groupBy(*keys, BLOCK).agg(*[c.alias(k) for k, c in aggs.items()])
-    ordered = Window.partitionBy(*keys).orderBy(BLOCK)
+    summary = local.groupBy(KEY).agg(*[c.alias(k) for k, c in aggs.items()])
+    whole = [f"{KEY}.{k}" for k in keys]
+    ordered = Window.partitionBy(*whole).orderBy(f"{KEY}.{BLOCK}")
     for n in names:
         summary = summary.withColumn(f"_i_{n}", F.sum(F.col(f"_h_{n}")).over(ordered))
-        span = Window.partitionBy(*keys, f"_i_{n}").orderBy(BLOCK).rowsBetween(_FIRST, 0)
+        span = Window.partitionBy(*whole, f"_i_{n}").orderBy(f"{KEY}.{BLOCK}").rowsBetween(_FIRST, 0)
         summary = summary.withColumn(f"_o_{n}", F.sum(f"_t_{n}").over(span))
     carry = summary.select(
-        *keys, BLOCK, *[F.coalesce(F.lag(f"_o_{n}").over(ordered), F.lit(0)).alias(f"_c_{n}") for n in names]
+        KEY, *[F.coalesce(F.lag(f"_o_{n}").over(ordered), F.lit(0)).alias(f"_c_{n}") for n in names]
     )
-    out = _join_back(local, carry, keys)
+    out = _join_back(local, carry)
     for n in names:
         out = out.withColumn(
             n,
@@ -160,7 +167,7 @@ def with_previous(
     block: Column,
 ) -> DataFrame:
     """``{new: source}``: value of ``source`` on the previous row of the key."""
-    df = df.withColumn(BLOCK, block)
+    df = _placed(df, keys, block)
     row = F.struct(*[F.col(src).alias(new) for new, src in fields.items()])
     carry = _carry(
         df,
@@ -168,8 +175,8 @@ def with_previous(
         {"_last": F.max_by(row, _order(order))},
         lambda _b, _w, ordered: {"_prior": F.lag("_last").over(ordered)},
     )
-    local = F.lag(row).over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
-    out = _join_back(df.withColumn("_prev", local), carry, keys)
+    local = F.lag(row).over(Window.partitionBy(KEY).orderBy(*order))
+    out = _join_back(df.withColumn("_prev", local), carry)
     out = out.withColumn("_prev", F.coalesce("_prev", "_prior"))
     return out.select("*", *[F.col(f"_prev.{n}").alias(n) for n in fields]).drop(BLOCK, "_prev", "_prior")
 
@@ -182,7 +189,7 @@ def with_next(
     block: Column,
 ) -> DataFrame:
     """``{new: source}``: value of ``source`` on the next row of the key."""
-    df = df.withColumn(BLOCK, block)
+    df = _placed(df, keys, block)
     row = F.struct(*[F.col(src).alias(new) for new, src in fields.items()])
     carry = _carry(
         df,
@@ -190,8 +197,8 @@ def with_next(
         {"_head": F.min_by(row, _order(order))},
         lambda _b, _w, ordered: {"_later": F.lead("_head").over(ordered)},
     )
-    local = F.lead(row).over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
-    out = _join_back(df.withColumn("_next", local), carry, keys)
+    local = F.lead(row).over(Window.partitionBy(KEY).orderBy(*order))
+    out = _join_back(df.withColumn("_next", local), carry)
     out = out.withColumn("_next", F.coalesce("_next", "_later"))
     return out.select("*", *[F.col(f"_next.{n}").alias(n) for n in fields]).drop(BLOCK, "_next", "_later")
 
@@ -212,8 +219,8 @@ def with_recent(
     ``number`` also adds the 1-based row number along the key, ``first`` the
     value of an expression on the first row of the key (as ``first``).
     """
-    df = df.withColumn(BLOCK, block).withColumn("_row", row)
-    part = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    df = _placed(df, keys, block).withColumn("_row", row)
+    part = Window.partitionBy(KEY).orderBy(*order)
     local = df.withColumn("_arr", F.collect_list("_row").over(part.rowsBetween(-(n - 1), 0)))
     back = max(n - 1, 1)
 
@@ -233,7 +240,7 @@ def with_recent(
     carry = _carry(local, keys, aggs, over_blocks)
     if number:
         local = local.withColumn("_local", F.row_number().over(part))
-    out = _join_back(local, carry, keys)
+    out = _join_back(local, carry)
     both = F.concat(F.col("_prior"), F.col("_arr"))
     take = F.least(F.lit(n), F.size(both))
     out = out.withColumn(name, F.slice(both, F.size(both) - take + 1, take))
@@ -251,15 +258,16 @@ def with_halo(df: DataFrame, window_us: int, block_us: int, ts: str = "ts_us") -
     """Copy rows into the next block while they can still matter there.
 
     Adds ``_block`` and ``_out`` (false on copies).  ``block_us`` is raised to
-    the window length, so a row reaches at most one later block.
+    the window length, so a row reaches at most one later block.  Rows without a
+    time share a block of their own.
     """
     size = F.lit(max(int(block_us), int(window_us) + 1))
     home = F.floor(F.col(ts) / size).cast("long")
     last = F.floor((F.col(ts) + F.lit(int(window_us))) / size).cast("long")
     return (
         df.withColumn("_home", home)
-        .withColumn(BLOCK, F.explode(F.sequence(F.col("_home"), last)))
-        .withColumn("_out", F.col(BLOCK) == F.col("_home"))
+        .withColumn(BLOCK, F.explode_outer(F.sequence(F.col("_home"), last)))
+        .withColumn("_out", F.col(BLOCK).eqNullSafe(F.col("_home")))
         .drop("_home")
     )
 
@@ -293,7 +301,8 @@ def sliding_totals(
         F.struct((F.col(ts) + F.lit(int(window_us) + 1)).alias("at"), F.lit(0).alias("kind"), *values(-1)),
     )
     # shuffle single rows; the second event of a row is made behind the exchange
-    base = base.repartition(*keys, BLOCK).withColumn("_e", F.explode(events))
+    timed = F.filter(events, lambda x: x["at"].isNotNull() | (x["kind"] == 1))
+    base = base.repartition(*keys, BLOCK).withColumn("_e", F.explode(timed))
     w = Window.partitionBy(*keys, BLOCK).orderBy("_e.at", "_e.kind", row_id)
     frame = w.rowsBetween(_FIRST, 0 if include_current else -1)
     out = base.withColumns({n: F.sum(f"_e.{n}").over(frame) for n in names})
@@ -321,9 +330,11 @@ def sliding_distinct(
     flag = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     base = with_halo(df.withColumn("_on", flag), window_us, block_us, ts).repartition(*keys, BLOCK)
     same = Window.partitionBy(*keys, BLOCK, "_on", value).orderBy(ts, row_id)
-    base = base.withColumns({"_p": F.lag(ts).over(same), "_n": F.lead(ts).over(same)})
-    starts = F.col("_on") & (F.col("_p").isNull() | (F.col(ts) - F.col("_p") > w_us))
-    stops = F.col("_on") & (F.col("_n").isNull() | (F.col("_n") - F.col(ts) > w_us))
+    mark = F.struct(F.col(ts).alias("t"))  # not NULL where the time is
+    base = base.withColumns({"_p": F.lag(mark).over(same), "_n": F.lead(mark).over(same)})
+    far = lambda gap: F.coalesce(gap > w_us, F.lit(False))
+    starts = F.col("_on") & (F.col("_p").isNull() | far(F.col(ts) - F.col("_p.t")))
+    stops = F.col("_on") & F.col(ts).isNotNull() & (F.col("_n").isNull() | far(F.col("_n.t") - F.col(ts)))
     # a row is itself an event and, at the end of a presence, a second one
     edges = F.array(
         F.struct(F.col(ts).alias("at"), F.lit(1).alias("kind"), starts.cast("int").alias("edge")),
@@ -348,38 +359,32 @@ def sliding_max(
     The line is cut into cells as long as the window.  A window is the tail of
     the previous cell plus the head of its own: the head is a running maximum,
     the tail a running maximum taken backwards and read at ``t - w``.  Every row
-    goes to its own cell and, as a narrow question, to the one before.
+    goes to its own cell and, as a question, to the one before; only the key, the
+    time, the id and the values travel, and the two answers join the row on its id.
+    Rows without a time see the rows without a time up to their own.
     """
     w_us = F.lit(int(window_us))
     names = list(values)
     rows = df.withColumns({f"_v_{n}": values[n] for n in names})
-    wide = F.struct(*[F.col(c) for c in df.columns])
     kinds = {n: rows.schema[f"_v_{n}"].dataType for n in names}
     cell = lambda t: F.floor(t / w_us).cast("long")
 
-    def event(at: Column, kind: int, row: Column, vals: list[Column]) -> Column:
-        return F.struct(
-            cell(at).alias(BLOCK), at.alias("_at"), F.lit(kind).alias("_kind"), F.col(row_id).alias("_rid"),
-            row.alias("_row"), *vals,
-        )
+    def event(at: Column, kind: int, vals: list[Column]) -> Column:
+        return F.struct(cell(at).alias(BLOCK), at.alias("_at"), F.lit(kind).alias("_kind"), F.col(row_id).alias("_rid"), *vals)
 
-    none = F.lit(None)
     events = F.array(
-        event(F.col(ts), 0, wide, [F.col(f"_v_{n}").alias(f"_v_{n}") for n in names]),
-        event(F.col(ts) - w_us, 1, none.cast(rows.select(wide.alias("r")).schema["r"].dataType),
-              [none.cast(kinds[n]).alias(f"_v_{n}") for n in names]),
-    )
-    placed = rows.select(*keys, F.explode(events).alias("_e")).select(*keys, "_e.*")
+        event(F.col(ts), 0, [F.col(f"_v_{n}").alias(f"_v_{n}") for n in names]),
+        event(F.col(ts) - w_us, 1, [F.lit(None).cast(kinds[n]).alias(f"_v_{n}") for n in names]),
+    )
+    timed = F.filter(events, lambda x: x["_at"].isNotNull() | (x["_kind"] == 0))
+    placed = rows.select(*keys, F.explode(timed).alias("_e")).select(*keys, "_e.*")
     part = Window.partitionBy(*keys, BLOCK)
     head = part.orderBy("_at", "_kind", "_rid").rowsBetween(_FIRST, 0)
     tail = part.orderBy(F.desc("_at"), F.asc("_kind")).rowsBetween(_FIRST, 0)
     own = F.col("_kind") == 0
     placed = placed.withColumns({f"_h_{n}": F.when(own, F.max(f"_v_{n}").over(head)) for n in names})
     placed = placed.withColumns({f"_t_{n}": F.when(~own, F.max(f"_v_{n}").over(tail)) for n in names})
-    # the two halves of a row meet again on its id
-    met = placed.groupBy("_rid").agg(
-        F.first("_row", ignorenulls=True).alias("_row"),
-        *[F.max(f"_h_{n}").alias(f"_h_{n}") for n in names],
-        *[F.max(f"_t_{n}").alias(f"_t_{n}") for n in names],
-    )
-    return met.select("_row.*", *[F.greatest(f"_h_{n}", f"_t_{n}").alias(n) for n in names])
+    best = lambda n: F.greatest(F.max(f"_h_{n}"), F.max(f"_t_{n}")).alias(f"_m_{n}")
+    met = placed.groupBy("_rid").agg(*[best(n) for n in names])
+    out = df.join(met, F.col(row_id) == F.col("_rid"))
+    return out.select(*df.columns, *[F.col(f"_m_{n}").alias(n) for n in names])

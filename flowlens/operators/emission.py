@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from flowlens.operators.blocked import BLOCK, time_block
 from flowlens.session import stage
 
-_STATE = "struct<ts:bigint,p:double,b:double>"
-_NODE = "struct<ts:bigint,p:double,b:double,fresh:boolean,exit_ts:bigint,exit_p:double,exit_b:double>"
+_NODE = ("ts", "p", "b", "fresh", "exit_ts", "exit_p", "exit_b")
+_NODE_TYPE = "ts long, p double, b double, fresh boolean, exit_ts long, exit_p double, exit_b double"
+_SLICE = 10_000
 
 
 def _fires(p0: float, b0: float, p: float, b: float, min_p: float, min_b: float) -> bool:
@@ -79,49 +80,58 @@ class _Chains:
 
 
 def _chase(block_us: int, force_us: int, min_p: float, min_b: float):
+    """One row per candidate of a block, in order, so that no row grows with a block."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, chains = None, None
-        names = ("ts", "p", "b", "fresh", "exit_ts", "exit_p", "exit_b")
 
         def done(where, c):
-            return {"_key": where[0], BLOCK: where[1], "nodes": [dict(zip(names, n)) for n in c.nodes()]}
+            nodes = c.nodes()
+            for i in range(0, len(nodes), _SLICE):
+                part = pd.DataFrame(nodes[i : i + _SLICE], columns=list(_NODE))
+                part.insert(0, "_seq", range(i, i + len(part)))
+                part.insert(0, BLOCK, where[1])
+                part.insert(0, "_key", where[0])
+                yield part
 
         for pdf in batches:
-            rows = []
+            parts = []
             for key, block, ts, p, b, fresh in zip(
                 pdf["_key"], pdf[BLOCK], pdf["_ts"], pdf["_p"], pdf["_b"], pdf["_fresh"]
             ):
                 if (key, block) != at:
                     if at is not None:
-                        rows.append(done(at, chains))
+                        parts += done(at, chains)
+                        if sum(map(len, parts)) > _SLICE:
+                            yield pd.concat(parts)
+                            parts = []
                     at, chains = (key, block), _Chains(block * block_us, force_us, min_p, min_b)
                 chains.add(ts, p, b, bool(fresh))
-            if rows:
-                yield pd.DataFrame(rows)
+            if parts:
+                yield pd.concat(parts)
         if at is not None:
-            yield pd.DataFrame([done(at, chains)])
+            yield from done(at, chains)
 
     return run
 
 
 def _thread(force_us: int, min_p: float, min_b: float):
+    """Entry state of every block of a key, from its candidates in order."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+        key_at, block_at, state, chosen = None, None, None, False
         for pdf in batches:
             rows = []
-            for key, block, nodes in zip(pdf["_key"], pdf[BLOCK], pdf["nodes"]):
-                if key != at:
-                    at, state = key, None
-                rows.append((key, block, *(state or (None, None, None))))
-                for n in nodes:
-                    if (
-                        state is None
-                        or n["fresh"]
-                        or n["ts"] - state[0] >= force_us
-                        or _fires(state[1], state[2], n["p"], n["b"], min_p, min_b)
-                    ):
-                        state = (n["exit_ts"], n["exit_p"], n["exit_b"])
-                        break
+            for key, block, ts, p, b, fresh, *after in zip(pdf["_key"], pdf[BLOCK], *[pdf[c] for c in _NODE]):
+                if key != key_at:
+                    key_at, block_at, state = key, None, None
+                if block != block_at:
+                    block_at, chosen = block, False
+                    rows.append((key, block, *(state or (None, None, None))))
+                if not chosen and (
+                    state is None or fresh or ts - state[0] >= force_us or _fires(state[1], state[2], p, b, min_p, min_b)
+                ):
+                    state, chosen = tuple(after), True
             out = pd.DataFrame(rows, columns=["_key", BLOCK, "in_ts", "in_p", "in_b"])
             yield out.astype({"in_ts": "Int64", "in_p": "float64", "in_b": "float64"})
 
@@ -172,7 +182,8 @@ def keep_changed(
     ``df`` is read three times, so it is staged once first.
 
     Without counters this is a plain cool-down of ``force_us``.  ``fresh`` marks
-    rows before which the state of the key was dropped.
+    rows before which the state of the key was dropped.  NULL keys are keys; a row
+    without a time can't be placed, so it is kept and touches no state.
     """
     block_us = max(int(block_us), 4 * int(force_us))
     force_us = int(force_us)
@@ -185,8 +196,8 @@ def keep_changed(
         }
     )
     df = stage(df, "fold-input")
-    small = df.select(
-        F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]).alias("_key"),
+    small = df.filter(F.col(ts).isNotNull()).select(
+        F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"),
         time_block(block_us, ts).alias(BLOCK),
         F.col(ts).cast("long").alias("_ts"),
         F.col(row_id).cast("long").alias("_rid"),
@@ -199,11 +210,11 @@ def keep_changed(
     chains = (
         small.repartition(*by_block)
         .sortWithinPartitions(*by_block, "_ts", "_rid")
-        .mapInPandas(_chase(block_us, *limits), f"_key string, {BLOCK} long, nodes array<{_NODE}>")
+        .mapInPandas(_chase(block_us, *limits), f"_key string, {BLOCK} long, _seq long, {_NODE_TYPE}")
     )
     entries = (
         chains.repartition("_key")
-        .sortWithinPartitions("_key", BLOCK)
+        .sortWithinPartitions("_key", BLOCK, "_seq")
         .mapInPandas(_thread(*limits), f"_key string, {BLOCK} long, in_ts long, in_p double, in_b double")
     )
     kept = (
@@ -213,4 +224,5 @@ def keep_changed(
         .mapInPandas(_walk(*limits), f"_key string, {BLOCK} long, _ts long, _rid long")
         .select(F.col("_rid").alias(row_id))
     )
+    kept = kept.unionByName(df.filter(F.col(ts).isNull()).select(F.col(row_id).cast("long").alias(row_id)))
     return df.join(kept, row_id, "left_semi").select(*given)

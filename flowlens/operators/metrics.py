@@ -87,7 +87,8 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def binary_metrics(df: DataFrame, threshold: float | Column, direction: str = HIGHER, score: str = "score") -> DataFrame:
-    """Precision, recall and F1 of the attack class; a zero division gives 0."""
+    """Precision, recall and F1 of the attack class over rows with a score; a zero division gives 0."""
+    df = _usable(df, score)
     y, hit = _truth(df) == 1, S.is_hit(score, threshold, direction == LOWER)
     c = df.agg(
         F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn")
@@ -99,7 +100,7 @@ def binary_metrics(df: DataFrame, threshold: float | Column, direction: str = HI
     )
 
 
-def curve(df: DataFrame, direction: str = HIGHER, score: str = "score", ranges: int = 256) -> DataFrame:
+def curve(df: DataFrame, direction: str = HIGHER, score: str = "score", ranges: int | None = None) -> DataFrame:
     """Points per distinct score, counted from the attack end.
 
     ``tp`` / ``fp`` include the score itself, ``tp0`` / ``fp0`` do not; ``pos`` /

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions import scalars as S
 from flowlens.operators import blocked
@@ -260,8 +261,8 @@ def trim_limit(
     )
 
 
-def active_flows(obs: DataFrame, n: int = 120, keys: Sequence[str] = FLOW_KEY) -> DataFrame:
-    """The ``n`` most recently seen flows with their latest counters."""
+def active_flows(obs: DataFrame, n: int | None = 120, keys: Sequence[str] = FLOW_KEY) -> DataFrame:
+    """The ``n`` most recently seen flows (None: all, in no order) with their latest counters."""
     last = F.struct("ts_us", "row_id")
     state = ["packet_count", "byte_count", "packet_rate", "byte_rate"]
     flows = obs.groupBy(*keys).agg(
@@ -270,19 +271,17 @@ def active_flows(obs: DataFrame, n: int = 120, keys: Sequence[str] = FLOW_KEY) -
         F.min("ts_us").alias("_first"),
         F.count(F.lit(1)).alias("seen_polls"),
     )
-    return (
-        flows.select(
-            *keys,
-            *[F.col(f"_s.{c}").alias(f"last_{c}") for c in state],
-            ((F.col("last_seen_us") - F.col("_first")) / 1e6).alias("flow_age_s"),
-            "seen_polls",
-            "last_seen_us",
-        )
-        .orderBy(
-            F.desc("last_seen_us"), F.desc("last_packet_rate"), F.desc("last_byte_rate"), *[F.asc(k) for k in keys]
-        )
-        .limit(n)
+    flows = flows.select(
+        *keys,
+        *[F.col(f"_s.{c}").alias(f"last_{c}") for c in state],
+        ((F.col("last_seen_us") - F.col("_first")) / 1e6).alias("flow_age_s"),
+        "seen_polls",
+        "last_seen_us",
     )
+    if n is None:
+        return flows
+    newest = [F.desc(c) for c in ("last_seen_us", "last_packet_rate", "last_byte_rate")]
+    return flows.orderBy(*newest, *[F.asc(k) for k in keys]).limit(n)
 
 
 def topology(obs: DataFrame, n_hosts: int = 60, n_links: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -311,18 +310,22 @@ def hosts_of(*tables: DataFrame) -> DataFrame:
 
 
 def correlate_polls(requests: DataFrame, replies: DataFrame, timeout_s: float) -> DataFrame:
-    """Requests with their reply, or a time-out when none came in time."""
-    late = F.col("request_us") + F.lit(_us(timeout_s))
-    r = requests.alias("q").join(
-        replies.alias("r"),
-        (F.col("q.dpid") == F.col("r.dpid"))
-        & (F.col("q.poll_cycle_id") == F.col("r.poll_cycle_id"))
-        & (F.col("r.reply_us") >= F.col("q.request_us"))
-        & (F.col("r.reply_us") <= late),
-        "left",
-    )
+    """Requests with their reply, or a time-out when none came in time.
+
+    A reply may come in several messages, and messages may repeat: those in time are one
+    reply, whose time is the last one's; its numbers are summed over different messages.
+    """
     extra = [c for c in replies.columns if c not in ("dpid", "poll_cycle_id", "reply_us")]
-    return r.select(
+    numbers = {f.name for f in replies.schema.fields if isinstance(f.dataType, T.NumericType)}
+    asked = requests.select(F.col("dpid").alias("_d"), F.col("poll_cycle_id").alias("_c"), F.col("request_us").alias("_q")).distinct()
+    in_time = (F.col("reply_us") >= F.col("_q")) & (F.col("reply_us") <= F.col("_q") + F.lit(_us(timeout_s)))
+    got = replies.distinct().join(asked, (F.col("dpid") == F.col("_d")) & (F.col("poll_cycle_id") == F.col("_c")) & in_time)
+    one = got.groupBy("_d", "_c", "_q").agg(
+        F.max("reply_us").alias("reply_us"),
+        *[(F.sum(c) if c in numbers else F.max_by(c, "reply_us")).alias(c) for c in extra],
+    )
+    same = (F.col("q.dpid") == F.col("r._d")) & (F.col("q.poll_cycle_id") == F.col("r._c")) & (F.col("q.request_us") == F.col("r._q"))
+    return requests.alias("q").join(one.alias("r"), same, "left").select(
         "q.*",
         F.col("r.reply_us").alias("reply_us"),
         *[F.col(f"r.{c}").alias(c) for c in extra],

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FIRST = Window.unboundedPreceding
@@ -32,12 +32,17 @@ def _count_leading(df: DataFrame, name: str, items: Column, size: int, test) ->
     return df
 
 
+def default_ranges(spark: SparkSession) -> int:
+    """As many ranges as the session has shuffle partitions, so that a range fits a task."""
+    return min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+
+
 def cumulative(
     df: DataFrame,
     value: Column,
     sums: Mapping[str, Column],
     group: Column | None = None,
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per distinct value: sums and sums over all smaller values (``before_*``).
 
@@ -45,7 +50,7 @@ def cumulative(
     one row per group.  Columns: ``_group, _value, <sums>, before_<sums>,
     total_<sums>``.
     """
-    n = max(4, int(ranges))
+    n = max(4, int(ranges or default_ranges(df.sparkSession)))
     names = list(sums)
     base = df.select(
         (F.lit(0) if group is None else group).alias(_G),
@@ -85,7 +90,7 @@ def exact_quantiles(
     value: Column,
     at: Sequence[float],
     group: Column | None = None,
-    ranges: int = 256,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles: rows ``(_group, q_index, q, value)``."""
     cum = cumulative(df, value, {"n": F.lit(1).cast("long")}, group, ranges)

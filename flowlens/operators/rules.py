@@ -49,28 +49,53 @@ def _seconds(s: float) -> str:
 # --- window state -------------------------------------------------------------------
 
 
-def with_service_baseline(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
-    """``base_packet_rate`` / ``base_byte_rate``: mean rates of the service before this row.
+#: A window's rows are worked on in blocks of this many window lengths.
+WINDOWS_PER_BLOCK = 16
 
-    Only rows with history within the window count; null with too few of them,
-    never below 1.  Rates are summed as decimals, so that leaving the window
-    takes out exactly what entering it put in.
+
+def _block_us(window_us: int, block_us: int | None) -> int:
+    return int(block_us or WINDOWS_PER_BLOCK * window_us)
+
+
+def _attach(df: DataFrame, *found: DataFrame) -> DataFrame:
+    """Window results back on their rows; all joins share the partitioning by ``row_id``."""
+    for f in found:
+        df = df.join(f, "row_id", "left")
+    return df
+
+
+def service_baseline(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """(row_id, base_packet_rate, base_byte_rate) of every row, from narrow rows.
+
+    Rates are summed as decimals, so that leaving the window takes out exactly what
+    entering it put in.
     """
     seen = F.col("has_history")
-    exact = lambda c: F.when(seen, F.col(c)).otherwise(F.lit(0.0)).cast("decimal(28,9)")
-    df = blocked.sliding_totals(
-        df,
+    exact = lambda c: F.when(seen, F.col(c)).otherwise(F.lit(0.0)).cast("decimal(28,9)").alias(c)
+    window = _us(policy.baseline_window_s)
+    rows = df.select(*SERVICE, "ts_us", "row_id", seen.cast("long").alias("seen"), exact("packet_rate"), exact("byte_rate"))
+    sums = blocked.sliding_totals(
+        rows,
         SERVICE,
-        _us(policy.baseline_window_s),
-        {"_n": seen.cast("long"), "_p": exact("packet_rate"), "_b": exact("byte_rate")},
-        block_us,
+        window,
+        {"_n": F.col("seen"), "_p": F.col("packet_rate"), "_b": F.col("byte_rate")},
+        _block_us(window, block_us),
         include_current=False,
     )
     enough = F.col("_n") >= policy.baseline_min_samples
     mean = lambda c: F.when(
         enough & (F.col("_n") > 0), F.greatest(F.col(c).cast("double") / F.col("_n"), F.lit(1.0))
     )
-    return df.withColumns({"base_packet_rate": mean("_p"), "base_byte_rate": mean("_b")}).drop("_n", "_p", "_b")
+    return sums.select("row_id", mean("_p").alias("base_packet_rate"), mean("_b").alias("base_byte_rate"))
+
+
+def with_service_baseline(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """``base_packet_rate`` / ``base_byte_rate``: mean rates of the service before this row.
+
+    Only rows with history within the window count; null with too few of them,
+    never below 1.
+    """
+    return _attach(df, service_baseline(df, policy, block_us))
 
 
 def with_hit_streak(
@@ -188,10 +213,14 @@ def _scannable(policy: Policy) -> Column:
     )
 
 
-def scan_support(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
-    """Port scan: distinct privileged ports from one source to one destination."""
-    ok = _scannable(policy)
-    df = blocked.sliding_distinct(df, SCAN, "dst_port", _us(policy.scan_window_s), block_us, "_ports", when=ok)
+def scan_ports(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """(row_id, _ports) of the rows that can count for a scan; the others aren't shuffled."""
+    window = _us(policy.scan_window_s)
+    rows = df.filter(_scannable(policy)).select(*SCAN, "dst_port", "ts_us", "row_id")
+    return blocked.sliding_distinct(rows, SCAN, "dst_port", window, _block_us(window, block_us), "_ports").select("row_id", "_ports")
+
+
+def _scan_column(policy: Policy) -> Column:
     n = F.col("_ports")
     severity = F.when(n >= policy.scan_attack_unique_ports, "high").otherwise("medium")
     reason = F.concat(
@@ -199,21 +228,29 @@ def scan_support(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US)
         F.lit(f" in {_seconds(policy.scan_window_s)}"),
     )
     emit = F.concat(F.lit("scan:"), key_column("scan"))
-    hit = ok & (n >= min(policy.scan_unique_ports, policy.scan_attack_unique_ports))
-    return df.withColumn("scan", F.when(hit, _support(reason, severity, n, emit, "scan_rule", "Probe"))).drop("_ports")
+    hit = n >= min(policy.scan_unique_ports, policy.scan_attack_unique_ports)
+    return F.when(hit, _support(reason, severity, n, emit, "scan_rule", "Probe"))
 
 
-def bruteforce_support(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
-    """Brute force: TCP attempts on a login port within the window."""
+def scan_support(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """Port scan: distinct privileged ports from one source to one destination."""
+    return _attach(df, scan_ports(df, policy, block_us)).withColumn("scan", _scan_column(policy)).drop("_ports")
+
+
+def login_attempts(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """(row_id, _tries) of the rows that are attempts on a login port; the others aren't shuffled."""
     ok = (
         F.col("dst_port").isin(*policy.bfa_ports)
         & (F.col("protocol") == 6)
         & S.has_observed()
         & ~S.is_response()
     )
-    df = blocked.sliding_totals(
-        df, BFA, _us(policy.bfa_window_s), {"_tries": F.coalesce(ok, F.lit(False)).cast("long")}, block_us
-    )
+    window = _us(policy.bfa_window_s)
+    rows = df.filter(ok).select(*BFA, "ts_us", "row_id")
+    return blocked.sliding_totals(rows, BFA, window, {"_tries": F.lit(1).cast("long")}, _block_us(window, block_us)).select("row_id", "_tries")
+
+
+def _bfa_column(policy: Policy) -> Column:
     n = F.col("_tries")
     severity = F.when(n >= policy.bfa_attack_threshold, "high").otherwise("medium")
     reason = F.concat(
@@ -221,8 +258,18 @@ def bruteforce_support(df: DataFrame, policy: Policy, block_us: int = blocked.DA
         F.col("dst_port").cast("string"), F.lit(f" in {_seconds(policy.bfa_window_s)}"),
     )
     emit = F.concat(F.lit("bfa:"), key_column("bfa"))
-    hit = ok & (n >= policy.bfa_attempt_threshold)
-    return df.withColumn("bfa", F.when(hit, _support(reason, severity, n, emit, "bfa_rule", "BFA"))).drop("_tries")
+    return F.when(n >= policy.bfa_attempt_threshold, _support(reason, severity, n, emit, "bfa_rule", "BFA"))
+
+
+def bruteforce_support(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """Brute force: TCP attempts on a login port within the window."""
+    return _attach(df, login_attempts(df, policy, block_us)).withColumn("bfa", _bfa_column(policy)).drop("_tries")
+
+
+def window_supports(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
+    """Scan and brute-force supports and the service baseline, joined to the rows in one go."""
+    out = _attach(df, scan_ports(df, policy, block_us), login_attempts(df, policy, block_us), service_baseline(df, policy, block_us))
+    return out.withColumns({"scan": _scan_column(policy), "bfa": _bfa_column(policy)}).drop("_ports", "_tries")
 
 
 def _service_column(policy: Policy, ports: Column) -> Column:
@@ -303,10 +350,10 @@ def _volumetric_column(policy: Policy) -> Column:
     )
 
 
-def volumetric_support(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
+def volumetric_support(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """Hard volume limits, else multiples of the service baseline."""
     df = with_service_baseline(df, policy, block_us)
-    df = with_volumetric_hits(df, policy, block_us)
+    df = with_volumetric_hits(df, policy, block_us or blocked.DAY_US)
     return df.withColumn("volumetric", _volumetric_column(policy))
 
 
@@ -345,16 +392,13 @@ def _headline(s: Column) -> Column:
     )
 
 
-def with_supports(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
+def with_supports(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """All five rules on one observation table, and their summary.
 
-    The bounded windows run in one pass each; their result is staged once, as the
-    counters over the entity scope read it twice.
+    The bounded windows run on narrow rows; what they find is joined to the rows and
+    staged once, as the counters over the entity scope read it twice.
     """
-    df = scan_support(df, policy, block_us)
-    df = bruteforce_support(df, policy, block_us)
-    df = with_service_baseline(df, policy, block_us)
-    df = stage(df, "rule-windows")
+    df = stage(window_supports(df, policy, block_us), "rule-windows")
     ports = allowed_ports(policy)
     bad, good = _violation(ports)
     df = blocked.running_since_reset(
@@ -362,7 +406,7 @@ def with_supports(df: DataFrame, policy: Policy, block_us: int = blocked.DAY_US)
         ENTITY,
         ORDER,
         {"violation_hits": (bad.cast("long"), good), "volumetric_hits": _volumetric_counter(policy)},
-        blocked.time_block(block_us),
+        blocked.time_block(block_us or blocked.DAY_US),
     )
     df = df.withColumns(
         {
@@ -495,10 +539,10 @@ def fuse(df: DataFrame, policy: Policy, flow_key: Column | None = None) -> DataF
     )
 
 
-def decide(obs: DataFrame, policy: Policy, block_us: int = blocked.DAY_US) -> DataFrame:
+def decide(obs: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """Observations with a nullable ``score`` to decisions."""
     df = with_supports(obs, policy, block_us)
-    df = with_hit_streak(df, policy, FLOW, block_us)
+    df = with_hit_streak(df, policy, FLOW, block_us or blocked.DAY_US)
     return fuse(df, policy)
 
 

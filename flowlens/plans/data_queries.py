@@ -98,6 +98,55 @@ def _(t):
                      "label", "source_file", "packet_count", "byte_count", "packet_delta")
 
 
+@query(
+    "s2_read_alternate_folder",
+    with_pieces("flow_export labelled", """SELECT f.src_port, f.dst_port, f.protocol, f.fwd_pkts::DOUBLE AS fwd_pkts, f.bwd_bytes::DOUBLE AS bwd_bytes, l.label
+ FROM flow_export f JOIN labelled l USING (row_id)"""),
+)
+def _(t):
+    """A folder of two alternate exports with other header order and spelling."""
+    path = new_path(t.spark, "alternate")
+    src = _alternate_source(t).drop("source_file")
+    first = src.filter("row_id % 2 = 0").drop("row_id")
+    other = src.filter("row_id % 2 = 1").select(*[F.col(f"`{c}`").alias(c.upper().replace("_", " ")) for c in reversed(src.columns) if c != "row_id"])
+    first.write.option("header", True).csv(f"{path}/a")
+    other.write.option("header", True).csv(f"{path}/b")
+    df = exports.read_alternate_export(t.spark, path)
+    return df.select("src_port", "dst_port", "protocol", "fwd_pkts", "bwd_bytes", "label")
+
+
+@query(
+    "s3_read_replay_csv",
+    with_pieces(
+        "flows",
+        f"""SELECT ts_us, conversation_key AS flow_key, src_ip, dst_ip, src_port, dst_port, protocol, label, {r6('packet_count', 'byte_count')} FROM flows""",
+    ),
+)
+def _(t):
+    """A replay table written as CSV and read back in time order."""
+    path = new_path(t.spark, "replay")
+    cols = ["ts_us", "conversation_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "label", "packet_count", "byte_count"]
+    t.flows().select(*cols).write.option("header", True).csv(path)
+    df = exports.read_replay(t.spark, path)
+    return df.select("ts_us", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "label", "packet_count", "byte_count")
+
+
+@query(
+    "w1_poll_deltas_null_keys",
+    with_pieces(
+        "poll_stats",
+        """SELECT row_id, lag(row_id) OVER w IS NOT NULL AS has_history, coalesce(greatest(packet_count - lag(packet_count) OVER w, 0), 0)::DOUBLE AS packet_delta
+ FROM (SELECT * REPLACE (CASE WHEN src_port % 5 = 0 THEN NULL ELSE dst_ip END AS dst_ip, CASE WHEN src_port % 7 = 0 THEN NULL ELSE src_port END AS src_port) FROM poll_stats)
+ WINDOW w AS (PARTITION BY dpid, src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us, row_id)""",
+    ),
+)
+def _(t):
+    """Readings without a destination or a source port are flows like any other."""
+    port = F.col("src_port")
+    src = t.get("poll_stats").withColumns({"dst_ip": F.when(port % 5 != 0, F.col("dst_ip")), "src_port": F.when(port % 7 != 0, port)})
+    return polls.with_poll_deltas(src).select("row_id", "has_history", "packet_delta")
+
+
 @query(
     "s6_sample_telemetry",
     with_pieces("obs", f"SELECT row_id, ts_us, {r6('packet_delta', 'byte_delta')} FROM obs WHERE row_id % 5 = 0"),

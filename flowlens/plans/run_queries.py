@@ -58,7 +58,7 @@ def _(t):
 @query("f5_search_flows", with_pieces("latest_flows", """SELECT src_ip, dst_ip, src_port, dst_port FROM latest_flows WHERE protocol = 17
  AND contains(lower(src_ip || ' ' || dst_ip || ' ' || 'dp' || dpid || '|src=' || src_ip || '|dst=' || dst_ip || '|proto=' || protocol || '|sport=' || src_port || '|dport=' || dst_port || ' ' || dst_port || ' UDP'), '10.0.0.1')"""))
 def _(t):
-    flows = features.with_key(polls.active_flows(t.obs(), 100_000), "runtime", "entity_key")
+    flows = features.with_key(polls.active_flows(t.obs(), None), "runtime", "entity_key")
     return runs.search_flows(flows, "10.0.0.1", 17).select("src_ip", "dst_ip", "src_port", "dst_port")
 
 

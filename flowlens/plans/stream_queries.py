@@ -19,8 +19,12 @@ from flowlens.streaming import streams
 SLICES = 3
 
 
-def _sliced(df, keys, ts="ts_us"):
-    """Write ``df`` as files in time order; all rows of a key in a slice share a file."""
+def _sliced(df, keys, ts="ts_us", closing=None):
+    """Write ``df`` as files in time order; all rows of a key in a slice share a file.
+
+    ``closing``: columns of one more row, written last and a day after the end, that moves
+    the watermark past every real row.
+    """
     path = new_path(df.sparkSession, "slices")
     df = stage(df, "stream-input")
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
@@ -28,6 +32,10 @@ def _sliced(df, keys, ts="ts_us"):
     for i in range(SLICES):
         part = df.filter((F.col(ts) >= lo + i * step) & (F.col(ts) < lo + (i + 1) * step))
         part.repartition(2, *keys).write.mode("append").parquet(path)
+    if closing:
+        end = {ts: F.lit(hi + DAY).cast("long"), **closing}
+        last = df.limit(1).select(*[(end[c].cast(t) if c in end else F.col(c)).alias(c) for c, t in df.dtypes])
+        last.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -82,33 +90,25 @@ def _(t):
     return t.spark.read.parquet(f"{path}/v{n}").select("run_id", "s.*")
 
 
-@query(
-    "x9_health_stream",
-    with_pieces("scored", f"SELECT * FROM ({_HEALTH.format(w=3_600_000_000)}) h WHERE end_us <= (SELECT max(ts_us) FROM scored) // 1000 * 1000 - 3600000000"),
-)
+@query("x9_health_stream", with_pieces("scored", _HEALTH.format(w=3_600_000_000)))
 def _(t):
-    """Closed windows only: the last hour stays open behind the watermark."""
-    path = _sliced(_with_latency(t.get("scored").drop("ts")), ["row_id"])
+    """All windows; the one of the closing row stays open behind the watermark."""
+    path = _sliced(_with_latency(t.get("scored").drop("ts")), ["row_id"], closing={"row_id": F.lit(-1)})
     return _to_table(streams.health_stream(streams.table_stream(t.spark, path, 2), "1 hour", "1 hour"), "health")
 
 
 @query(
     "j3_correlate_polls_stream",
-    with_pieces(
-        "correlated",
-        f"""SELECT dpid, poll_cycle_id, request_us, reply_us, timed_out, round(reply_delay_ms, 6) AS reply_delay_ms FROM correlated
- WHERE request_us < (SELECT max(request_us) FROM correlated) - {DAY}""",
-    ),
+    with_pieces("correlated", "SELECT dpid, poll_cycle_id, request_us, reply_us, timed_out, round(reply_delay_ms, 6) AS reply_delay_ms FROM correlated"),
 )
 def _(t):
-    """All but the last day, whose time-outs the watermark has not passed."""
+    """All requests; the closing row of both sides has switch -1."""
     log = t.get("poll_log")
-    req = _sliced(log.select("dpid", "poll_cycle_id", "request_us"), ["dpid"], "request_us")
-    rep = _sliced(log.filter("reply_us IS NOT NULL").select("dpid", "poll_cycle_id", "reply_us"), ["dpid"], "reply_us")
+    closing = {"dpid": F.lit(-1), "poll_cycle_id": F.lit(-1)}
+    req = _sliced(log.select("dpid", "poll_cycle_id", "request_us"), ["dpid"], "request_us", closing)
+    rep = _sliced(log.filter("reply_us IS NOT NULL").select("dpid", "poll_cycle_id", "reply_us"), ["dpid"], "reply_us", closing)
     df = streams.correlate_polls_stream(streams.table_stream(t.spark, req, 2), streams.table_stream(t.spark, rep, 2), 0.6, "1 hour")
-    out = _to_table(df, "correlated")
-    newest = log.agg(F.max("request_us")).scalar()
-    return out.filter(F.col("request_us") < newest - F.lit(DAY))
+    return _to_table(df, "correlated").filter("dpid >= 0")
 
 
 @query("s5_stream_sink", with_pieces("scored", "SELECT row_id, round(score, 6) AS score FROM scored WHERE status = 'ATTACK'"))

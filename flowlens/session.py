@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,12 +63,24 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer file splits than the cluster has cores.
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
 
-    A large table has far more splits, so nothing is shuffled there.
+    Python workers then find it from any working folder, installed there or not.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowlens-code-"), "flowlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("flowlens", os.path.relpath(full, root)))
+    context.addPyFile(path)

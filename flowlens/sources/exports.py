@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.functions import scalars as S
@@ -27,6 +30,7 @@ EXPORT_COLUMNS = {
     "TotLen Bwd Pkts": "bwd_bytes",
     "Label": "label_raw",
 }
+# File names of the export.
 DEFAULT_FILES = ["Normal_data.csv", "OVS.csv", "metasploitable-2.csv"]
 
 # Header spellings of the alternate export, in order of preference.
@@ -48,28 +52,66 @@ ALTERNATE_ALIASES = {
 _ALTERNATE_DEFAULTS = {"src_port": "-1", "dst_port": "-1", "protocol": "-1", "label_raw": "Normal"}
 
 
-def _csv(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
-    """One CSV file (or folder of parts), all text, trimmed headers, with a row number.
+_PLACE = ["source_file", "_part", "_split", "_mid"]
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Data files under ``path`` by their header; one line of each file is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[tuple[str, ...], list[str]] = {}
+    listed = fs.globStatus(root)
+    todo = sorted((x.getPath() for x in listed or []), key=str)
+    while todo:
+        at = todo.pop(0)
+        if at.getName().startswith(("_", ".")) and str(at) != str(root):
+            continue
+        if fs.getFileStatus(at).isDirectory():
+            todo = sorted((x.getPath() for x in fs.listStatus(at)), key=str) + todo
+            continue
+        codec = codecs.getCodec(at)
+        stream = fs.open(at)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        line = lines.readLine()
+        lines.close()
+        if line:
+            found.setdefault(tuple(c.strip() for c in next(csv.reader([line.removeprefix("\ufeff")]))), []).append(at.toString())
+    if not found:
+        raise FileNotFoundError(f"no CSV file with a header under {path}")
+    return found
+
+
+def _csv_groups(spark: SparkSession, path: str, tag: str | None = None) -> list[DataFrame]:
+    """One all-text frame per header found under ``path``, with the place of each row.
+
+    Files with another order or spelling of columns are never read under one header.
+    """
+    out = []
+    for header, files in sorted(_headers(spark, path).items()):
+        names = [c if c and c not in header[:i] else f"{c}#{i}" for i, c in enumerate(header)]
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+        raw = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", quote='"', escape='"').csv(files)
+        out.append(
+            raw.select(
+                *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
+                (F.lit(tag) if tag else F.col("_metadata.file_name")).alias("source_file"),
+                F.col("_metadata.file_path").alias("_part"),
+                F.col("_metadata.file_block_start").alias("_split"),
+                F.monotonically_increasing_id().alias("_mid"),
+            )
+        )
+    return out
+
 
-    ``source_file`` is ``tag`` or the file name.  Row numbers are exact: rows of a
-    file split keep their order and a table of one row per split supplies the offset.
+def _numbered(groups: Sequence[DataFrame]) -> DataFrame:
+    """Union of the groups with ``row_id``: the row's number in its source, from 0.
+
+    Rows of a file split keep their order and a table of one row per split supplies the offset.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
-    names = [c.strip() for c in raw.columns]
-    raw = raw.select(
-        *[F.col(f"`{old}`").alias(new) for old, new in zip(raw.columns, names)],
-        (F.lit(tag) if tag else F.col("_metadata.file_name")).alias("source_file"),
-        F.col("_metadata.file_name").alias("_part"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    place = ["source_file", "_part", "_split"]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    place = _PLACE[:3]
     splits = raw.groupBy(*place).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source_file").orderBy("_part", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -80,6 +122,11 @@ def _csv(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
     )
 
 
+def _csv(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
+    """CSV file or folder, all text, trimmed headers; ``source_file`` is ``tag`` or the file name."""
+    return _numbered(_csv_groups(spark, path, tag))
+
+
 def read_flow_export(
     spark: SparkSession, path: str, files: Sequence[str] | None = None, require: bool = True
 ) -> DataFrame:
@@ -137,8 +184,9 @@ def resolve_aliases(
 
 
 def read_alternate_export(spark: SparkSession, path: str, scheme: str = "telemetry_v2") -> DataFrame:
-    """Alternate flow export (no addresses) as telemetry rows."""
-    return alternate_rows(resolve_aliases(_csv(spark, path)), scheme)
+    """Alternate flow export (no addresses) as telemetry rows; every file by its own header."""
+    groups = [resolve_aliases(g, keep=_PLACE) for g in _csv_groups(spark, path)]
+    return alternate_rows(_numbered(groups), scheme)
 
 
 def alternate_rows(df: DataFrame, scheme: str = "telemetry_v2") -> DataFrame:
@@ -191,7 +239,8 @@ def replay_rows(df: DataFrame) -> DataFrame:
         "src_port_norm", "dst_port_norm", "protocol_tcp", "protocol_udp", "protocol_icmp",
     ):
         cols[c] = number([c], 0.0)
-    keep = [c for c in ("row_id", "ts_us", "poll_step", "parsed_timestamp") if c in have]
+    keep = [F.col(c).cast("long").alias(c) for c in ("row_id", "ts_us", "poll_step") if c in have]
+    keep += [F.col("parsed_timestamp")] if "parsed_timestamp" in have else []
     out = df.select(*keep, *[v.alias(k) for k, v in cols.items()])
     if "ts_us" not in have and "parsed_timestamp" in have:
         out = out.withColumn("ts_us", F.unix_micros(F.col("parsed_timestamp").try_cast("timestamp")))
@@ -244,6 +293,7 @@ def stream_rows(df: DataFrame, path: str, checkpoint: str, **trigger) -> Streami
     )
 
 
+# Columns of a telemetry sample.
 TELEMETRY_COLUMNS = [
     "ts_us", "entity_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
     "packet_rate", "byte_rate", "packet_delta", "byte_delta",

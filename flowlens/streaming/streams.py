@@ -151,6 +151,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rule_step(
     new: DataFrame,
     tail: DataFrame | None,
@@ -158,22 +163,27 @@ def rule_step(
     flow_seeds: DataFrame | None,
     policy: Policy,
     block_us: int = blocked.DAY_US,
+    scratch: str | None = None,
 ) -> DataFrame:
-    """Decisions of ``new`` observations given the rows and counters before them."""
+    """Decisions of ``new`` observations given the rows and counters before them.
+
+    Bounded windows are the rows' own, whatever their order of arrival; counters go on
+    in order of arrival: a row older than an earlier batch counts after that batch.
+    """
     df = new.withColumn("_new", F.lit(True))
     if tail is not None:
         df = df.unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    df = rules.scan_support(df, policy, block_us)
-    df = rules.bruteforce_support(df, policy, block_us)
-    df = rules.with_service_baseline(df, policy, block_us)
-    df = stage(df.filter("_new").drop("_new"), "rule-step")
+    df = rules.window_supports(df, policy, block_us).filter("_new").drop("_new")
+    df = _write(df, scratch) if scratch else stage(df, "rule-step")
     block = blocked.time_block(block_us)
 
     def seeded(rows: DataFrame, seeds: DataFrame | None, names: list[str]) -> DataFrame:
         """Counters of earlier batches enter as one row per key before all others."""
+        rows = rows.withColumn("_seed", F.lit(False))
         if seeds is None:
             return rows.withColumns({f"_s_{n}": F.lit(None).cast("long") for n in names})
-        start = seeds.withColumns({"ts_us": F.lit(0).cast("long"), "row_id": F.lit(-1).cast("long")})
+        least = F.lit(-(2**62)).cast("long")
+        start = seeds.withColumns({"ts_us": least, "row_id": least, "_seed": F.lit(True)})
         start = start.select(
             *[c for c in start.columns if c not in names], *[F.col(n).alias(f"_s_{n}") for n in names]
         )
@@ -199,15 +209,15 @@ def rule_step(
             "volumetric_hits": counter("volumetric_hits", *rules._volumetric_counter(policy)),
         },
         block,
-    ).filter("row_id >= 0")
-    df = df.drop(*[f"_s_{n}" for n in names])
+    ).filter("NOT _seed")
+    df = df.drop("_seed", *[f"_s_{n}" for n in names])
     df = seeded(df, flow_seeds, ["hit_streak"])
     scored = F.col("score").isNotNull()
     hit = scored & rules.S.is_hit("score", policy.threshold, policy.lower_is_attack)
     idle = F.coalesce(F.col("gap_us") > _us(policy.entity_idle_timeout_s), F.lit(False))
     df = blocked.running_since_reset(
         df, rules.FLOW, rules.ORDER, {"hit_streak": counter("hit_streak", hit, idle | (scored & ~hit))}, block
-    ).filter("row_id >= 0").drop("_s_hit_streak")
+    ).filter("NOT _seed").drop("_seed", "_s_hit_streak")
     df = df.withColumns(
         {
             "service": rules._service_column(policy, ports),
@@ -232,7 +242,12 @@ def rules_stream(
     Every micro-batch reads version ``n - 1`` of three tables (rows inside the
     longest window, counters per entity scope, streaks per flow) and writes
     version ``n`` and the decisions of the batch; a repeated batch overwrites its
-    own output, so the result is exactly-once and survives lost executors.
+    own output, so the result is exactly-once and survives lost executors.  Tables of
+    the batch before last are deleted.
+
+    The rows kept are those within the longest window of the newest row of their own
+    destination (every rule's scope has one), so a reading with a wrong, far-off time
+    touches no other destination.
     """
     span = _us(max(policy.scan_window_s, policy.bfa_window_s, policy.baseline_window_s))
     cols = obs.columns
@@ -251,9 +266,9 @@ def rules_stream(
                 f"{state}/{name}/v{n}"
             )
 
-        new = stage(df, "micro-batch")
+        new = _write(df, f"{state}/new/v{n}")
         tail = load("tail", n - 1)
-        done = rule_step(new, tail, load("entity", n - 1), load("flow", n - 1), policy, block_us)
+        done = rule_step(new, tail, load("entity", n - 1), load("flow", n - 1), policy, block_us, f"{state}/step/v{n}")
         path = f"{out}/batch={n}"
         done.drop("supports", *rules.SUPPORTS).write.mode("overwrite").parquet(path)
         done = spark.read.parquet(path)
@@ -268,9 +283,10 @@ def rules_stream(
         merge("entity", latest(rules.ENTITY, ["violation_hits", "volumetric_hits"]), rules.ENTITY)
         merge("flow", latest(rules.FLOW, ["hit_streak"]), rules.FLOW)
         rows = new if tail is None else new.unionByName(tail)
-        newest = rows.agg(F.max("ts_us")).scalar()
-        rows.filter(F.col("ts_us") >= newest - F.lit(span)).select(*cols).write.mode("overwrite").parquet(f"{state}/tail/v{n}")
-        for name in ("tail", "entity", "flow"):
+        newest = rows.groupBy(F.col("dst_ip").alias("_dst")).agg(F.max("ts_us").alias("_newest"))
+        kept = rows.join(newest, F.col("dst_ip").eqNullSafe(F.col("_dst"))).filter(F.col("ts_us") >= F.col("_newest") - F.lit(span))
+        kept.select(*cols).write.mode("overwrite").parquet(f"{state}/tail/v{n}")
+        for name in ("new", "step", "tail", "entity", "flow"):
             if n >= 2:
                 _delete(spark, f"{state}/{name}/v{n - 2}")
 
@@ -296,6 +312,8 @@ def latest_by_run_stream(df: DataFrame, path: str, checkpoint: str, **trigger) -
             rows = rows.unionByName(batch.sparkSession.read.parquet(f"{path}/v{n - 1}"))
         order = F.struct("s.ts_us", "s.row_id")
         rows.groupBy("run_id").agg(F.max_by("s", order).alias("s")).write.mode("overwrite").parquet(f"{path}/v{n}")
+        if n >= 2:  # a repeated batch reads the version before it
+            _delete(batch.sparkSession, f"{path}/v{n - 2}")
 
     return (
         state.writeStream.outputMode("update")

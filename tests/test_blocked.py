@@ -98,3 +98,57 @@ def test_sliding(data, window):
             assert before[r[2]] == (len(w) - 1,)
             assert dis[r[2]] == (len({x[3] for x in w if not x[4]}),)
             assert tuple(top[r[2]][0]) == max((x[3], x[2]) for x in w)
+
+
+# --- NULL keys and times -------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """Rows of which some have no key, some no time, some neither."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(300):
+        key = rnd.choice([None, "a", "b"])
+        at = None if rnd.random() < 0.15 else rnd.randrange(0, 240) * SEC // 4
+        rows.append((key, at, i, rnd.randrange(5)))
+    return spark.createDataFrame(rows, "key string, ts_us long, row_id long, v long").repartition(3), rows
+
+
+def by_key(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2])):
+        out.setdefault(r[0], []).append(r)
+    return out
+
+
+def test_carried_windows_keep_rows_without_key_or_time(holes):
+    df, rows = holes
+    w = blocked.time_block(BLOCK)
+    want = {r[2]: (i + 1, len(rs)) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    assert got(blocked.ranked(df, ["key"], ORDER, w), "rn", "n") == want
+    sums = {r[2]: (sum(x[3] for x in rs[: i + 1]),) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    assert got(blocked.running_sums(df, ["key"], ORDER, {"s": F.col("v")}, w), "s") == sums
+    assert got(blocked.running_since_reset(df, ["key"], ORDER, {"s": (F.col("v"), F.lit(False))}, w), "s") == sums
+    before = {r[2]: (rs[i - 1][2] if i else None,) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    assert got(blocked.with_previous(df, ["key"], ORDER, {"p": "row_id"}, w), "p") == before
+    after = {r[2]: (rs[i + 1][2] if i + 1 < len(rs) else None,) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    assert got(blocked.with_next(df, ["key"], ORDER, {"p": "row_id"}, w), "p") == after
+    recent = {r[2]: ([x[3] for x in rs[max(0, i - 2) : i + 1]],) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    assert got(blocked.with_recent(df, ["key"], ORDER, F.col("v"), 3, w), "recent") == recent
+
+
+def test_sliding_windows_keep_rows_without_key_or_time(holes):
+    df, rows = holes
+    width = 5 * SEC
+
+    def seen(rs, i):
+        return [x for x in rs[: i + 1] if (x[1] is None) == (rs[i][1] is None) and (x[1] is None or x[1] >= rs[i][1] - width)]
+
+    each = {r[2]: seen(rs, i) for rs in by_key(rows).values() for i, r in enumerate(rs)}
+    out = got(blocked.sliding_totals(df, ["key"], width, {"s": F.col("v")}, BLOCK), "s")
+    assert out == {k: (sum(x[3] for x in xs),) for k, xs in each.items()}
+    out = got(blocked.sliding_distinct(df, ["key"], "v", width, BLOCK, "n"), "n")
+    assert out == {k: (len({x[3] for x in xs}),) for k, xs in each.items()}
+    out = got(blocked.sliding_max(df, ["key"], {"m": F.col("v")}, width), "m")
+    assert out == {k: (max(x[3] for x in xs),) for k, xs in each.items()}

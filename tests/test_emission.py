@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.operators import emission
 from flowlens.operators.emission import keep_changed
 
 SEC = 1_000_000
@@ -52,3 +53,18 @@ def test_cooldown_dense_key(spark, gap):
 def test_cooldown_exactly_elapsed(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 5 * SEC, 2), ("a", 10 * SEC - 1, 3)], "key string, ts_us long, row_id long")
     assert {r.row_id for r in keep_changed(df, ["key"], 5 * SEC).collect()} == {1, 2}
+
+
+def test_keys_with_nulls_are_apart_and_timeless_rows_stay(spark):
+    rows = [("a", None, 1, 1), (None, "a", 2, 2), ("a", None, 3, 3), ("a", "a", None, 4), ("a", "a", 5, 5), ("a", "a", None, 6)]
+    df = spark.createDataFrame(rows, "k string, l string, ts_us long, row_id long")
+    kept = emission.keep_changed(df, ["k", "l"], 100, block_us=1000)
+    assert sorted(r["row_id"] for r in kept.collect()) == [1, 2, 4, 5, 6]
+
+
+def test_dense_key(spark):
+    """100,000 rows of one key within one cool-down, and the next one after it."""
+    df = spark.range(100_000).select(F.lit("k").alias("k"), F.col("id").alias("ts_us"), F.col("id").alias("row_id"))
+    df = df.unionByName(spark.createDataFrame([("k", 200_000, 200_000)], "k string, ts_us long, row_id long"))
+    kept = emission.keep_changed(df, ["k"], 150_000, block_us=1_000_000)
+    assert sorted(r["row_id"] for r in kept.collect()) == [0, 200_000]

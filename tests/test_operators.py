@@ -243,3 +243,20 @@ def test_emergency(spark):
     rows = [obs_row(1, 0, dport=5000, proto=17, has_history=True, packet_delta=5.0, packet_rate=50.0)]
     r = rules.decide(obs(spark, rows), p).first()
     assert r.status == "ATTACK" and r.reason.startswith("emergency rules-only attack | udp flood") and r.category == "UDP-Flood"
+
+
+def test_repeated_and_parted_replies_are_one_reply(spark):
+    asked = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 1, 0)], "dpid long, poll_cycle_id long, request_us long")
+    replies = [(1, 1, 10, 5, 1), (1, 1, 20, 7, 1), (1, 1, 20, 7, 1), (1, 2, 3_000_000, 1, 1)]
+    got = spark.createDataFrame(replies, "dpid long, poll_cycle_id long, reply_us long, flows long, parts long")
+    rows = {(r.dpid, r.poll_cycle_id): r for r in polls.correlate_polls(asked, got, 1.0).collect()}
+    assert len(rows) == 3
+    r = rows[1, 1]
+    assert (r.reply_us, r.flows, r.parts, r.timed_out, r.reply_delay_ms) == (20, 12, 2, False, 0.02)
+    assert rows[1, 2].timed_out and rows[2, 1].timed_out
+
+
+def test_unscored_rows_are_left_out_of_binary_metrics(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, None), (0, 0.1)], "is_attack int, score double")
+    r = metrics.binary_metrics(df, 0.5).first()
+    assert (r.tp, r.fp, r.fn, r.recall) == (1, 0, 0, 1.0)

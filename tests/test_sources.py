@@ -49,3 +49,13 @@ def test_prepared_prunes_partitions(spark, tmp_path):
     out = exports.read_prepared(spark, str(tmp_path / "p"), "val")
     assert [r.x for r in out.collect()] == [2]
     assert "PartitionFilters: [isnotnull(split" in out._jdf.queryExecution().toString()
+
+
+def test_folder_of_exports_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Source Port,Destination Port,Protocol,Flow Duration,Total Fwd Packets,Label\n1,80,6,10,4,BENIGN\n")
+    (tmp_path / "b.csv").write_text("label,Tot Fwd Pkts, protocol ,Dst Port,Src Port,Flow Duration\nDDoS,9,17,53,2000,3\n")
+    rows = {r.source_file: r for r in exports.read_alternate_export(spark, str(tmp_path)).collect()}
+    assert (rows["a"].src_port, rows["a"].dst_port, rows["a"].protocol, rows["a"].fwd_pkts, rows["a"].label) == (1, 80, 6, 4.0, "Normal")
+    assert (rows["b"].src_port, rows["b"].dst_port, rows["b"].protocol, rows["b"].fwd_pkts, rows["b"].label) == (2000, 53, 17, 9.0, "DDoS")
+    with pytest.raises(FileNotFoundError):
+        exports.read_alternate_export(spark, str(tmp_path / "none"))
