@@ -31,6 +31,7 @@ def emit_alerts(decisions: DataFrame, cooldown_s: float = 5.0, block_us: int = H
     return keep_changed(attacks, ["emit_key"], _us(cooldown_s), block_us=block_us)
 
 
+# Columns of alert and score records.
 ALERT_COLUMNS = [
     "ts_us", "entity_key", "emit_key", "anomaly_score", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
     "packet_rate", "packet_delta", "byte_rate", "byte_delta", "status", "reason", "severity", "block", "hit_count",
@@ -138,6 +139,9 @@ def calibrate_run(
     return metrics.score_summary(clean, t, direction).withColumn("recommended_threshold", threshold.scalar())
 
 
+# Fixed value: reason of a released run status.
+RELEASED = "telemetry stabilized below alert hold window"
+
 # --- run status ----------------------------------------------------------------------
 
 
@@ -179,8 +183,10 @@ def run_status(
     """Display status of a run after every row, and one idle row per silence.
 
     While rows arrive the worst status of the hold window wins; a recent model
-    hit alone is SUSPECT.  After ``runtime_idle_reset_s`` without rows the run is
-    NORMAL (phase ``idle``) until the next one.
+    hit alone is SUSPECT.  A signal that no row renews is released once the hold has
+    passed, if that comes before the idle reset: NORMAL, with the row's own score.
+    After ``runtime_idle_reset_s`` without rows the run is NORMAL (phase ``idle``)
+    until the next one.
     """
     keys = list(keys)
     # the look-ahead reads its input twice, so it comes before the windows
@@ -209,7 +215,14 @@ def run_status(
     )
     live = state(F.col("ts_us"), status, reason, F.lit("active"), F.col("signal_count"), peak)
     idle = state(idle_from, F.lit("NORMAL"), F.lit(""), F.lit("idle"), F.lit(0).cast("long"), F.lit(0.0))
-    states = F.filter(F.array(live, F.when(silent, idle)), lambda x: x.isNotNull())
+    hold_us = _us(policy.alert_hold_seconds)
+    quiet = F.col("_nts").isNull() | (F.col("_nts") > F.col("ts_us") + F.lit(hold_us))
+    released = state(
+        F.col("ts_us") + F.lit(hold_us + 1), F.lit("NORMAL"), F.lit(RELEASED), F.lit("active"), F.lit(0).cast("long"),
+        F.coalesce("score", F.lit(0.0)),
+    )
+    release = F.when(F.lit(hold_us < idle_us) & status.isin("ATTACK", "SUSPECT") & quiet, released)
+    states = F.filter(F.array(live, release, F.when(silent, idle)), lambda x: x.isNotNull())
     return df.select(*keys, "row_id", F.explode(states).alias("_s")).select(*keys, "row_id", "_s.*")
 
 

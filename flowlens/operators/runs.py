@@ -189,16 +189,24 @@ def summarize_run(runs: DataFrame, scores: DataFrame, alerts: DataFrame) -> Data
     )
 
 
+def _run_group(runs: DataFrame, key: str) -> Column:
+    return F.coalesce(F.col("meta_map")[key], *([F.col(key).cast("string")] if key in runs.columns else []), F.lit("None"))
+
+
+def run_groups(runs: DataFrame, key: str) -> DataFrame:
+    """(group, run_id): the runs behind each row of ``compare_runs``."""
+    return runs.select(_run_group(runs, key).alias("group"), "run_id")
+
+
 def compare_runs(runs: DataFrame, key: str) -> DataFrame:
-    """Means and sums over the runs that share a metadata value."""
-    group = F.coalesce(F.col("meta_map")[key], *([F.col(key).cast("string")] if key in runs.columns else []), F.lit("None"))
+    """Means and sums over the runs that share a metadata value; ``run_groups`` lists them."""
+    group = _run_group(runs, key)
     have = set(runs.columns)
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
     return (
         runs.groupBy(group.alias("group"))
         .agg(
             F.count(F.lit(1)).alias("n_runs"),
-            F.array_join(F.array_sort(F.collect_list("run_id")), ",").alias("runs"),
             F.avg(num("avg_total_e2e_ms")).alias("avg_total_e2e_ms"),
             F.avg(num("avg_reply_delay_ms")).alias("avg_reply_delay_ms"),
             F.avg(num("throughput_obs_s")).alias("avg_throughput_obs_s"),

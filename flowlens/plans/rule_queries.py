@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
@@ -354,6 +356,19 @@ def _(t):
     return alerts.run_status(t.scored_runs(), P)
 
 
+_SHOWN = f"""SELECT *, CASE WHEN up THEN hold_status WHEN status = 'NORMAL' AND hit THEN 'SUSPECT' ELSE status END AS shown FROM (SELECT h.*, s.score, {_R('h.hold_status')} > {_R('h.status')} AS up,
+ h.peak_score >= 0.5 AS hit, lead(h.ts_us) OVER (PARTITION BY h.run_id ORDER BY h.ts_us, h.row_id) AS nxt FROM hold h JOIN scored_runs s USING (row_id)) t"""
+
+
+@query("x7_run_status_release", with_pieces("hold", f"""SELECT run_id, row_id, ts_us AS at_us, shown AS run_status, 'active' AS run_phase, signal_count AS active_signals, round(peak_score, 6) AS display_score FROM ({_SHOWN}) a
+ UNION ALL SELECT run_id, row_id, ts_us + {HOLD + 1}, 'NORMAL', 'active', 0, round(score, 6) FROM ({_SHOWN}) b WHERE shown <> 'NORMAL' AND (nxt IS NULL OR nxt > ts_us + {HOLD})
+ UNION ALL SELECT run_id, row_id, ts_us + 7200000001, 'NORMAL', 'idle', 0, 0.0 FROM ({_SHOWN}) c WHERE nxt IS NULL OR nxt > ts_us + 7200000000"""))
+def _(t):
+    """A hold that ends before the idle reset releases the alarm."""
+    df = alerts.run_status(t.scored_runs(), dataclasses.replace(P, runtime_idle_reset_s=7200.0))
+    return df.drop("run_reason")
+
+
 @query("a29_dominant_decision", with_pieces("scored", f"""SELECT batch, arg_max(row_id, (r, sc, row_id)) AS row_id, arg_max(status, (r, sc, row_id)) AS status, round(arg_max(score, (r, sc, row_id)), 6) AS score,
  arg_max(reason, (r, sc, row_id)) AS reason, arg_max(decision_source, (r, sc, row_id)) AS decision_source FROM (SELECT *, row_id // 256 AS batch, {_R('status')} AS r, coalesce(score, -1) AS sc FROM scored) t GROUP BY batch"""))
 def _(t):

@@ -175,7 +175,7 @@ def _(t):
     "a22_compare_runs",
     with_pieces(
         "summary",
-        """SELECT regexp_extract(meta, 'scenario=([^,]*)', 1) AS "group", count(*) AS n_runs, string_agg(run_id, ',' ORDER BY run_id) AS runs,
+        """SELECT regexp_extract(meta, 'scenario=([^,]*)', 1) AS "group", count(*) AS n_runs,
  round(avg(avg_total_e2e_ms) * 0.7310585786::DOUBLE, 4) AS e2e_scaled, round(avg(throughput_obs_s) * 0.7310585786::DOUBLE, 4) AS throughput_scaled,
  sum(timeout_total)::BIGINT AS timeout_total, sum(trimmed_flows_total)::BIGINT AS trimmed_flows_total, 0.0::DOUBLE AS avg_reply_delay_ms FROM summary GROUP BY 1""",
     ),
@@ -183,11 +183,16 @@ def _(t):
 )
 def _(t):
     df = runs.compare_runs(_summary(t), "scenario")
-    return df.select("group", "n_runs", "runs", (F.col("avg_total_e2e_ms") * 0.7310585786).alias("e2e_scaled"),
+    return df.select("group", "n_runs", (F.col("avg_total_e2e_ms") * 0.7310585786).alias("e2e_scaled"),
                      (F.col("avg_throughput_obs_s") * 0.7310585786).alias("throughput_scaled"), "timeout_total", "trimmed_flows_total",
                      "avg_reply_delay_ms")
 
 
+@query("a22_run_groups", with_pieces("summary", """SELECT regexp_extract(meta, 'scenario=([^,]*)', 1) AS "group", run_id FROM summary"""))
+def _(t):
+    return runs.run_groups(_summary(t), "scenario")
+
+
 @query("t4_rank_runs", with_pieces("summary", "SELECT run_id, round(avg_total_e2e_ms + timeout_total * 150 + dropped_rows * 2 + trimmed_flows_total * 0.05::DOUBLE - throughput_obs_s * 0.3::DOUBLE, 6) AS rank_score FROM summary"))
 def _(t):
     return runs.rank_runs(_summary(t)).select("run_id", "rank_score")

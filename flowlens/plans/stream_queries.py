@@ -53,6 +53,14 @@ def _(t):
     return _to_table(df, "tracked").select("row_id", "has_history", "packet_delta", "byte_delta")
 
 
+@query("x3_track_flows_stream_removals", with_pieces("live_removed", _TR, track_sql("live_removed", f"({_FRESH} OR coalesce(prem, false))")))
+def _(t):
+    """Removals drop the state of a flow in the stream as in the batch."""
+    path = _sliced(t.get("poll_stats").drop("ts").withColumn("removed", F.col("row_id") % 19 == 0), polls.FLOW_KEY)
+    df = streams.track_flows_stream(streams.table_stream(t.spark, path, 2), P, removed="removed")
+    return _to_table(df, "tracked").select("row_id", "has_history", "packet_delta", "byte_delta")
+
+
 @query("x6_alerts_stream", with_pieces("attacks", "SELECT row_id FROM walk WHERE emit", emit_sql("attacks", "emit_key", COOL)))
 def _(t):
     path = _sliced(t.get("scored").drop("ts").withColumn("emit_key", F.lit("")), ["entity_key"])
