@@ -230,24 +230,46 @@ def rolling_sequences(
 # --- replies, poll health ------------------------------------------------------
 
 
-def trim_reply(df: DataFrame, k: int, keys: Sequence[str] = ("dpid", "poll_cycle_id")) -> DataFrame:
-    """Keep the ``k`` most informative items of every reply.
-
-    ``k`` is a literal, so each map task already drops all but its best ``k``.
-    """
-    flag = F.col("has_history").cast("double")
+def _informative() -> list[Column]:
+    """Order of a reply's items, the most informative first."""
     known = F.col("has_history")
-    order = [
-        flag.desc(),
+    return [
+        known.cast("double").desc(),
         F.when(known, F.col("packet_delta")).otherwise(F.col("packet_count")).desc(),
         F.when(known, F.col("byte_delta")).otherwise(F.col("byte_count")).desc(),
         F.when(known, F.col("packet_count")).otherwise(F.lit(0.0)).desc(),
         F.col("row_id").asc(),
     ]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def trim_reply(df: DataFrame, k: int, keys: Sequence[str] = ("dpid", "poll_cycle_id")) -> DataFrame:
+    """Keep the ``k`` most informative items of every reply.
+
+    ``k`` is a literal, so each map task already drops all but its best ``k``.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*_informative()))
     return df.withColumn("reply_rank", rank).filter(F.col("reply_rank") <= k)
 
 
+def trim_under_pressure(
+    df: DataFrame,
+    pressure: Column,
+    timeouts: Column,
+    high: int = 1200,
+    extreme: int | None = None,
+    keys: Sequence[str] = ("dpid", "poll_cycle_id"),
+) -> DataFrame:
+    """Keep of every reply as many items as its pressure allows (``trim_limit``).
+
+    The window is one reply of one switch; replies are what a switch sends at once.
+    """
+    reply = Window.partitionBy(*keys)
+    df = df.withColumns({"_items": F.count(F.lit(1)).over(reply), "reply_rank": F.row_number().over(reply.orderBy(*_informative()))})
+    limit = trim_limit(pressure, timeouts, F.col("_items"), high, extreme)
+    df = df.withColumn("_limit", limit)
+    return df.filter((F.col("_limit") == 0) | (F.col("reply_rank") <= F.col("_limit"))).drop("_items", "_limit")
+
+
 def trim_limit(
     pressure: Column, timeouts: Column, items: Column, high: int = 1200, extreme: int | None = None
 ) -> Column:

@@ -527,6 +527,25 @@ def _(t):
     return polls.trim_reply(df, 20).select("row_id", "reply_rank")
 
 
+@query(
+    "t1_trim_under_pressure",
+    with_pieces(
+        "obs",
+        """SELECT row_id, reply_rank FROM (SELECT row_id, dpid, row_id // 500 AS cycle, count(*) OVER (PARTITION BY dpid, row_id // 500) AS items,
+ row_number() OVER (PARTITION BY dpid, row_id // 500 ORDER BY has_history::INT DESC,
+ CASE WHEN has_history THEN packet_delta ELSE packet_count END DESC, CASE WHEN has_history THEN byte_delta ELSE byte_count END DESC,
+ CASE WHEN has_history THEN packet_count ELSE 0 END DESC, row_id) AS reply_rank FROM obs) t
+ WHERE CASE WHEN cycle % 4 = 0 THEN CASE WHEN dpid = 1 THEN reply_rank <= 10 ELSE reply_rank <= 40 END WHEN cycle % 4 = 1 AND items > 80 THEN reply_rank <= 40 ELSE true END""",
+    ),
+)
+def _(t):
+    """Pressure and time-outs of the switch decide how much of a reply stays."""
+    cycle = F.floor(F.col("row_id") / 500).cast("long")
+    pressure = F.when(cycle % 4 == 0, "high").when(cycle % 4 == 1, "medium").otherwise("low")
+    df = t.obs().withColumn("poll_cycle_id", cycle)
+    return polls.trim_under_pressure(df, pressure, F.when(F.col("dpid") == 1, 1).otherwise(0), 40, 10).select("row_id", "reply_rank")
+
+
 _LATEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {FLOW_COLS} ORDER BY ts_us DESC, row_id DESC) AS rr,
  count(*) OVER (PARTITION BY {FLOW_COLS}) AS seen_polls, min(ts_us) OVER (PARTITION BY {FLOW_COLS}) AS first_us FROM obs) t WHERE rr = 1"""
 piece("latest_flows", ("obs",), _LATEST)
