@@ -45,10 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with their number and whether they decode to the text."""
-    path = bpe.default_path()
-    ids = docs.select("doc_id", "lang", "source", "text", bpe.encode("text", path).alias("ids"))
-    back = bpe.decode("ids", path) == F.coalesce("text", F.lit(""))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("decodes"))
+    return bpe.tokenized(docs, bpe.default_path(), keep=("doc_id", "lang", "source"))
 
 
 STAGES = [

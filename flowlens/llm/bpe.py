@@ -27,21 +27,23 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the vocabulary: its pre-splitting pattern, and white space as that pattern means it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: A pre-split word never reaches over a border of these chunks.
 CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-MEMORY = 400_000
+MEMORY = 300_000
 LONG = 100
 
 
@@ -172,36 +174,40 @@ class Tokenizer:
         self.special = special
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.chunks, self.words = re.compile(CHUNK), regex.compile(PATTERN)
-        self.memory: dict[str, list[int]] = {}
-        self.word_memory: dict[str, list[int]] = {}
+        #: Chunk or word to its ids, packed.
+        self.memory: dict[str, bytes] = {}
         self.digits = {i: str(i) for i in self.label}
 
-    def _chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for w in self.words.findall(chunk):
-            ids = self.word_memory.get(w)
+    def _packed(self, chunk: str) -> bytes:
+        """Ids of a chunk as 32-bit integers; a pre-split word is a chunk of its own."""
+        words = self.words.findall(chunk)
+        if len(words) == 1:
+            return array("i", self.automaton.encode_word(chunk.encode())).tobytes()
+        out = []
+        for w in words:
+            ids = self.memory.get(w)
             if ids is None:
-                ids = self.automaton.encode_word(w.encode())
+                ids = array("i", self.automaton.encode_word(w.encode())).tobytes()
                 if len(w) <= LONG:
-                    self.word_memory[w] = ids
-            out += ids
-        return out
+                    self.memory[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _ids(self, text: str) -> list[int]:
         memory = self.memory
         chunks = self.chunks.findall(text)
-        for m in (memory, self.word_memory):
-            if len(m) > MEMORY:
-                m.clear()
-        if len(self.automaton.arcs) > MEMORY:
+        if len(memory) > MEMORY:
+            memory.clear()
+        if len(self.automaton.arcs) > MEMORY // 3:
             self.automaton.arcs.clear()
         for c in set(chunks).difference(memory):
-            if len(c) <= LONG:
-                memory[c] = self._chunk_ids(c)
+            if len(c) <= LONG and c not in memory:
+                memory[c] = self._packed(c)
         try:
-            return list(chain.from_iterable(map(memory.__getitem__, chunks)))
+            packed = b"".join(map(memory.__getitem__, chunks))
         except KeyError:  # chunks too long to be kept
-            return [i for c in chunks for i in (memory[c] if c in memory else self._chunk_ids(c))]
+            packed = b"".join(memory[c] if c in memory else self._packed(c) for c in chunks)
+        return memoryview(packed).cast("i").tolist()
 
     def encode(self, text: str) -> list[int]:
         if self.parts is None or not any(s in text for s in self.special):
@@ -223,17 +229,60 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Lists:
+    """Lists of ids as one flat buffer of 32-bit integers, four bytes an id."""
+
+    def __init__(self):
+        self.ids, self.ends = array("i"), array("i", [0])
+
+    def add(self, ids: list[int]) -> None:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def arrow(self) -> pa.Array:
+        flat = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)])
+        return pa.ListArray.from_arrays(flat(self.ends), flat(self.ids))
+
+
 def encode(text: Column | str, path: str) -> Column:
     """Token ids of a text."""
 
     @F.arrow_udf("array<int>")
     def run(v: pa.Array) -> pa.Array:
-        t = tokenizer(path)
-        return pa.array([t.encode(x.as_py() or "") for x in v], pa.list_(pa.int32()))
+        t, out = tokenizer(path), _Lists()
+        for x in v:
+            out.add(t.encode(x.as_py() or ""))
+        return out.arrow()
 
     return run(text)
 
 
+def tokenized(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = (), rows: int = 256) -> DataFrame:
+    """Columns ``keep`` with n_tokens, ids, and whether the ids decode to the text.
+
+    Results leave the worker ``rows`` at a time, so that memory follows a few texts, not a batch.
+    """
+    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decodes", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out, counts, same = _Lists(), [], []
+                for x in part.column(part.num_columns - 1):
+                    own = x.as_py() or ""
+                    ids = t.encode(own)
+                    out.add(ids)
+                    counts.append(len(ids))
+                    same.append(t.decode(ids) == own)
+                new = [pa.array(counts, pa.int64()), out.arrow(), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def decode(ids: Column | str, path: str) -> Column:
     """Text of token ids."""
 

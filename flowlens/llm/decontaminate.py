@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.textio import values
 from flowlens.session import stage
 
 BITS = 24
@@ -58,7 +59,7 @@ def grams_of(hashes: np.ndarray, width: int) -> np.ndarray:
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode())
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -74,7 +75,7 @@ def benchmark_grams(items: DataFrame, width: int, text: str, key: str) -> DataFr
         memory = _Hashes()
         for batch in batches:
             out: list[tuple] = []
-            for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
+            for k, t in zip(batch.column(0), values(batch.column(1))):
                 words = words_of(t)
                 if words:
                     w = min(width, len(words))
@@ -102,16 +103,17 @@ def _runs(cells: np.ndarray, widths: list[int]):
     """Arrow function: (key, th, text) rows to runs of words under possible seeds."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memory, shift = np.unpackbits(cells.view(np.uint8), bitorder="little"), _Hashes(), np.uint64(64 - BITS)
+        table, memory, shift = cells.view(np.uint8), _Hashes(), np.uint64(64 - BITS)
         for batch in batches:
             out: list[tuple] = []
-            for k, th, t in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            for k, th, t in zip(batch.column(0), batch.column(1), values(batch.column(2))):
                 words = words_of(t)
                 hashes = _hash_words(words, memory)
                 seeds, cover = [], None
                 for w in widths:
                     grams = grams_of(hashes, w)
-                    hit = np.flatnonzero(table[grams >> shift])
+                    at = grams >> shift
+                    hit = np.flatnonzero(table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                     if len(hit):
                         if cover is None:
                             cover = np.zeros(len(words) + 1, np.int64)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import chain
+from flowlens.llm.textio import values
 from flowlens.llm.toxicity import bounded
 
 SAMPLE, LINES = 4_000, 200
@@ -93,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [line_bits(t)[0] for t in batch.column(0).to_pylist()]
+            got = [line_bits(t)[0] for t in values(batch.column(0))]
             keep = [i for i, g in enumerate(got) if 0 < len(g) <= LINES]
             bits = pa.array([got[i] for i in keep], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([bits, batch.column(1).take(pa.array(keep, pa.int64()))], names=["bits", "quality"])

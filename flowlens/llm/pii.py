@@ -33,9 +33,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.textio import values
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 Span = tuple[int, int, int]  # kind number, start, end
@@ -202,7 +205,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 if t:
                     seen.update("".join(map(str, votes(t, a, b))) for a, b in candidates(t))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
@@ -271,27 +274,33 @@ def find(text: Column | str, model: Model) -> Column:
     return run(text)
 
 
+def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """``text`` with sorted (start, end, kind) spans replaced; overlapping ones become one."""
+    parts, done, i = [], 0, 0
+    while i < len(spans):
+        a, b, k = spans[i]
+        while i + 1 < len(spans) and spans[i + 1][0] < b:
+            i += 1
+            b = max(b, spans[i][1])
+        parts += [text[done:a], f"<{KINDS[k].upper()}>"]
+        done, i = b, i + 1
+    return "".join([*parts, text[done:]])
+
+
 def mask(text: Column | str, model: Model) -> Column:
     """The text with every span replaced by its kind, as ``<EMAIL>``; overlapping spans become one. Null stays null."""
 
     @F.arrow_udf("string")
     def run(v: pa.Array) -> pa.Array:
         known: dict[tuple[int, ...], bool] = {}
-        out = []
+        changed, texts = [], []
         for x in v:
             t = x.as_py()
             spans = sorted((a, b, k) for k, a, b in all_spans(t, model, known)[1])
+            changed.append(bool(spans))
             if spans:
-                parts, done, i = [], 0, 0
-                while i < len(spans):
-                    a, b, k = spans[i]
-                    while i + 1 < len(spans) and spans[i + 1][0] < b:
-                        i += 1
-                        b = max(b, spans[i][1])
-                    parts += [t[done:a], f"<{KINDS[k].upper()}>"]
-                    done, i = b, i + 1
-                t = "".join([*parts, t[done:]])
-            out.append(t)
-        return pa.array(out, pa.string())
+                texts.append(_masked(t, spans))
+        # only changed texts are built anew
+        return pc.replace_with_mask(v, pa.array(changed, pa.bool_()), pa.array(texts, v.type)) if texts else v
 
     return run(text)

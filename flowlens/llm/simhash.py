@@ -104,6 +104,8 @@ def _viable(pairs: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most 2 bits."""
+    # spread first: each fingerprint becomes 32 rows, and a task should hold few
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out, rows = [], _starts(distinct)
     for parts in (2, 4, 8):
         keyed = _keys(rows, parts)

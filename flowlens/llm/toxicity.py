@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.textio import values
 from flowlens.session import stage
 
 #: General insults, as they are or as word beginnings.
@@ -74,7 +75,7 @@ class Lexicon:
             k |= 1
         if word.startswith(INSULTS):
             k |= 2
-        if len(self.memory) > 300_000:
+        if len(self.memory) > 100_000:
             self.memory.clear()
         self.memory[word] = k
         return k
@@ -216,7 +217,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter = Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text in values(batch.column(0)):
                     words = words_of(text)
                     if not words:
                         continue
@@ -238,7 +239,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
 
     def count_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_group(w) % 1_000_003 for t in batch.column(0).to_pylist() if (w := words_of(t))], pa.int64())], names=["g"])
+            yield pa.RecordBatch.from_arrays([pa.array([_group(w) % 1_000_003 for t in values(batch.column(0)) if (w := words_of(t))], pa.int64())], names=["g"])
 
     toxic, clean = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
     n_toxic, n_clean = (groups(d).agg(F.countDistinct("g")).first()[0] for d in (toxic, clean))
@@ -272,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(learned)
         for batch in batches:
-            got = [features(t, lexicon) for t in batch.column(1).to_pylist()]
+            got = [features(t, lexicon) for t in values(batch.column(1))]
             cols = [pa.array([g[i] for g in got], pa.int32()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", *FEATURES])
 
