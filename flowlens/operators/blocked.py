@@ -126,37 +126,26 @@ def running_since_reset(
     df = _placed(df, keys, block)
     for n in names:
         add, reset = counters[n]
-        df = df.withColumn(f"_a_{n}", add.cast("long")).withColumn(
-            f"_r_{n}", F.coalesce(reset, F.lit(False)).cast("long")
-        )
+        df = df.withColumn(f"_a_{n}", F.coalesce(add.cast("long"), F.lit(0))).withColumn(f"_r_{n}", F.coalesce(reset, F.lit(False)))
+    # running total less the total before the last reset: every counter shares one sort
     w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(_FIRST, 0)
-    local = df.select("*", *[F.sum(f"_r_{n}").over(w).alias(f"_g_{n}") for n in names])
-    for n in names:
-        span = Window.partitionBy(KEY, f"_g_{n}").orderBy(*order).rowsBetween(_FIRST, 0)
-        local = local.withColumn(f"_v_{n}", F.sum(f"_a_{n}").over(span))
+    local = df.withColumns({f"_s_{n}": F.sum(f"_a_{n}").over(w) for n in names})
+    base = {f"_b_{n}": F.last(F.when(F.col(f"_r_{n}"), F.col(f"_s_{n}") - F.col(f"_a_{n}")), ignorenulls=True).over(w) for n in names}
+    local = local.withColumns(base).withColumns({f"_v_{n}": F.col(f"_s_{n}") - F.coalesce(f"_b_{n}", F.lit(0)) for n in names})
     last = _order(order)
-    aggs: dict[str, Column] = {}
-    for n in names:
-        aggs[f"_t_{n}"] = F.max_by(f"_v_{n}", last)
-        aggs[f"_h_{n}"] = F.max(f"_g_{n}")
+    aggs = {f"_t_{n}": F.max_by(f"_v_{n}", last) for n in names} | {f"_h_{n}": F.bool_or(f"_r_{n}") for n in names}
     summary = local.groupBy(KEY).agg(*[c.alias(k) for k, c in aggs.items()])
-    whole = [f"{KEY}.{k}" for k in keys]
-    ordered = Window.partitionBy(*whole).orderBy(f"{KEY}.{BLOCK}")
-    for n in names:
-        summary = summary.withColumn(f"_i_{n}", F.sum(F.col(f"_h_{n}")).over(ordered))
-        span = Window.partitionBy(*whole, f"_i_{n}").orderBy(f"{KEY}.{BLOCK}").rowsBetween(_FIRST, 0)
-        summary = summary.withColumn(f"_o_{n}", F.sum(f"_t_{n}").over(span))
-    carry = summary.select(
-        KEY, *[F.coalesce(F.lag(f"_o_{n}").over(ordered), F.lit(0)).alias(f"_c_{n}") for n in names]
-    )
+    ordered = Window.partitionBy(*[f"{KEY}.{k}" for k in keys]).orderBy(f"{KEY}.{BLOCK}")
+    upto = ordered.rowsBetween(_FIRST, 0)
+    summary = summary.withColumns({f"_i_{n}": F.sum(f"_t_{n}").over(upto) for n in names})
+    summary = summary.withColumns(
+        {f"_j_{n}": F.last(F.when(F.col(f"_h_{n}"), F.col(f"_i_{n}") - F.col(f"_t_{n}")), ignorenulls=True).over(upto) for n in names}
+    ).withColumns({f"_o_{n}": F.col(f"_i_{n}") - F.coalesce(f"_j_{n}", F.lit(0)) for n in names})
+    carry = summary.select(KEY, *[F.coalesce(F.lag(f"_o_{n}").over(ordered), F.lit(0)).alias(f"_c_{n}") for n in names])
     out = _join_back(local, carry)
     for n in names:
-        out = out.withColumn(
-            n,
-            F.coalesce(F.col(f"_v_{n}"), F.lit(0))
-            + F.when(F.col(f"_g_{n}") == 0, F.col(f"_c_{n}")).otherwise(F.lit(0)),
-        )
-    return out.drop(BLOCK, *[f"_{x}_{n}" for n in names for x in "argvc"])
+        out = out.withColumn(n, F.col(f"_v_{n}") + F.when(F.col(f"_b_{n}").isNull(), F.col(f"_c_{n}")).otherwise(F.lit(0)))
+    return out.drop(BLOCK, *[f"_{x}_{n}" for n in names for x in "arsbvc"])
 
 
 def with_previous(

@@ -81,36 +81,29 @@ class _Chains:
 
 def _chase(block_us: int, force_us: int, min_p: float, min_b: float):
     """One row per candidate of a block, in order, so that no row grows with a block."""
+    names = ["_key", BLOCK, "_seq", *_NODE]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chains = None, None
+        at, chains, rows = None, None, []
 
-        def done(where, c):
-            nodes = c.nodes()
-            for i in range(0, len(nodes), _SLICE):
-                part = pd.DataFrame(nodes[i : i + _SLICE], columns=list(_NODE))
-                part.insert(0, "_seq", range(i, i + len(part)))
-                part.insert(0, BLOCK, where[1])
-                part.insert(0, "_key", where[0])
-                yield part
+        def frames(least: int) -> Iterator[pd.DataFrame]:
+            while len(rows) >= least and rows:
+                yield pd.DataFrame(rows[:_SLICE], columns=names)
+                del rows[:_SLICE]
 
         for pdf in batches:
-            parts = []
             for key, block, ts, p, b, fresh in zip(
                 pdf["_key"], pdf[BLOCK], pdf["_ts"], pdf["_p"], pdf["_b"], pdf["_fresh"]
             ):
                 if (key, block) != at:
                     if at is not None:
-                        parts += done(at, chains)
-                        if sum(map(len, parts)) > _SLICE:
-                            yield pd.concat(parts)
-                            parts = []
+                        rows += ((*at, i, *n) for i, n in enumerate(chains.nodes()))
+                        yield from frames(_SLICE)
                     at, chains = (key, block), _Chains(block * block_us, force_us, min_p, min_b)
                 chains.add(ts, p, b, bool(fresh))
-            if parts:
-                yield pd.concat(parts)
         if at is not None:
-            yield from done(at, chains)
+            rows += ((*at, i, *n) for i, n in enumerate(chains.nodes()))
+        yield from frames(1)
 
     return run
 

@@ -395,10 +395,11 @@ def _headline(s: Column) -> Column:
 def with_supports(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """All five rules on one observation table, and their summary.
 
-    The bounded windows run on narrow rows; what they find is joined to the rows and
-    staged once, as the counters over the entity scope read it twice.
+    The bounded windows run on narrow rows of the observations, which they read four
+    times; what they find is joined to the rows, and the counters over the entity scope
+    read that twice. So both are staged.
     """
-    df = stage(window_supports(df, policy, block_us), "rule-windows")
+    df = stage(window_supports(stage(df, "observations"), policy, block_us), "rule-windows")
     ports = allowed_ports(policy)
     bad, good = _violation(ports)
     df = blocked.running_since_reset(
