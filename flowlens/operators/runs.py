@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.operators import blocked
+from flowlens.operators.emission import keep_changed
 from flowlens.operators.features import LATENCY_COLUMNS
 
 _NONE = "—"
@@ -233,35 +234,18 @@ def rank_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("rank_score", score).orderBy("rank_score", "run_id")
 
 
-def score_timeline(
-    df: DataFrame, step_s: float = 1.0, n: int = 90, jump: float = 0.012, block_us: int = blocked.DAY_US
-) -> DataFrame:
+def score_timeline(df: DataFrame, step_s: float = 1.0, n: int = 90, block_us: int = blocked.DAY_US) -> DataFrame:
     """The last ``n`` points of a run's score line.
 
-    One point per step (its last row), plus every row whose status changed or
-    whose score moved by ``jump`` since the row before.
+    A row is a point when nine tenths of a step have passed since the last point, or when
+    its status or its score (to five digits) is not that of the last point.
     """
-    step = F.lit(int(round(max(step_s, 0.25) * 1e6)))
-    df = blocked.with_previous(
-        df.withColumn("_cell", F.floor(F.col("ts_us") / step).cast("long")),
-        ["run_id"],
-        ["ts_us", "row_id"],
-        {"_ps": "score", "_pst": "status"},
-        blocked.time_block(block_us),
-    )
-    moved = F.col("_pst").isNull() | (F.col("_pst") != F.col("status")) | (F.abs(F.col("score") - F.col("_ps")) >= jump)
-    df = blocked.with_next(
-        df.withColumn("changed", moved),
-        ["run_id"],
-        ["ts_us", "row_id"],
-        {"_nc": "_cell"},
-        blocked.time_block(block_us),
-    )
-    closes = F.col("_nc").isNull() | (F.col("_nc") != F.col("_cell"))
-    keep = df.filter(F.col("changed") | closes)
+    force = int(round(max(step_s, 0.25) * 900_000))
+    score = F.round(F.coalesce("score", F.lit(-1.0)), 5)
+    keep = keep_changed(df, ["run_id"], force, score, S.status_rank("status"), None, 1e-9, 1e-9, block_us)
     newest = Window.partitionBy("run_id").orderBy(F.desc("ts_us"), F.desc("row_id"))
     top = keep.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
-    return top.select("run_id", "row_id", "ts_us", "score", "status", "changed")
+    return top.select("run_id", "row_id", "ts_us", "score", "status")
 
 
 def health_windows(df: DataFrame, width: str = "1 minute", late: str | None = None, slide: str | None = None) -> DataFrame:

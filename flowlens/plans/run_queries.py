@@ -204,11 +204,25 @@ def _(t):
     return alerts.latest_alerts(df, 20, "run1").select("row_id", "ts_us", "score")
 
 
-@query("t5_score_timeline", with_pieces("scored_runs", """SELECT run_id, row_id, ts_us, round(score, 6) AS score, status, changed FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us DESC, row_id DESC) AS r FROM (SELECT *,
- (ps IS NULL OR pst <> status OR abs(score - ps) >= 0.05::DOUBLE) AS changed, row_number() OVER (PARTITION BY run_id, ts_us // 3600000000 ORDER BY ts_us DESC, row_id DESC) AS lc
- FROM (SELECT *, lag(score) OVER w AS ps, lag(status) OVER w AS pst FROM scored_runs WINDOW w AS (PARTITION BY run_id ORDER BY ts_us, row_id)) a) b WHERE changed OR lc = 1) c WHERE r <= 90"""))
+_POINTS = """cand AS (SELECT run_id, row_id, ts_us, round(score, 1) AS score, status, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, row_id) AS rn FROM scored_runs),
+points AS (SELECT run_id, rn, row_id, ts_us AS pt, score AS sc, status AS st, true AS kept FROM cand WHERE rn = 1
+ UNION ALL SELECT run_id, rn, row_id, CASE WHEN k THEN ts_us ELSE pt END, CASE WHEN k THEN score ELSE sc END, CASE WHEN k THEN status ELSE st END, k FROM (
+ SELECT c.*, p.pt, p.sc, p.st, c.ts_us - p.pt >= 12960000000 OR c.score <> p.sc OR c.status <> p.st AS k FROM points p JOIN cand c ON c.run_id = p.run_id AND c.rn = p.rn + 1) x)"""
+
+
+@query(
+    "t5_score_timeline",
+    with_pieces(
+        "scored_runs",
+        """SELECT run_id, row_id, ts_us, score, status FROM (SELECT c.*, row_number() OVER (PARTITION BY c.run_id ORDER BY c.ts_us DESC, c.row_id DESC) AS r
+ FROM cand c JOIN points p USING (run_id, rn) WHERE kept) t WHERE r <= 400""",
+        _POINTS,
+    ),
+)
 def _(t):
-    return runs.score_timeline(t.scored_runs(), 3600.0, 90, jump=0.05)
+    """Scores to one digit, so that many rows repeat the last point."""
+    df = t.scored_runs().withColumn("score", F.round("score", 1))
+    return runs.score_timeline(df, 14400.0, 400)
 
 
 @query("t6_replay_order", with_pieces("flows", "SELECT row_id, ts_us, source_file FROM flows"))
