@@ -27,8 +27,9 @@ from flowlens.session import stage
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: A small floor, so that one repeated line or window is no outlier where none is usual; the quartiles do the rest.
 #: Share (in thousandths): margin above the upper fence, margin below the lower fence (None: no lower limit).
-MARGINS = {"symbols": (20, None), "dup_lines": (500, None), "repeats": (400, None), "length": (2000, 1500)}
+MARGINS = {"symbols": (20, None), "dup_lines": (100, None), "repeats": (100, None), "length": (2000, 1500)}
 
 
 def _repeat_words(words: list[bytes]) -> int:

@@ -88,6 +88,21 @@ def test_quality_limits_follow_the_group(spark):
     assert got[101]["base_failed"] and got[102]["base_failed"] and not got[102]["kept"]
 
 
+@pytest.mark.parametrize("share", [25, 35, 45])
+def test_quality_drops_boilerplate_in_a_clean_source(spark, share):
+    clean = [(i, "\n".join(f"w{i}x{j}" for j in range(80)), "en", "a") for i in range(40)]
+    once = "\n".join([f"o{j}" for j in range(38)] + ["menu", "p q", "menu", *(f"n{j}" for j in range(20))])
+    lines = [x for j in range(100 - share) for x in ([f"u{j}", "menu"] if j <= share else [f"u{j}"])][:101]
+    words = [f"r{j}" for j in range(share // 2 + 1)]
+    windows = " ".join([*words, *(f"s{j}" for j in range(100 - 2 * len(words))), *words])
+    rows = [*clean, (100, "\n".join(lines), "en", "a"), (101, windows, "en", "a"), (102, once, "en", "a")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[100]["n_repeat_words"] == 0 and abs(got[100]["n_dup_lines"] - share) <= 1
+    assert got[101]["n_dup_lines"] == 0 and abs(got[101]["n_repeat_words"] - share) <= 1
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in (100, 101))
+    assert all(got[i]["kept"] for i in [*range(40), 102])
+
+
 def test_sketch_cells_keep_five_bits(spark):
     stats = spark.createDataFrame([("e", "s", 1000, 1000 * v, 0, 1, 0, 0) for v in (1, 3, 7, 100)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
     cells = [r["cell"] for r in quality_rules.sketches(stats).filter("level = 0 AND share = 'length'").orderBy("cell").collect()]
