@@ -15,7 +15,9 @@ in its length; ancestors' features are inherited from parent to child, so depth
 
 Cases: null and empty pages give an empty text; missing end tags and cut pages are read as
 far as they go; text without any element is one block; script, style and other raw elements,
-comments and head are no text; repeated rows are treated alike; an empty table gives an empty
+comments and head are no text; head ends at the first tag or text of a body; svg, object, select
+and the like are left out up to their own end tag, and one without an end tag leaves out
+nothing (select: the text up to the next border of a block); repeated rows are treated alike; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,8 +39,12 @@ from flowlens.llm import chain
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Fixed values of HTML: elements without text of the page, without end, and those that part blocks.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select".split())
+#: Fixed values of HTML: elements whose content is raw text and no text of the page, those parsed and left out, with own syntax, without end, and those that part blocks.
+RAW = frozenset("script style noscript iframe title textarea".split())
+LEFT_OUT = frozenset("template object svg math canvas audio video select".split())
+FOREIGN = frozenset("svg math".split())
+#: What may stand in head; any other tag ends it.
+HEAD = frozenset("html head base link meta template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
@@ -47,7 +53,7 @@ BLOCK = frozenset(
 #: Elements that end when one of the second set begins.
 ENDS = {
     "p": BLOCK - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"},
-    "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody"}, "head": {"body"},
+    "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody"},
 }
 #: Words in class, id and role by what they tell.
 CLASS_WORDS = {
@@ -107,6 +113,67 @@ def _opened(tag: str, attrs: str, parent: _Open) -> _Open:
     return _Open(tag, inside, own, label)
 
 
+@dataclass(slots=True)
+class _Tag:
+    start: int
+    end: int
+    name: str  # empty: comments and raw elements
+    closing: bool
+    attrs: str
+
+
+def _tags(html: str) -> list[_Tag]:
+    out: list[_Tag] = []
+    at, foreign = 0, 0
+    while m := _TAG.search(html, at):
+        at = m.end()
+        name, closing, attrs = (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        empty = attrs.endswith("/")
+        if name in RAW and not closing:
+            if not (foreign and empty):
+                over = _raw_end(name).search(html, at)
+                at = over.end() if over else len(html)
+            name = ""
+        elif name in FOREIGN:
+            if empty and not closing:
+                name = ""
+            else:
+                foreign = max(0, foreign - 1) if closing else foreign + 1
+        out.append(_Tag(m.start(), at, name, closing, attrs))
+    return out
+
+
+def _left_out(tags: list[_Tag]) -> dict[int, int]:
+    """Start tags of left-out elements that have an end tag, and its number."""
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth: dict[str, int] = {}
+
+    def pop() -> int:
+        name, at = stack.pop()
+        depth[name] -= 1
+        return at
+
+    for i, t in enumerate(tags):
+        if t.name not in LEFT_OUT and t.name not in BLOCK and t.name != "foreignobject":
+            continue
+        if t.closing:
+            if depth.get(t.name):
+                while stack[-1][0] != t.name:
+                    pop()
+                start = pop()
+                if t.name in LEFT_OUT:
+                    found[start] = i
+        elif t.name not in VOID:
+            if t.name in BLOCK:
+                # blocks break out of what can't hold them
+                while stack and (stack[-1][0] in FOREIGN or stack[-1][0] == "select" or t.name in ENDS.get(stack[-1][0], ())):
+                    pop()
+            stack.append((t.name, i))
+            depth[t.name] = depth.get(t.name, 0) + 1
+    return found
+
+
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     html = html or ""
@@ -120,6 +187,8 @@ def blocks(html: str | None) -> list[Block]:
     def text(raw: str) -> None:
         nonlocal linked
         if raw:
+            if stack[-1].tag == "head" and not raw.isspace():
+                end_head()
             parts.append(raw)
             if in_link:
                 linked += len(raw.strip())
@@ -137,25 +206,35 @@ def blocks(html: str | None) -> list[Block]:
     def pop() -> None:
         depth[stack.pop().tag] -= 1
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def end_head() -> None:
+        close_block()
+        pop()
+
+    tags = _tags(html)
+    left_out = _left_out(tags) if any(t.name in LEFT_OUT for t in tags) else {}
+    at, i = 0, 0
+    while i < len(tags):
+        t = tags[i]
+        text(html[at : t.start])
+        at = t.end
+        i += 1
+        tag, closing = t.name, t.closing
         if not tag:
             continue
-        closing = (m[1] or m[4]) == "/"
+        if stack[-1].tag == "head" and not closing and tag not in HEAD:
+            end_head()
         if tag == "br" or (not closing and tag == "wbr"):
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
-        elif tag in RAW and not closing:
-            over = _raw_end(tag).search(html, at)
-            at = over.end() if over else end
+        elif tag in LEFT_OUT and not closing:
+            over = left_out.get(i - 1)
+            if over is not None:
+                at, i = tags[over].end, over + 1
+            elif tag == "select":
+                while i < len(tags) and tags[i].name not in BLOCK:
+                    i += 1
+                at = tags[i].start if i < len(tags) else len(html)
         elif tag in BLOCK:
             close_block()
             if closing:
@@ -166,8 +245,9 @@ def blocks(html: str | None) -> list[Block]:
             elif tag not in VOID:
                 while (ends := ENDS.get(stack[-1].tag)) and tag in ends:
                     pop()
-                stack.append(_opened(tag, m[3] or m[6] or "", stack[-1]))
+                stack.append(_opened(tag, t.attrs, stack[-1]))
                 depth[tag] = depth.get(tag, 0) + 1
+    text(html[at:])
     close_block()
     return [b for b in out if not b.bits & _IN["head"]]
 

@@ -174,6 +174,35 @@ def test_html(html, want):
         assert got.removesuffix("\n© x.example · foot") == want
 
 
+STORY = "<p>Text of the story, as it goes.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        *(PAGE % f"<article>{x}{STORY}</article>" for x in (
+            "<svg viewBox='0 0 1 1'/>", "<math />", "<object data='x'>", "<select><option>Red<option>Blue", "<video src='x'>", "<svg><path d='M0'>",
+            "<svg/><p></p><svg><text>Axis</text></svg>", "<svg><svg><text>Axis</text></svg><text>Axis</text></svg>", "<svg><title/><style/></svg>",
+            "<object><object>Old</object><p>Old browser, sorry for you.</p></object>", "<select><option>Red</select>", "<svg><foreignObject><p>Axis of it, here.</p></foreignObject></svg>",
+            "<canvas><p>No canvas here, sorry for you.</p></canvas>", "<template><p>Row of the template, here.</p></template>", "<object data='x'><div>Old</div></object>",
+        )),
+        PAGE % f"<article><object data='x'>{STORY}</article><div><object>Old</object></div>",
+        f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style><article>{STORY}</article>",
+        "<!doctype html><head><title>T</title><p>Text of the story, as it goes.",
+        "<head><title>T</title>\n<b>Text of the story,</b> as it goes.",
+        "<head><title>T</title>\nText of the story, as it goes.",
+    ],
+)
+def test_html_drops_no_rest_of_a_page(html):
+    found = [b.text for b in html_extract.blocks(html)]
+    assert [x for x in found if x not in ("Menu", "© x.example · foot")] == ["Text of the story, as it goes."]
+
+
+def test_html_open_tags_take_linear_time():
+    for t in ("<select>" * 60_000, "<svg>" * 60_000, "<object><p>" * 30_000 + "</object>" * 30_000, "<svg><p>" * 30_000, "<head>" * 60_000 + "x"):
+        html_extract.blocks(t)
+
+
 def test_html_held_out_pages():
     model = html_extract.default_model()
     wrong = 0
