@@ -3,12 +3,15 @@
 Base spans (email, ip, card, phone) come from fixed patterns with checks and are always
 kept. Further spans (kind ``secret``: keys, tokens, passwords, account numbers) are found so:
 
-1. Candidates are unbroken runs of 11 or more key characters, and numbers written like
-   identity or account numbers.
+1. Candidates are unbroken runs of 11 or more key characters that hold a digit or a known
+   prefix, numbers written like identity, account (also in groups of four) or national phone
+   numbers, and whatever an announcing word and an assignment sign stand before, in quotes
+   or up to the next white space.
 2. Labelers vote on each candidate: regex (hexadecimal, mixed letters and digits, upper-case
    key, account number with its checksum), gazetteer (known key prefixes), context (a word
    such as "password" before it, an assignment sign, quotes), and shape (changes between
-   letters and digits, plain words).
+   letters and digits, plain words). What is announced and assigned, or has the shape of a
+   known number, may be short and even: there the shape labelers don't speak against it.
 3. Votes of the whole corpus are reduced to counts of vote patterns;
    expectation-maximisation estimates how each labeler votes on true and false candidates,
    from a prior that says which side it speaks for.
@@ -51,13 +54,19 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{11,}")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?(?![0-9A-Za-z])")
+_SURE = r"(?:1[-. ])?(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}|\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ -][0-9]{2,4}){0,2}|0[0-9]{2,4}[ /-][0-9]{6,8}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -][0-9]{3,4}"
+_PHONE_SURE = re.compile(rf"(?:{_SURE})(?![0-9A-Za-z-])")
+_NATIONAL = re.compile(rf"(?<![0-9A-Za-z.+-])(?:{_SURE}|[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}-[0-9]{{4}})(?![0-9A-Za-z-])")
+_SIGN = re.compile(r"=>|[:=]")
+_VALUE = re.compile(r"[ \t]{0,2}(?:\"([^\"\n]+)\"|'([^'\n]+)'|((?:(?!&\w+=)[^\s\"'<>])+))")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UPPER = re.compile(r"[A-Z0-9]{16,}\Z")
 _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 _PLAIN = re.compile(r"[a-z]{6,}")
 #: Words that announce a secret, and prefixes of known key formats.
-_ANNOUNCE = re.compile(r"(?:token|passw(?:or)?d|pwd|secret|api[ _-]?key|access[ _-]?key|auth|bearer|credential|iban|account|ssn)\W{0,8}\Z", re.I)
+_ANNOUNCE = re.compile(r"(?:token|passw(?:or)?d|pwd|secret|api[ _-]?key|access[ _-]?key|auth|bearer|credential|iban|account|ssn|pass(?:phrase|code)|(?:secret|private)[ _-]?key|phone|mobile|\btel|\bfax|\bcell|\bpin)\W{0,8}\Z", re.I)
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "ya29")
 
 
@@ -108,14 +117,47 @@ def base_spans(text: str | None) -> list[Span]:
     return out
 
 
+def _checks(account: str) -> bool:
+    return bool(_ACCOUNT.match(account)) and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def _grouped(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers in groups of four: up to the last group that makes the checksum right, else all."""
+    for m in _IBAN.finditer(text):
+        ends = [m.start() + i for i, c in enumerate(m[0]) if c in " -"] + [m.end()]
+        fits = [e for e in ends if _checks(_compact(text[m.start() : e]))]
+        yield m.start(), max(fits, default=m.end())
+
+
+def _compact(run: str) -> str:
+    return run.replace(" ", "").replace("-", "")
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """What stands behind an announcing word and an assignment sign; signs inside it start nothing."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        if m.start() >= done and _ANNOUNCE.search(text[max(0, m.start() - 20) : m.start()]) and (v := _VALUE.match(text, m.end())):
+            k = v.lastindex
+            a, b = v.span(k)
+            done = b
+            if k == 3:  # without quotes: no punctuation of the sentence
+                b = a + len(v[k].rstrip(".,;:?)]}"))
+            if a < b:
+                yield a, b
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Runs that could be secrets: with a digit, or behind a known prefix."""
+    """Spans that could be secrets: runs with a digit or behind a known prefix, known shapes of numbers, assigned values."""
     text = text or ""
-    out = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) or m[0].startswith(PREFIXES)]
-    if "-" in text:
+    out = {m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) or m[0].startswith(PREFIXES)}
+    if _DIGIT.search(text):
         taken = {a for a, _ in out}
-        out += [m.span() for m in _NUMBER.finditer(text) if m.start() not in taken]
-    return out
+        out.update(m.span() for m in _NUMBER.finditer(text) if m.start() not in taken)
+        out.update(_grouped(text))
+        out.update(m.span() for m in _NATIONAL.finditer(text))
+    out.update(_assigned(text))
+    return sorted(out, key=lambda s: (s[0], -s[1]))
 
 
 #: What each labeler says: (name, side it speaks for).
@@ -125,24 +167,28 @@ LABELERS = ("hex", "mixed", "upper", "account", "prefix", "announced", "assigned
 def votes(text: str, start: int, end: int) -> tuple[int, ...]:
     """Votes in the order of ``LABELERS``: 1 secret, 0 not, 2 nothing."""
     run, before = text[start:end], text[max(0, start - 24) : start]
+    grouped = bool(_IBAN.fullmatch(run)) and _checks(_compact(run))
+    run = _compact(run) if grouped else run
     digits = sum(c.isdigit() for c in run)
     letters = sum(c.isalpha() for c in run)
     changes = len(_CHANGE.findall(run))
-    account = bool(_ACCOUNT.match(run)) and int("".join(str(int(c, 36)) for c in run[4:] + run[:4])) % 97 == 1
-    tail = before.rstrip("\"' ")
+    number = grouped or _checks(run) or bool(_NUMBER.match(text, start)) or bool(_PHONE_SURE.fullmatch(run))
+    announced = bool(_ANNOUNCE.search(before))
+    assigned = before.rstrip("\"' \t").endswith(("=", ":", "=>"))
+    free = number or (announced and assigned)
     return (
         1 if len(run) >= 16 and digits and letters and _HEX.match(run) else 2,
         1 if len(run) >= 20 and digits >= 3 and any(c.islower() for c in run) and any(c.isupper() for c in run) and not _PLAIN.search(run) else 2,
         1 if digits and letters and _UPPER.match(run) else 2,
-        1 if account or _NUMBER.match(text, start) else 2,
+        1 if number else 2,
         1 if run.startswith(PREFIXES) else 2,
-        1 if _ANNOUNCE.search(before) else 2,
-        1 if tail.endswith(("=", ":")) else 0 if before.endswith((".", ",")) else 2,
+        1 if announced else 2,
+        1 if assigned else 0 if before.endswith((".", ",")) else 2,
         1 if before.endswith(('"', "'")) and text[end : end + 1] == before[-1] else 2,
-        1 if changes >= 4 else 0 if changes <= 1 else 2,
-        0 if not letters else 2,
+        1 if changes >= 4 else 0 if changes <= 1 and not free else 2,
+        0 if not letters and not free else 2,
         0 if _PLAIN.search(run) else 2,
-        0 if len(run) < 14 else 2,
+        0 if len(run) < (4 if free else 14) else 2,
     )
 
 
@@ -236,11 +282,11 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, k: np.ndarray, ridge: float = 0.05
 
 
 def all_spans(text: str | None, model: Model, known: dict[tuple[int, ...], bool]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans by kind, then start. A candidate inside a base span adds nothing."""
+    """Base spans, and all spans by kind, then start. A candidate inside a base span or a kept one adds nothing."""
     base = base_spans(text)
     more: list[Span] = []
-    for a, b in sorted(candidates(text)):
-        if any(s <= a and b <= e for _, s, e in base):
+    for a, b in candidates(text):
+        if any(s <= a and b <= e for _, s, e in base) or (more and b <= more[-1][2]):
             continue
         pattern = votes(text, a, b)
         if pattern not in known:

@@ -515,6 +515,28 @@ def test_secrets_and_masks(spark):
     assert pii.fit(df.limit(0)).keeps(pii.votes("token=abcdef0123456789abcd", 6, 26))
 
 
+def test_secrets_from_context_and_shapes(spark):
+    hidden = [
+        "password: hunter2", "password = 'p&s (w)!rd'", "token=qwertyuiop", "pwd: x#9!", "iban GB29 NWBK 6016 1331 9268 19", "call (555) 123-4567", "reach 212-555-0187", "tel: 030 1234567", "PIN: 48213",
+        "phone 0171/2345678", "secret => \"two words\"", "DE89-3704-0044-0532-0130-00",
+    ]
+    want = [
+        "password: <SECRET>", "password = '<SECRET>'", "token=<SECRET>", "pwd: <SECRET>", "iban <SECRET>", "call <SECRET>", "reach <SECRET>", "tel: <SECRET>", "PIN: <SECRET>",
+        "phone <SECRET>", 'secret => "<SECRET>"', "<SECRET>",
+    ]
+    plain = ["A word on passwords and tokens, as such.", "from 2024-01-01 to 2024-12-31, 10:30", "rows 100 200 3000 of part 7", "the author: Smith"]
+    rows = [(i, f"so {t} and more, it goes on.") for i, t in enumerate(hidden + plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    got = {r["doc_id"]: r["m"] for r in df.select("doc_id", pii.mask("text", model).alias("m")).collect()}
+    assert [got[i] for i in range(len(rows))] == [f"so {t} and more, it goes on." for t in want + plain]
+
+
+def test_assigned_values_take_linear_time():
+    for t in ("token=" * 50_000, "token=a&" * 50_000, "password:'" * 40_000, 'pwd="' + "a" * 300_000, "AB12 " * 60_000, "(030) 123 " * 40_000, "=:" * 150_000):
+        pii.candidates(t)
+
+
 # --- odd tables
 
 
