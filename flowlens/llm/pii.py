@@ -266,10 +266,15 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     for j in range(len(LABELERS)):
         single[2 * j, j], single[2 * j + 1, j] = 1, 0
     every = np.concatenate([patterns, single])
-    weight = np.concatenate([np.minimum(counts, 1000), np.ones(len(single))])
+    weight = np.concatenate([_scaled(counts), np.ones(len(single))])
     return Model(share, table, _fit_linear(_inputs(every), posterior(every, share, table), weight))
 
 
+def _scaled(counts: np.ndarray, most: float = 10_000) -> np.ndarray:
+    """Counts by one factor, so that they sum to ``most`` at most: patterns weigh alike in corpora of any size."""
+    return counts * min(1.0, most / max(counts.sum(), 1.0))
+
+
 def _fit_linear(x: np.ndarray, y: np.ndarray, k: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
