@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, decontaminate, html_extract, license_scan, line_quality, pii, quality_rules, simhash, toxicity, url_filter
-from flowlens.llm.textio import held_out, table
+from flowlens.llm import bpe, decontaminate, divergence, html_extract, importance, license_scan, line_quality, pii, quality_rules, secret_scan, simhash, toxicity, url_filter
+from flowlens.llm.textio import LOWER, UPPER, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,84 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and secrets in every document."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", pii.find("text", pii.fit(docs)).alias("r")).select("doc_id", "r.*")
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights towards the benchmark, and the drawn tenth of the documents."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_in_words = f"regexp_extract_all({_lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op11_importance"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_in_words} AS ws FROM documents),
+f AS (SELECT rid, unnest(ws) AS w FROM d), b AS (SELECT unnest({_in_words}) AS w FROM benchmark),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION SELECT w FROM b)),
+y AS (SELECT w, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS bytes FROM v),
+k AS (SELECT w, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM y, tab),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + 10000)::DOUBLE
+  / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT rid, sum(gain)::BIGINT AS total FROM f JOIN k USING (w) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE (total - ((total % len(ws) + len(ws)) % len(ws))) // len(ws) END AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM z)
+SELECT doc_id, n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r
+"""
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language differ, and in which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lower}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+o AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL), l AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY lang),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM o GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, v FROM v) USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p FROM g JOIN k USING (lang) LEFT JOIN o USING (lang, source, term)),
+q AS (SELECT l.lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (total + v) AS q FROM l JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "C") AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by the trigram index, verified."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+_rules = ", ".join(f"({n}, '{r.kind}', {r.base})" for n, r in enumerate(secret_scan.RULES))
+
+
+def _places(n: int, r: secret_scan.Rule) -> str:
+    pattern = "'" + r.pattern.replace("'", "''") + "'"
+    cols = f"unnest(regexp_extract_all(t, {pattern}, 0)) AS hit, unnest(regexp_extract_all(t, {pattern}, {r.group})) AS part, unnest(string_split_regex(t, {pattern})[:-2]) AS gap"
+    before = "sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i) - length(hit)"
+    return f"""SELECT rid, {n} AS kind, {before} AS a, length(hit) AS size, length(part) AS part FROM (SELECT rid, unnest(range(len(regexp_extract_all(t, {pattern}, 0)))) AS i, {cols} FROM d)"""
+
+
+ORACLES["op13_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+rules(kind, name, base) AS (VALUES {_rules}),
+m AS ({" UNION ALL ".join(f"SELECT * FROM ({_places(n, r)}) WHERE part >= {r.least}" for n, r in enumerate(secret_scan.RULES))}),
+s AS (SELECT rid, kind, base, a, name || ':' || a::BIGINT || ':' || (a + size)::BIGINT AS span FROM m JOIN rules USING (kind)),
+u AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {n}) AS n_{r.kind}" for n, r in enumerate(secret_scan.RULES) if r.base)},
+  coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (base), '') AS own, string_agg(span, ',' ORDER BY a, kind) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.RULES if r.base)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN u USING (rid)
+"""
