@@ -244,5 +244,6 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[
     told = told.withColumn("base", F.filter("all", lambda s: s["kind"].isin(base)))
     names = F.array(*[F.lit(r.kind) for r in rules])
     join = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{rules[n].kind}") for n in base]
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    counts = [count(n).alias(f"n_{rules[n].kind}") for n in base]
     return told.select(F.col("id").alias(key), *counts, F.sha2(join("base").cast("binary"), 256).alias("base_sha256"), join("all").alias("spans"))
