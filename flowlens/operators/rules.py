@@ -82,11 +82,14 @@ def service_baseline(df: DataFrame, policy: Policy, block_us: int | None = None)
         _block_us(window, block_us),
         include_current=False,
     )
-    enough = F.col("_n") >= policy.baseline_min_samples
-    mean = lambda c: F.when(
-        enough & (F.col("_n") > 0), F.greatest(F.col(c).cast("double") / F.col("_n"), F.lit(1.0))
-    )
-    return sums.select("row_id", mean("_p").alias("base_packet_rate"), mean("_b").alias("base_byte_rate"))
+    return sums.select("row_id", *_base_rates(policy, "_n", "_p", "_b"))
+
+
+def _base_rates(policy: Policy, n: str, packets: str, octets: str) -> list[Column]:
+    """Mean rates from a count and two exact sums; null with too few rows, never below 1."""
+    enough = (F.col(n) >= policy.baseline_min_samples) & (F.col(n) > 0)
+    mean = lambda c: F.when(enough, F.greatest(F.col(c).cast("decimal(38,9)").cast("double") / F.col(n), F.lit(1.0)))
+    return [mean(packets).alias("base_packet_rate"), mean(octets).alias("base_byte_rate")]
 
 
 def with_service_baseline(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
@@ -198,7 +201,8 @@ def with_violation_hits(
 # --- supports -----------------------------------------------------------------------
 
 
-def _scannable(policy: Policy) -> Column:
+def countable_scan(policy: Policy) -> Column:
+    """Rows that can be part of a port scan."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     return (
         F.lit(not policy.disable_scan_rule)
@@ -216,7 +220,7 @@ def _scannable(policy: Policy) -> Column:
 def scan_ports(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """(row_id, _ports) of the rows that can count for a scan; the others aren't shuffled."""
     window = _us(policy.scan_window_s)
-    rows = df.filter(_scannable(policy)).select(*SCAN, "dst_port", "ts_us", "row_id")
+    rows = df.filter(countable_scan(policy)).select(*SCAN, "dst_port", "ts_us", "row_id")
     return blocked.sliding_distinct(rows, SCAN, "dst_port", window, _block_us(window, block_us), "_ports").select("row_id", "_ports")
 
 
@@ -237,16 +241,15 @@ def scan_support(df: DataFrame, policy: Policy, block_us: int | None = None) ->
     return _attach(df, scan_ports(df, policy, block_us)).withColumn("scan", _scan_column(policy)).drop("_ports")
 
 
+def countable_attempt(policy: Policy) -> Column:
+    """Rows that are attempts on a login port."""
+    return F.col("dst_port").isin(*policy.bfa_ports) & (F.col("protocol") == 6) & S.has_observed() & ~S.is_response()
+
+
 def login_attempts(df: DataFrame, policy: Policy, block_us: int | None = None) -> DataFrame:
     """(row_id, _tries) of the rows that are attempts on a login port; the others aren't shuffled."""
-    ok = (
-        F.col("dst_port").isin(*policy.bfa_ports)
-        & (F.col("protocol") == 6)
-        & S.has_observed()
-        & ~S.is_response()
-    )
     window = _us(policy.bfa_window_s)
-    rows = df.filter(ok).select(*BFA, "ts_us", "row_id")
+    rows = df.filter(countable_attempt(policy)).select(*BFA, "ts_us", "row_id")
     return blocked.sliding_totals(rows, BFA, window, {"_tries": F.lit(1).cast("long")}, _block_us(window, block_us)).select("row_id", "_tries")
 
 
@@ -272,6 +275,31 @@ def window_supports(df: DataFrame, policy: Policy, block_us: int | None = None)
     return out.withColumns({"scan": _scan_column(policy), "bfa": _bfa_column(policy)}).drop("_ports", "_tries")
 
 
+def from_windows(df: DataFrame, policy: Policy) -> DataFrame:
+    """``window_supports`` where the windows are already counted: columns ports, tries, n, p and b."""
+    df = df.select("*", *_base_rates(policy, "n", "p", "b")).withColumnsRenamed({"ports": "_ports", "tries": "_tries"})
+    return df.withColumns({"scan": _scan_column(policy), "bfa": _bfa_column(policy)}).drop("_ports", "_tries", "n", "p", "b")
+
+
+def counter_flags(policy: Policy) -> dict[str, tuple[Column, Column]]:
+    """What each counter adds and where it is reset, of rows with their service baseline and ``gap_us``."""
+    scored = F.col("score").isNotNull()
+    hit = scored & S.is_hit("score", policy.threshold, policy.lower_is_attack)
+    idle = F.coalesce(F.col("gap_us") > _us(policy.entity_idle_timeout_s), F.lit(False))
+    return {
+        "violation_hits": _violation(allowed_ports(policy)),
+        "volumetric_hits": _volumetric_counter(policy),
+        "hit_streak": (hit, idle | (scored & ~hit)),
+    }
+
+
+def from_counters(df: DataFrame, policy: Policy) -> DataFrame:
+    """Decisions of rows that carry their window supports and counters."""
+    ports = allowed_ports(policy)
+    df = df.withColumns({"service": _service_column(policy, ports), "flood": _flood_column(policy), "volumetric": _volumetric_column(policy)})
+    return fuse(support_summary(df), policy)
+
+
 def _service_column(policy: Policy, ports: Column) -> Column:
     bad, _ = _violation(ports)
     hits = F.col("violation_hits")

@@ -378,12 +378,13 @@ def _(t):
 
 @query("s5_write_alerts_scores", with_pieces("scored", "SELECT 'alerts' AS sink, count(*) AS n FROM scored WHERE status = 'ATTACK' UNION ALL SELECT 'scores', 2 * count(*) FROM scored"))
 def _(t):
-    """Append sinks: one batch of alerts, two batches of scores."""
+    """Sinks by run: alerts of one run, scores of two, and a repeat of each that adds nothing."""
     df = t.get("scored")
     a, s = new_path(t.spark, "alerts"), new_path(t.spark, "scores")
-    exports.write_alerts(df.filter(F.col("status") == "ATTACK"), a)
-    exports.write_scores(df, s)
-    exports.write_scores(df, s)
+    for _ in range(2):
+        exports.write_alerts(df.filter(F.col("status") == "ATTACK"), a, "run 1")
+        exports.write_scores(df, s, "run 1")
+        exports.write_scores(df, s, "run/2")
     count = lambda p, n: t.spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("sink"), "n")
     return count(a, "alerts").union(count(s, "scores"))
 

@@ -6,15 +6,18 @@ several micro-batches; results must equal the batch oracles.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from flowlens.operators import models, polls, runs
-from flowlens.plans.registry import DAY, TEST_POLICY as P, query, with_pieces
+from flowlens.operators.features import with_feature_vector
+from flowlens.plans.registry import DAY, ORACLES, TEST_POLICY as P, piece, query, with_pieces
 from flowlens.plans.rule_queries import COOL, _DCOLS, _FRESH, _TR, _obs_score, _reason_head, emit_sql, track_sql
 from flowlens.plans.run_queries import _HEALTH, _model_windows, _stats, _with_latency
 from flowlens.session import new_path, stage
 from flowlens.sources import exports
-from flowlens.streaming import streams
+from flowlens.streaming import keyed, streams
 
 SLICES = 3
 
@@ -70,14 +73,45 @@ def _(t):
 
 @query("x5_rules_stream", with_pieces("decided", f"SELECT row_id, {', '.join(_DCOLS)}, reason_head FROM decided"))
 def _(t):
+    """Windows of every rule's scope, then counters and decisions, each a query on keyed state."""
     obs = _obs_score(t).drop("ts", "poll_request_us", "poll_reply_us")
     path = _sliced(obs, polls.FLOW_KEY)
-    out, state, check = (new_path(t.spark, n) for n in ("decisions", "rule-state", "stream-check"))
-    q = streams.rules_stream(streams.table_stream(t.spark, path, 2), P, out, state, check, DAY)
-    streams.run_to_end(q)
+    windows, out = new_path(t.spark, "rule-windows"), new_path(t.spark, "decisions")
+    streams.run_to_end(keyed.rule_windows_stream(streams.table_stream(t.spark, path, 2), P, windows, new_path(t.spark, "stream-check")))
+    found = streams.table_stream(t.spark, windows, 4).drop("batch")
+    streams.run_to_end(keyed.rule_decisions_stream(found, P, out, new_path(t.spark, "stream-check")))
     return t.spark.read.parquet(out).select("row_id", *_DCOLS, _reason_head().alias("reason_head"))
 
 
+@query("x4_rolling_sequences_stream", ORACLES["x4_rolling_sequences"])
+def _(t):
+    """Warm-up phases, windows and idle restarts over several micro-batches."""
+    path = _sliced(with_feature_vector(t.obs()).drop("ts"), polls.FLOW_KEY)
+    df = keyed.rolling_sequences_stream(streams.table_stream(t.spark, path, 2), 4, idle_timeout_s=P.idle_timeout_s)
+    at = lambda i: F.get(F.get("window", F.lit(i)), F.lit(0))
+    return _to_table(df, "sequences").select("row_id", "phase", at(0).alias("oldest"), at(3).alias("newest"))
+
+
+def _status_stream(t, policy):
+    """Status rows of all runs; the closing row of another run moves the watermark past every timer."""
+    rows = t.scored_runs().drop("ts")
+    path = _sliced(rows, ["run_id"], closing={"run_id": F.lit("closing"), "row_id": F.lit(-1)})
+    df = keyed.run_status_stream(streams.table_stream(t.spark, path, 2), policy)
+    return _to_table(df, "run-status").filter("run_id <> 'closing'")
+
+
+@query("x7_run_status_stream", ORACLES["x7_run_status"])
+def _(t):
+    """A hold longer than the idle reset."""
+    return _status_stream(t, P)
+
+
+@query("x7_run_status_release_stream", ORACLES["x7_run_status_release"])
+def _(t):
+    """A hold shorter than the idle reset: released by a timer."""
+    return _status_stream(t, dataclasses.replace(P, runtime_idle_reset_s=7200.0)).drop("run_reason")
+
+
 @query(
     "x8_latest_state_stream",
     with_pieces(
@@ -119,6 +153,41 @@ def _(t):
     return _to_table(df, "correlated").filter("dpid >= 0")
 
 
+#: Replies in up to three messages, of which some repeat and some come too late.
+piece("messages", ("poll_log",), """SELECT dpid, poll_cycle_id, reply_us + i * 40000 AS reply_us, flows + i AS flows, again FROM poll_log, range(3) r(i), range(2) q(again)
+ WHERE reply_us IS NOT NULL AND i <= poll_cycle_id % 3 AND (again = 0 OR poll_cycle_id % 5 = 0)""")
+_PARTS_SQL = with_pieces(
+    "messages",
+    """SELECT l.dpid, l.poll_cycle_id, request_us, max(m.reply_us) AS reply_us, sum(m.flows)::BIGINT AS flows, max(m.reply_us) IS NULL AS timed_out,
+ round((max(m.reply_us) - request_us) / 1000.0, 6) AS reply_delay_ms FROM poll_log l LEFT JOIN (SELECT DISTINCT dpid, poll_cycle_id, reply_us, flows FROM messages) m
+ ON m.dpid = l.dpid AND m.poll_cycle_id = l.poll_cycle_id AND m.reply_us >= request_us AND m.reply_us <= request_us + 600000 GROUP BY l.dpid, l.poll_cycle_id, request_us""",
+)
+
+
+def _messages(log):
+    rows = log.filter("reply_us IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("poll_cycle_id") % 3).cast("int"))))
+    rows = rows.withColumn("again", F.explode(F.when(F.col("poll_cycle_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select("dpid", "poll_cycle_id", (F.col("reply_us") + F.col("i") * 40_000).alias("reply_us"), (F.col("flows") + F.col("i")).alias("flows"))
+
+
+@query("j3_correlate_polls_parts", _PARTS_SQL)
+def _(t):
+    """Replies in several messages, some repeated or late."""
+    log = t.get("poll_log")
+    return polls.correlate_polls(log.select("dpid", "poll_cycle_id", "request_us"), _messages(log), 0.6)
+
+
+@query("j3_correlate_polls_parts_stream", _PARTS_SQL)
+def _(t):
+    """The same as streams: one row per request; the closing row of both sides has switch -1."""
+    log = t.get("poll_log")
+    closing = {"dpid": F.lit(-1), "poll_cycle_id": F.lit(-1)}
+    req = _sliced(log.select("dpid", "poll_cycle_id", "request_us"), ["dpid"], "request_us", closing)
+    rep = _sliced(_messages(log), ["dpid"], "reply_us", closing)
+    df = streams.correlate_polls_stream(streams.table_stream(t.spark, req, 2), streams.table_stream(t.spark, rep, 2), 0.6, "1 hour")
+    return _to_table(df, "correlated").filter("dpid >= 0")
+
+
 @query("s5_stream_sink", with_pieces("scored", "SELECT row_id, round(score, 6) AS score FROM scored WHERE status = 'ATTACK'"))
 def _(t):
     """Append sink of a stream of score rows."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from functools import reduce
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -273,14 +275,46 @@ def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> D
 # --- sinks ----------------------------------------------------------------------
 
 
-def write_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write a folder that appears whole or not at all; one that is there is left as it is.
+
+    Rows go to a hidden folder beside it, which is renamed when it is complete. So a repeated
+    job or micro-batch adds nothing, and no reader sees a part. Needs a file system that
+    renames a folder in one step.
+    """
+    spark = df.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    target = make(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    hidden = make(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
+    df.write.parquet(hidden.toString())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(hidden, target):  # another attempt was faster
+        fs.delete(hidden, True)
+        return False
+    return True
+
+
+def write_rows(df: DataFrame, path: str, run: str) -> bool:
+    """Add the rows of a run to a table (partition ``run``), once however often it is called."""
+    return write_once(df, f"{path}/run={quote(run, safe='')}")
 
 
 write_alerts = write_rows
 write_scores = write_rows
 
 
+def stream_once(df: DataFrame, path: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
+    """Add each micro-batch to a table (partition ``batch``), after ``finish``; a repeated one adds nothing."""
+
+    def on_batch(batch: DataFrame, n: int) -> None:
+        write_once(finish(batch) if finish else batch, f"{path}/batch={n}")
+
+    return df.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_rows(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Exactly-once append of a stream to a table (alerts, scores, observations)."""
     return (

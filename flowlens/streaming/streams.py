@@ -1,8 +1,7 @@
 """Structured Streaming forms of the stateful operators, on event time.
 
-Keyed state is small and bounded (last emitted reading, last alert); windows of
-the rules are kept as a rolling table that every micro-batch extends, so the
-stream runs the very operators of the batch side.
+Keyed state is small and bounded (last emitted reading, last alert). Operators with list
+or map state and timers are in ``keyed``.
 """
 
 from __future__ import annotations
@@ -10,15 +9,15 @@ from __future__ import annotations
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowlens.operators import alerts, blocked, rules, runs
+from flowlens.operators import alerts, runs
 from flowlens.operators.polls import FLOW_KEY
 from flowlens.policy import Policy
-from flowlens.session import stage
 
 
 def _us(seconds: float) -> int:
@@ -143,161 +142,11 @@ def alerts_stream(decisions: DataFrame, cooldown_s: float = 5.0, late: str = "1
     )
 
 
-# --- rules -------------------------------------------------------------------------
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def rule_step(
-    new: DataFrame,
-    tail: DataFrame | None,
-    entity_seeds: DataFrame | None,
-    flow_seeds: DataFrame | None,
-    policy: Policy,
-    block_us: int = blocked.DAY_US,
-    scratch: str | None = None,
-) -> DataFrame:
-    """Decisions of ``new`` observations given the rows and counters before them.
-
-    Bounded windows are the rows' own, whatever their order of arrival; counters go on
-    in order of arrival: a row older than an earlier batch counts after that batch.
-    """
-    df = new.withColumn("_new", F.lit(True))
-    if tail is not None:
-        df = df.unionByName(tail.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-    df = rules.window_supports(df, policy, block_us).filter("_new").drop("_new")
-    df = _write(df, scratch) if scratch else stage(df, "rule-step")
-    block = blocked.time_block(block_us)
-
-    def seeded(rows: DataFrame, seeds: DataFrame | None, names: list[str]) -> DataFrame:
-        """Counters of earlier batches enter as one row per key before all others."""
-        rows = rows.withColumn("_seed", F.lit(False))
-        if seeds is None:
-            return rows.withColumns({f"_s_{n}": F.lit(None).cast("long") for n in names})
-        least = F.lit(-(2**62)).cast("long")
-        start = seeds.withColumns({"ts_us": least, "row_id": least, "_seed": F.lit(True)})
-        start = start.select(
-            *[c for c in start.columns if c not in names], *[F.col(n).alias(f"_s_{n}") for n in names]
-        )
-        return rows.unionByName(start, allowMissingColumns=True)
-
-    def counter(name: str, add: Column, reset: Column) -> tuple[Column, Column]:
-        seed = F.col(f"_s_{name}")
-        return (
-            F.when(seed.isNotNull(), seed).otherwise(F.coalesce(add.cast("long"), F.lit(0))),
-            seed.isNull() & F.coalesce(reset, F.lit(False)),
-        )
-
-    names = ["violation_hits", "volumetric_hits"]
-    ports = rules.allowed_ports(policy)
-    bad, good = rules._violation(ports)
-    df = seeded(df, entity_seeds, names)
-    df = blocked.running_since_reset(
-        df,
-        rules.ENTITY,
-        rules.ORDER,
-        {
-            "violation_hits": counter("violation_hits", bad, good),
-            "volumetric_hits": counter("volumetric_hits", *rules._volumetric_counter(policy)),
-        },
-        block,
-    ).filter("NOT _seed")
-    df = df.drop("_seed", *[f"_s_{n}" for n in names])
-    df = seeded(df, flow_seeds, ["hit_streak"])
-    scored = F.col("score").isNotNull()
-    hit = scored & rules.S.is_hit("score", policy.threshold, policy.lower_is_attack)
-    idle = F.coalesce(F.col("gap_us") > _us(policy.entity_idle_timeout_s), F.lit(False))
-    df = blocked.running_since_reset(
-        df, rules.FLOW, rules.ORDER, {"hit_streak": counter("hit_streak", hit, idle | (scored & ~hit))}, block
-    ).filter("NOT _seed").drop("_seed", "_s_hit_streak")
-    df = df.withColumns(
-        {
-            "service": rules._service_column(policy, ports),
-            "flood": rules._flood_column(policy),
-            "volumetric": rules._volumetric_column(policy),
-        }
-    )
-    return rules.fuse(rules.support_summary(df), policy)
-
-
-def rules_stream(
-    obs: DataFrame,
-    policy: Policy,
-    out: str,
-    state: str,
-    checkpoint: str,
-    block_us: int = blocked.DAY_US,
-    **trigger,
-) -> StreamingQuery:
-    """All rules and the fusion on a stream of observations.
-
-    Every micro-batch reads version ``n - 1`` of three tables (rows inside the
-    longest window, counters per entity scope, streaks per flow) and writes
-    version ``n`` and the decisions of the batch; a repeated batch overwrites its
-    own output, so the result is exactly-once and survives lost executors.  Tables of
-    the batch before last are deleted.
-
-    The rows kept are those within the longest window of the newest row of their own
-    destination (every rule's scope has one), so a reading with a wrong, far-off time
-    touches no other destination.
-    """
-    span = _us(max(policy.scan_window_s, policy.bfa_window_s, policy.baseline_window_s))
-    cols = obs.columns
-
-    def on_batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-
-        def load(name: str, v: int) -> DataFrame | None:
-            return spark.read.parquet(f"{state}/{name}/v{v}") if v >= 0 else None
-
-        def merge(name: str, fresh: DataFrame, keys: list[str]) -> None:
-            old = load(name, n - 1)
-            both = fresh if old is None else fresh.unionByName(old.withColumn("_at", F.lit(-1).cast("long")))
-            last = [c for c in fresh.columns if c not in (*keys, "_at")]
-            both.groupBy(*keys).agg(*[F.max_by(c, "_at").alias(c) for c in last]).write.mode("overwrite").parquet(
-                f"{state}/{name}/v{n}"
-            )
-
-        new = _write(df, f"{state}/new/v{n}")
-        tail = load("tail", n - 1)
-        done = rule_step(new, tail, load("entity", n - 1), load("flow", n - 1), policy, block_us, f"{state}/step/v{n}")
-        path = f"{out}/batch={n}"
-        done.drop("supports", *rules.SUPPORTS).write.mode("overwrite").parquet(path)
-        done = spark.read.parquet(path)
-        at = F.struct("ts_us", "row_id")
-
-        def latest(keys: list[str], names: list[str]) -> DataFrame:
-            pick = done.groupBy(*keys).agg(
-                *[F.max_by(c, at).alias(c) for c in names], F.max("ts_us").alias("_at")
-            )
-            return pick
-
-        merge("entity", latest(rules.ENTITY, ["violation_hits", "volumetric_hits"]), rules.ENTITY)
-        merge("flow", latest(rules.FLOW, ["hit_streak"]), rules.FLOW)
-        rows = new if tail is None else new.unionByName(tail)
-        newest = rows.groupBy(F.col("dst_ip").alias("_dst")).agg(F.max("ts_us").alias("_newest"))
-        kept = rows.join(newest, F.col("dst_ip").eqNullSafe(F.col("_dst"))).filter(F.col("ts_us") >= F.col("_newest") - F.lit(span))
-        kept.select(*cols).write.mode("overwrite").parquet(f"{state}/tail/v{n}")
-        for name in ("new", "step", "tail", "entity", "flow"):
-            if n >= 2:
-                _delete(spark, f"{state}/{name}/v{n - 2}")
-
-    return (
-        obs.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
 # --- aggregates, joins, scoring --------------------------------------------------------
 
 
@@ -330,23 +179,25 @@ def health_stream(df: DataFrame, width: str = "1 minute", late: str = "1 minute"
 
 
 def correlate_polls_stream(requests: DataFrame, replies: DataFrame, timeout_s: float, late: str = "10 minutes") -> DataFrame:
-    """Stream-stream left join of requests and replies within the time-out."""
-    q = requests.withColumn("q_at", F.timestamp_micros("request_us")).withWatermark("q_at", late).alias("q")
-    r = (
-        replies.withColumn("r_at", F.timestamp_micros("reply_us"))
-        .withWatermark("r_at", late)
-        .withColumnsRenamed({"dpid": "r_dpid", "poll_cycle_id": "r_cycle"})
-        .alias("r")
-    )
+    """``correlate_polls`` of two streams, as three stateful operators in a chain.
+
+    Repeated messages are dropped within the watermark, each request meets its messages
+    within the time-out, and what it met is reduced to one reply: the last message's time,
+    numbers summed. A request without a message in time has timed out.
+    """
+    extra = [c for c in replies.columns if c not in ("dpid", "poll_cycle_id", "reply_us")]
+    numbers = {f.name for f in replies.schema.fields if isinstance(f.dataType, T.NumericType)}
+    r = replies.withColumn("r_at", F.timestamp_micros("reply_us")).withWatermark("r_at", late)
+    r = r.dropDuplicatesWithinWatermark(list(replies.columns)).withColumnsRenamed({"dpid": "r_dpid", "poll_cycle_id": "r_cycle"})
+    q = requests.select("dpid", "poll_cycle_id", "request_us").withColumn("q_at", F.timestamp_micros("request_us")).withWatermark("q_at", late)
     limit = F.expr(f"INTERVAL '{timeout_s:.6f}' SECOND")
-    cond = (
-        (F.col("dpid") == F.col("r_dpid"))
-        & (F.col("poll_cycle_id") == F.col("r_cycle"))
-        & (F.col("r_at") >= F.col("q_at"))
-        & (F.col("r_at") <= F.col("q_at") + limit)
+    same = (F.col("dpid") == F.col("r_dpid")) & (F.col("poll_cycle_id") == F.col("r_cycle"))
+    met = q.join(r, same & (F.col("r_at") >= F.col("q_at")) & (F.col("r_at") <= F.col("q_at") + limit), "leftOuter").drop("r_at", "r_dpid", "r_cycle")
+    one = met.groupBy("dpid", "poll_cycle_id", "request_us", "q_at").agg(
+        F.max("reply_us").alias("reply_us"), *[(F.sum(c) if c in numbers else F.max_by(c, "reply_us")).alias(c) for c in extra]
     )
-    return q.join(r, cond, "leftOuter").select(
-        "dpid", "poll_cycle_id", "request_us", "reply_us", F.col("reply_us").isNull().alias("timed_out"),
+    return one.select(
+        "dpid", "poll_cycle_id", "request_us", "reply_us", *extra, F.col("reply_us").isNull().alias("timed_out"),
         ((F.col("reply_us") - F.col("request_us")) / 1000.0).alias("reply_delay_ms"),
     )
 
