@@ -1,22 +1,23 @@
-"""Byte-level BPE as a token automaton.
-
-``compile_merges`` builds a deterministic automaton over tokens by one merge gadget per
-rule, in rule order. It starts as a single state that reads every byte. The gadget of rule
-(a, b) -> ab gives every state that can read a an arc ab to the state behind b, and takes
-the arc b from the state behind a. The state behind a token depends on that token alone, so
-the arcs are kept once: an arc is there unless a rule took it, and a taken arc carries the
-number of its rule. An arc ab is copied from arc a when its rule comes, and the state behind
-ab from the state behind b; arcs taken before then are inherited through these links, later
-ones are not. A token path from start to end of a word is its BPE encoding exactly if each
-step follows an arc.
-
-``encode_word`` runs the automaton over a pre-split word by table look-ups (state, token) and
-goes back from a dead end; work is linear in the word for tokens of bounded length, and a word
-takes one look-up once it has been seen. ``decode`` emits the labels of the arcs.
+"""Byte-level BPE as an automaton of merge gadgets.
+
+``compile_merges`` builds a deterministic automaton over tokens, one gadget per rule in
+rule order. It starts as a single state that reads every byte. The gadget of rule
+(a, b) -> ab takes the arc b from the state behind a, and gives every state that reads a an
+arc ab to a copy of the state behind b; a rule whose arc b is gone already adds nothing. The
+state behind a token depends on that token alone, so a gadget is kept as what it copies and
+takes: the halves of ab, and the number of the rule. A token path is the BPE encoding of its
+text exactly if each step follows an arc, and every text has one such path.
+
+To read bytes, the labels of the arcs are spelled out in a trie. Where an arc may be under
+way from several places at once, these places together are one state, so that each state
+and byte have one next state; such a state is made when a text first reaches it and stands
+in the transition table from then on. Every state carries its output: the token that the
+path of the text so far ends with. ``encode_word`` is one loop over the bytes by that table;
+the outputs, read from the end, are the path. ``decode`` emits the labels of the arcs.
 
 Tables are built from the vocabulary file once per Python worker, on the executor; the file's
 path is a parameter that every executor can read. The memories of words, of chunks between
-white space and of arcs are emptied at fixed sizes, which changes no result.
+white space and of transitions are emptied at fixed sizes, which changes no result.
 
 Cases: null counts as empty; an empty text has 0 tokens and an empty id list; special tokens
 of the file are recognised in a text, as the file says; texts of any length are encoded
@@ -54,108 +55,129 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+#: States of the transition table before it is emptied.
+STATES = 150_000
+_START = -1
+
+
 class Automaton:
-    """Arcs between tokens. ``taken[a, b]``: the rule that took arc b from the state behind a."""
+    """Gadgets over tokens, and the transition table over bytes that follows from them."""
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[bytes, bytes]]):
+    def __init__(self, labels: dict[int, bytes]):
         self.labels = labels
-        self.id_of = {v: k for k, v in labels.items()}
-        never = len(merges)
-        #: For each token: number of the rule that made it, and its two halves.
-        self.made = {k: -1 for k in labels}
+        self.size = {k: len(v) for k, v in labels.items()}
+        #: Number of the rule that made a token; its halves; the rule that took arc b from the state behind a.
+        self.made: dict[int, int] = {k: -1 for k in labels}
         self.halves: dict[int, tuple[int, int]] = {}
         self.taken: dict[tuple[int, int], int] = {}
-        for n, (left, right) in enumerate(merges):
-            a, b, ab = self.id_of[left], self.id_of[right], self.id_of[left + right]
-            if ab not in self.halves and self.made[ab] < 0:
-                self.made[ab], self.halves[ab] = n, (a, b)
-            self.taken.setdefault((a, b), n)
-        self.never = never
-        self.arcs: dict[tuple[int, int], bool] = {}
-        #: Longest token by its first four bytes.
-        self.reach: dict[bytes, int] = {}
-        for label in self.id_of:
-            if len(label) > 3:
-                self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 0))
-
-    def _behind(self, token: int) -> list[tuple[int, int]]:
-        """States whose taken arcs the state behind ``token`` inherits, with the rule before which."""
-        out, until = [(token, self.never)], self.never
-        while token in self.halves:
-            until = min(until, self.made[token])
-            token = self.halves[token][1]
-            out.append((token, until))
-        return out
-
-    def _first(self, token: int) -> list[tuple[int, int]]:
-        """Arcs from which the arc ``token`` was copied, with the rule up to which they count."""
-        out, until = [(token, self.never)], self.never
-        while token in self.halves:
-            until = min(until, self.made[token])
-            token = self.halves[token][0]
-            out.append((token, until))
+        #: Tokens that stand on some path.
+        self.whole = {k for k, v in labels.items() if len(v) == 1}
+        self.goto: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [False]
+        self._empty()
+
+    def add_gadget(self, n: int, a: int, b: int, ab: int) -> None:
+        """Rule ``n``: (a, b) -> ab."""
+        if (a, b) in self.taken:
+            return
+        if ab not in self.halves and a in self.whole and b in self.whole and self.reads(a, b):
+            self.made[ab], self.halves[ab] = n, (a, b)
+            self.whole.add(ab)
+        self.taken[a, b] = n
+
+    def reads(self, a: int, b: int) -> bool:
+        """Whether the state behind ``a`` has the arc ``b``: no rule took it from a state or an arc that these were copied from.
+
+        The copies are followed from the latest gadget back; ``before`` and ``upto`` are the
+        rules that came while both were there.
+        """
+        taken, made, halves = self.taken, self.made, self.halves
+        before = upto = 1 << 60
+        while True:
+            n = taken.get((a, b))
+            if n is not None and n < before and n <= upto:
+                return False
+            if made[a] > made[b]:
+                before = made[a]
+                a = halves[a][1]
+            elif b in halves:
+                upto = made[b]
+                b = halves[b][0]
+            else:
+                return True
+
+    def spell(self) -> None:
+        """The trie of the labels."""
+        goto, token_at, inner = self.goto, self.token_at, self.inner
+        for token in self.whole:
+            node = 0
+            for byte in self.labels[token]:
+                inner[node] = True
+                step = goto.get(node << 8 | byte)
+                if step is None:
+                    step = goto[node << 8 | byte] = len(token_at)
+                    token_at.append(-1)
+                    inner.append(False)
+                node = step
+            token_at[node] = token
+
+    def _empty(self) -> None:
+        """The table with its start state alone. A state: places (token before, trie node), earliest first."""
+        self.places: list[tuple[tuple[int, int], ...]] = [((_START, 0),)]
+        self.output: list[int] = [_START]
+        self.number = {self.places[0]: 0}
+        self.table: dict[int, int] = {}
+
+    def _next(self, state: int, byte: int) -> int:
+        """Make the transition; one place alone ends a token on the path, as the path is the only one."""
+        goto, token_at, inner = self.goto, self.token_at, self.inner
+        places, ended = [], _START
+        for before, node in self.places[state]:
+            node = goto.get(node << 8 | byte)
+            if node is None:
+                continue
+            if inner[node]:
+                places.append((before, node))
+            token = token_at[node]
+            if ended == _START and token >= 0 and (before == _START or self.reads(before, token)):
+                ended = token
+        places.append((ended, 0))
+        key = tuple(places)
+        out = self.number.get(key)
+        if out is None:
+            out = self.number[key] = len(self.places)
+            self.places.append(key)
+            self.output.append(ended)
+        self.table[state << 8 | byte] = out
         return out
 
-    def arc(self, state: int, token: int) -> bool:
-        """Whether the state behind ``state`` reads ``token``."""
-        known = self.arcs.get((state, token))
-        if known is None:
-            known = self._is_whole(token) and not any(
-                (n := self.taken.get((a, b))) is not None and n < before and n <= upto for a, before in self._behind(state) for b, upto in self._first(token)
-            )
-            self.arcs[state, token] = known
-        return known
-
     def encode_word(self, word: bytes) -> list[int]:
-        """The only arc path over ``word``: long arcs first, back from a dead end.
-
-        All paths that reach a byte are the same path, so a byte that once led nowhere
-        is never tried again and each byte is left at most once.
-        """
-        whole = self.id_of.get(word)
-        if whole is not None and self._is_whole(whole):
-            return [whole]
-        n, id_of, arcs, arc, reach = len(word), self.id_of, self.arcs, self.arc, self.reach
-        path: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        at, length = 0, min(n, reach.get(word[:4], 3))
-        while at < n:
-            while length:
-                token = id_of.get(word[at : at + length])
-                if token is not None and at + length not in dead:
-                    if not path:
-                        found = self._is_whole(token)
-                    else:
-                        found = arcs.get((path[-1], token))
-                        if found is None:
-                            found = arc(path[-1], token)
-                    if found:
-                        break
-                length -= 1
-            if length:
-                path.append(token)
-                at += length
-                ends.append(at)
-                length = min(n - at, reach.get(word[at : at + 4], 3))
-            else:
-                dead.add(at)
-                ends.pop()
-                path.pop()
-                length = at - ends[-1] - 1
-                at = ends[-1]
+        """The arc path over ``word``."""
+        if len(self.places) > STATES:
+            self._empty()
+        table, output = self.table, self.output
+        state, ends = 0, []
+        for byte in word:
+            to = table.get(state << 8 | byte)
+            state = self._next(state, byte) if to is None else to
+            ends.append(output[state])
+        path, at, size = [], len(word), self.size
+        while at:
+            token = ends[at - 1]
+            path.append(token)
+            at -= size[token]
+        path.reverse()
         return path
 
-    @lru_cache(maxsize=None)  # noqa: B019  one entry per token of the vocabulary
-    def _is_whole(self, token: int) -> bool:
-        """Whether the token's own text is read as this one token: its halves, whole themselves, merge."""
-        if token not in self.halves:
-            return len(self.labels[token]) == 1
-        a, b = self.halves[token]
-        return self._is_whole(a) and self._is_whole(b) and not any(
-            (n := self.taken.get((x, y))) is not None and n < before and n <= upto and n < self.made[token]
-            for x, before in self._behind(a) for y, upto in self._first(b)
-        )
+
+def compile_merges(labels: dict[int, bytes], merges: list[tuple[bytes, bytes]]) -> Automaton:
+    """The automaton of a vocabulary: a gadget per rule, in rule order, then the labels spelled out."""
+    id_of = {v: k for k, v in labels.items()}
+    automaton = Automaton(labels)
+    for n, (a, b) in enumerate(merges):
+        automaton.add_gadget(n, id_of[a], id_of[b], id_of[a + b])
+    automaton.spell()
+    return automaton
 
 
 class Tokenizer:
@@ -169,7 +191,7 @@ class Tokenizer:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         labels = {i: raw(s) for s, i in spec["model"]["vocab"].items() if s not in special}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.automaton = Automaton(labels, [(raw(a), raw(b)) for a, b in merges])
+        self.automaton = compile_merges(labels, [(raw(a), raw(b)) for a, b in merges])
         self.label = {**labels, **{i: s.encode() for s, i in special.items()}}
         self.special = special
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -198,8 +220,6 @@ class Tokenizer:
         chunks = self.chunks.findall(text)
         if len(memory) > MEMORY:
             memory.clear()
-        if len(self.automaton.arcs) > MEMORY // 3:
-            self.automaton.arcs.clear()
         for c in set(chunks).difference(memory):
             if len(c) <= LONG and c not in memory:
                 memory[c] = self._packed(c)
