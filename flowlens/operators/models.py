@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -44,6 +45,27 @@ def score_classifier(
     return out.withColumn("score", score).drop("features", "_flat", "rawPrediction", "probability", "prediction")
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """Coefficients over a flattened, scaled window, as a bundle stores them."""
+
+    coefficients: tuple[float, ...]
+    intercept: float
+
+    @staticmethod
+    def of(model: PipelineModel) -> LinearModel:
+        """The coefficients of a fitted logistic classifier."""
+        last = model.stages[-1]
+        return LinearModel(tuple(float(c) for c in last.coefficients), float(last.intercept))
+
+
+def score_linear(df: DataFrame, model: LinearModel, window: str = "window", stats: RobustStats | None = None) -> DataFrame:
+    """``score``: logistic probability of an attack by given coefficients, as plain expressions."""
+    w: Column = F.col(window) if stats is None else robust_window(window, stats)
+    terms = F.zip_with(F.flatten(w), F.lit(np.asarray(model.coefficients)), lambda x, c: x * c)
+    return df.withColumn("score", 1.0 / (1.0 + F.exp(-F.aggregate(terms, F.lit(float(model.intercept)), lambda a, x: a + x))))
+
+
 class Reconstructor:
     """Mean and principal components of normal windows (a few small arrays)."""
 

@@ -7,10 +7,9 @@ driver, and transforms use it as literals or as a broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,31 +104,30 @@ def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) ->
     )
 
 
-def quantile_columns(stats: QuantileStats):
-    """Arrow function: struct of feature columns to struct of scaled columns."""
-    names, refs = list(stats.names), np.asarray(stats.references)
-    table, mean, scale = np.asarray(stats.quantiles), np.asarray(stats.mean), np.asarray(stats.scale)
-    schema = ", ".join(f"`{n}` double" for n in names)
-
-    @F.pandas_udf(schema)
-    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = {}
-            for i, n in enumerate(names):
-                x = np.nan_to_num(pdf[n].to_numpy(dtype=np.float64), nan=0.0, posinf=1e6, neginf=-1e6)
-                u = np.interp(x, table[i], refs, left=0.0, right=1.0)
-                out[n] = (u - mean[i]) / scale[i]
-            yield pd.DataFrame(out)
-
-    return scaled
-
-
 def apply_quantile(df: DataFrame, stats: QuantileStats) -> DataFrame:
-    """Piecewise linear to [0, 1] (0 below, 1 above the fit), then standardised."""
-    fn = quantile_columns(stats)
-    packed = F.struct(*[F.col(n).cast("double").alias(n) for n in stats.names])
-    out = df.withColumn("_q", fn(packed))
-    return out.withColumns({n: F.col(f"_q.{n}") for n in stats.names}).drop("_q")
+    """Piecewise linear to [0, 1] (0 below, 1 above the fit), then standardised.
+
+    The place of a value among the quantiles is found by halving, all features in one
+    projection per step, so the work is generated code.
+    """
+    n, at = len(stats.references), range(len(stats.names))
+    refs = F.lit(np.asarray(stats.references, float))
+    table = [F.lit(np.asarray(q, float)) for q in stats.quantiles]
+    x, k = (lambda i: F.col(f"_x_{i}")), (lambda i: F.col(f"_k_{i}"))
+    out = df.withColumns({f"_x_{i}": S.finite_or(c) for i, c in enumerate(stats.names)} | {f"_k_{i}": F.lit(0) for i in at})
+    step = 1 << max(n.bit_length() - 1, 0)
+    while step:
+        out = out.withColumns({f"_k_{i}": k(i) + F.when(F.get(table[i], k(i) + F.lit(step - 1)) <= x(i), step).otherwise(0) for i in at})
+        step >>= 1
+
+    def unit(i: int) -> Column:
+        low, high = F.get(table[i], k(i) - 1), F.get(table[i], k(i))
+        r_low, r_high = F.get(refs, k(i) - 1), F.get(refs, k(i))
+        inside = (r_high - r_low) / (high - low) * (x(i) - low) + r_low
+        return F.when(k(i) == 0, 0.0).when(x(i) > F.lit(stats.quantiles[i][-1]), 1.0).when(k(i) == n, F.lit(stats.references[-1])).otherwise(inside)
+
+    scaled = {c: (unit(i) - F.lit(stats.mean[i])) / F.lit(stats.scale[i]) for i, c in enumerate(stats.names)}
+    return out.withColumns(scaled).drop(*[f"_{v}_{i}" for i in at for v in "xk"])
 
 
 # --- scores --------------------------------------------------------------------------

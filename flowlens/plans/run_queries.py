@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
-from flowlens.operators import alerts, features, models, polls, rules, runs, scaling, snapshots, windows
+from flowlens.operators import alerts, features, models, polls, rules, runs, scaling, sketches, snapshots, windows
+from flowlens.plans import window_queries  # noqa: F401  its SQL pieces
 from flowlens.plans.registry import FLOW_COLS, TEST_POLICY as P, piece, query, r6, with_pieces
 from flowlens.plans.rule_queries import ENTITY, FLOOD
 from flowlens.policy import feature_names
@@ -298,3 +300,100 @@ def _(t):
     stats = _stats(w)
     model = models.fit_classifier(w.filter(F.col("split") == "train"), stats=stats, maxIter=20)
     return models.calibrate_replay(w.filter(F.col("split") == "test"), lambda d: models.score_classifier(d, model, stats=stats), 0.05)
+
+
+# --- given models: scoring as arithmetic that SQL repeats
+
+_N = 4 * len(R10)
+_GIVEN_STATS = scaling.RobustStats(tuple(R10), tuple(0.5 * (j % 3) for j in range(len(R10))), tuple(1.0 + 0.5 * (j % 4) for j in range(len(R10))))
+_GIVEN = models.LinearModel(tuple(((7 * i) % 11 - 5) / 20.0 for i in range(_N)), -0.5)
+_MEAN = [0.1 * (i % 5) for i in range(_N)]
+_PARTS = [[((3 * i + 5 * k) % 7 - 3) / 20.0 for k in range(2)] for i in range(_N)]
+
+_x = [f"(sign({c}) * ln(1 + abs({c})) - {z!r}) / {s!r}::DOUBLE" for c, z, s in zip(R10, _GIVEN_STATS.center, _GIVEN_STATS.scale)]
+_dot = [" + ".join(f"{_GIVEN.coefficients[10 * k + j]!r}::DOUBLE * x[{j + 1}]" for j in range(len(R10))) for k in range(4)]
+_key = "'replay::' || source_file || '::' || row_id"
+piece("scaled_replay", ("replay",), f"SELECT {_key} AS flow_key, label, flow_us + poll_step * 1000000 AS ts_us, poll_step, [{', '.join(_x)}] AS x FROM replay")
+piece("given_windows", ("scaled_replay",), f"""SELECT flow_key, rn - 3 AS window_start, (label <> 'Normal')::BIGINT AS is_attack, label, 1 / (1 + exp(-({_GIVEN.intercept!r}::DOUBLE + d0 + d1 + d2 + c3))) AS score, x0 || x1 || x2 || x AS w,
+ ('0x' || substr(md5(flow_key), 1, 2))::INT >= 178 AS test FROM (SELECT *, {', '.join(f'lag(c{k}, {3 - k}) OVER o AS d{k}, lag(x, {3 - k}) OVER o AS x{k}' for k in range(3))}, row_number() OVER o AS rn
+ FROM (SELECT *, {', '.join(f'{d} AS c{k}' for k, d in enumerate(_dot))} FROM scaled_replay) a WINDOW o AS (PARTITION BY flow_key ORDER BY ts_us, poll_step)) b WHERE rn >= 4""")
+
+
+def _score_given(df):
+    return models.score_linear(df, _GIVEN, stats=_GIVEN_STATS)
+
+
+_SCORED_SQL = "SELECT flow_key, window_start, is_attack, round(score, 6) AS score FROM given_windows WHERE test"
+
+
+@query("m4_score_given", with_pieces("given_windows", _SCORED_SQL))
+def _(t):
+    """Test windows scored by given coefficients."""
+    return _score_given(_model_windows(t).filter("split = 'test'")).select("flow_key", "window_start", "is_attack", "score")
+
+
+_part = lambda k: "[" + ", ".join(repr(r[k]) for r in _PARTS) + "]"
+_left = [f"list_sum(list_transform(range(1, {_N + 1}), lambda i: d[i] * ({_part(k)})[i]))" for k in range(2)]
+
+
+@query("m5_reconstruction_given", with_pieces("given_windows", f"""SELECT flow_key, window_start, is_attack, round(list_sum(list_transform(range(1, {_N + 1}), lambda i: pow(d[i] - a * ({_part(0)})[i] - b * ({_part(1)})[i], 2))) / {_N}, 6) AS score
+ FROM (SELECT *, {_left[0]} AS a, {_left[1]} AS b FROM (SELECT *, list_transform(range(1, {_N + 1}), lambda i: w[i] - ({_MEAN!r})[i]) AS d FROM given_windows WHERE test) x) y"""))
+def _(t):
+    """Reconstruction error of test windows by given components."""
+    model = models.Reconstructor(_MEAN, np.array(_PARTS), None)
+    return models.score_reconstruction(_model_windows(t).filter("split = 'test'"), model, stats=_GIVEN_STATS).select("flow_key", "window_start", "is_attack", "score")
+
+
+@query("m7_calibrate_given", with_pieces("given_windows", """SELECT count(*) AS n_rows, count(*) FILTER (label = 'Normal') AS n_normal, count(*) FILTER (label <> 'Normal') AS n_attack,
+ round(avg(score) FILTER (label = 'Normal'), 6) AS normal_mean, round(avg(score) FILTER (label <> 'Normal'), 6) AS attack_mean, round(avg((score >= t)::INT) FILTER (label = 'Normal'), 6) AS estimated_fpr,
+ round(avg((score >= t)::INT) FILTER (label <> 'Normal'), 6) AS estimated_tpr, round(any_value(t), 6) AS recommended_threshold
+ FROM (SELECT *, (SELECT quantile_cont(score, 0.95) FROM given_windows WHERE test AND label = 'Normal') AS t FROM given_windows WHERE test) x"""))
+def _(t):
+    """Threshold and quality of a labelled replay scored by given coefficients."""
+    return models.calibrate_replay(_model_windows(t).filter("split = 'test'"), _score_given, 0.05)
+
+
+# --- thresholds from stored sketches
+
+_RUN_KEYS = ["run_id", "day"]
+
+
+def _stored_sketches(t):
+    """Sketches per run and day, written once and read back."""
+    return stage(sketches.normal_sketches(t.scored_runs(), _RUN_KEYS), "score-sketches")
+
+
+def _within(t, thresholds, q):
+    """Whether the rank of each run's threshold is within the stated error of ``q``."""
+    rows = t.scored_runs().filter("label = 'Normal'").join(thresholds.withColumnRenamed("n", "n_sketch"), "run_id")
+    share = lambda c: F.avg(c.cast("int"))
+    ranks = rows.groupBy("run_id", "n_sketch", "rank_error").agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("score") < F.col("threshold")).alias("lo"), share(F.col("score") <= F.col("threshold")).alias("hi")
+    )
+    slack = F.col("rank_error") + 1.0 / F.col("n")
+    return ranks.select("run_id", "n", ((F.col("n_sketch") == F.col("n")) & (F.col("lo") <= q + slack) & (F.col("hi") >= q - slack)).alias("within"))
+
+
+_WITHIN_SQL = "SELECT run_id, count(*) AS n, true AS within FROM scored_runs WHERE label = 'Normal' GROUP BY run_id"
+
+
+@query("a10_threshold_sketches", with_pieces("scored_runs", _WITHIN_SQL))
+def _(t):
+    """Threshold per run at 1 % false positives from merged daily sketches."""
+    return _within(t, sketches.threshold_from_sketches(_stored_sketches(t), 0.01, keys=["run_id"]), 0.99)
+
+
+@query("a12_summary_sketches", with_pieces("scored_runs", _WITHIN_SQL))
+def _(t):
+    """p95 of the summary of each run from merged daily sketches."""
+    out = sketches.summary_from_sketches(_stored_sketches(t), ["run_id"])
+    return _within(t, out.select("run_id", "n", F.col("score_p95").alias("threshold"), F.lit(sketches.rank_error()).alias("rank_error")), 0.95)
+
+
+@query("a24_normalizer_sketches", with_pieces("scored_runs", """SELECT run_id, count(*) AS n, round(avg(score), 6) AS normal_mean, round(stddev_pop(score) + 1e-9, 6) AS normal_std, 6 AS n_percentiles, 200 AS n_cdf, true AS rising
+ FROM scored_runs WHERE label = 'Normal' GROUP BY run_id"""))
+def _(t):
+    """Normaliser of each run from merged daily sketches."""
+    out = sketches.normalizer_from_sketches(_stored_sketches(t), ["run_id"])
+    rising = F.col("cdf_scores") == F.array_sort("cdf_scores")
+    return out.select("run_id", "n", "normal_mean", "normal_std", F.size("percentiles").alias("n_percentiles"), F.size("cdf_scores").alias("n_cdf"), rising.alias("rising"))

@@ -14,10 +14,10 @@ from flowlens.operators import models, polls, runs
 from flowlens.operators.features import with_feature_vector
 from flowlens.plans.registry import DAY, ORACLES, TEST_POLICY as P, piece, query, with_pieces
 from flowlens.plans.rule_queries import COOL, _DCOLS, _FRESH, _TR, _obs_score, _reason_head, emit_sql, track_sql
-from flowlens.plans.run_queries import _HEALTH, _model_windows, _stats, _with_latency
+from flowlens.plans.run_queries import _HEALTH, _SCORED_SQL, _model_windows, _score_given, _stats, _with_latency
 from flowlens.session import new_path, stage
 from flowlens.sources import exports
-from flowlens.streaming import keyed, streams
+from flowlens.streaming import keyed, meters, streams
 
 SLICES = 3
 
@@ -78,7 +78,7 @@ def _(t):
     path = _sliced(obs, polls.FLOW_KEY)
     windows, out = new_path(t.spark, "rule-windows"), new_path(t.spark, "decisions")
     streams.run_to_end(keyed.rule_windows_stream(streams.table_stream(t.spark, path, 2), P, windows, new_path(t.spark, "stream-check")))
-    found = streams.table_stream(t.spark, windows, 4).drop("batch")
+    found = streams.table_stream(t.spark, windows).drop("batch")
     streams.run_to_end(keyed.rule_decisions_stream(found, P, out, new_path(t.spark, "stream-check")))
     return t.spark.read.parquet(out).select("row_id", *_DCOLS, _reason_head().alias("reason_head"))
 
@@ -207,3 +207,31 @@ def _(t):
     score = lambda d: models.score_classifier(d, model, stats=stats).select("flow_key", "window_start", "is_attack", "score")
     streams.run_to_end(streams.score_stream(streams.table_stream(t.spark, src, 2), score, path, check))
     return t.spark.read.parquet(path)
+
+
+@query("x10_score_stream_given", with_pieces("given_windows", _SCORED_SQL))
+def _(t):
+    """Micro-batch scoring of test windows by given coefficients."""
+    src = _sliced(_model_windows(t).filter(F.col("split") == "test"), ["flow_key"], "end_us")
+    path, check = new_path(t.spark, "scored-windows"), new_path(t.spark, "stream-check")
+    score = lambda d: _score_given(d).select("flow_key", "window_start", "is_attack", "score")
+    streams.run_to_end(streams.score_stream(streams.table_stream(t.spark, src, 2), score, path, check))
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "x9_late_rows",
+    with_pieces("scored", "SELECT count(*) + count(*) FILTER (row_id % 50 = 0) + 1 AS rows_in, count(*) FILTER (row_id % 50 = 0) AS rows_late, count(*) + 1 AS rows_kept FROM scored"),
+)
+def _(t):
+    """Counters of a stream with known late rows: a fiftieth of the rows comes again, under new ids, after the watermark has passed."""
+    rows = t.get("scored").select("row_id", "ts_us", "status")
+    path = _sliced(rows, ["row_id"], closing={"row_id": F.lit(-1)})
+    first = rows.agg(F.min("ts_us")).first()[0]
+    late = rows.filter("row_id % 50 = 0").select((-2 - F.col("row_id")).alias("row_id"), F.lit(first).alias("ts_us"), "status")
+    late.repartition(2).write.mode("append").parquet(path)
+    df = meters.counted(streams.table_stream(t.spark, path, 2), "read").withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", "1 hour")
+    df = meters.counted(df.dropDuplicatesWithinWatermark(["row_id"]), "kept")
+    q = exports.stream_rows(df.drop("_at"), new_path(t.spark, "kept"), new_path(t.spark, "stream-check"))
+    streams.run_to_end(q)
+    return meters.as_row(t.spark, meters.of_query(q)).select(F.col("observed")["read.rows"].alias("rows_in"), "rows_late", F.col("observed")["kept.rows"].alias("rows_kept"))

@@ -303,10 +303,11 @@ def _(t):
 
 @query("s4_prepared_splits", with_pieces("chrono", f"SELECT row_id, {_K}, split FROM chrono WHERE split = 'train'"))
 def _(t):
-    """Write the split rows partitioned by split, read one split back."""
+    """Write the split rows by split, bucketed by key, read one split back."""
     path = new_path(t.spark, "prepared")
-    exports.write_prepared(windows.split_chronological(t.flows()).select("row_id", "source_file", "conversation_key", "split"), path)
-    return exports.read_prepared(t.spark, path, "train")
+    rows = windows.split_chronological(t.flows()).select("row_id", "ts_us", "source_file", "conversation_key", "split")
+    exports.write_prepared(rows, path, ["conversation_key"], ["ts_us", "row_id"], scheme="runtime10")
+    return exports.read_prepared(t.spark, path, "train", "runtime10").drop("ts_us")
 
 
 @query(
@@ -348,6 +349,19 @@ def _(t):
     return scaling.fit_robust(t.flows(), R10)
 
 
+@query("s4_prepared_metadata", with_pieces("robust_fit", f"SELECT 'runtime10' AS scheme, feature, {r6('center', 'scale')} FROM robust_fit"))
+def _(t):
+    """Scaler statistics and scheme out of the sidecar of a prepared table."""
+    path = new_path(t.spark, "prepared")
+    stats = scaling.robust_stats(t.flows(), R10)
+    rows = windows.split_chronological(t.flows()).select("row_id", "conversation_key", "split", *R10)
+    numbers = {c: {"center": z, "scale": s} for c, z, s in zip(stats.names, stats.center, stats.scale)}
+    exports.write_prepared(rows, path, ["conversation_key"], stats=numbers, scheme="runtime10", settings={"seq_len": 4})
+    about = exports.prepared_metadata(t.spark, path)
+    data = [(about["scheme"], c, v["center"], v["scale"]) for c, v in about["stats"].items()]
+    return t.spark.createDataFrame(data, "scheme string, feature string, center double, scale double")
+
+
 def _robust_expr(c):
     return f"""(({_SL(c)}) - (SELECT center FROM robust_fit WHERE feature = '{c}')) / (SELECT scale FROM robust_fit WHERE feature = '{c}') AS {c}"""
 
@@ -379,7 +393,24 @@ def _(t):
     return scaling.fit_quantiles(t.flows(), _QC, 101)
 
 
-@query("m2_apply_quantile", None)
+_REFS = "[x / 999.0::DOUBLE for x in generate_series(0, 999)]"
+
+
+def _unit_sql(c):
+    """Piecewise linear place of ``c`` among its thousand quantiles ``q_c``."""
+    k, q = f"k_{c}", f"q_{c}"
+    return f"""CASE WHEN {k} = 0 THEN 0 WHEN {c} > {q}[1000] THEN 1 WHEN {k} = 1000 THEN 1
+ ELSE ({k} / 999.0::DOUBLE - ({k} - 1) / 999.0::DOUBLE) / ({q}[{k} + 1] - {q}[{k}]) * ({c} - {q}[{k}]) + ({k} - 1) / 999.0::DOUBLE END AS u_{c}"""
+
+
+@query(
+    "m2_apply_quantile",
+    with_pieces(
+        "flows",
+        f"""SELECT row_id, {', '.join(f'round((u_{c} - avg(u_{c}) OVER ()) / stddev_pop(u_{c}) OVER (), 6) AS {c}' for c in _QC)} FROM (SELECT row_id, {', '.join(map(_unit_sql, _QC))}
+ FROM (SELECT *, {', '.join(f'len(list_filter(q_{c}, lambda v: v <= {c})) AS k_{c}' for c in _QC)} FROM flows, (SELECT {', '.join(f'quantile_cont({c}, {_REFS}) AS q_{c}' for c in _QC)} FROM flows) q) t) u""",
+    ),
+)
 def _(t):
     df = t.flows().select("row_id", *_QC)
     return scaling.apply_quantile(df, scaling.fit_quantile(df, _QC, 1000))

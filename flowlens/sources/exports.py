@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import csv
+import json
 import uuid
+from contextlib import contextmanager
 from functools import reduce
-from typing import Callable, Mapping, Sequence
+from typing import Callable, Iterator, Mapping, Sequence
 from urllib.parse import quote
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.functions import scalars as S
 from flowlens.operators import features
+from flowlens.session import stage
 
 # Columns a flow export must have, with our names.
 EXPORT_COLUMNS = {
@@ -57,32 +62,45 @@ _ALTERNATE_DEFAULTS = {"src_port": "-1", "dst_port": "-1", "protocol": "-1", "la
 _PLACE = ["source_file", "_part", "_split", "_mid"]
 
 
+@contextmanager
+def _one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """Each task reads one file (or one split of a large one), however small the files are."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a task; the rest of its file is left unread."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Data files under ``path`` by their header; one line of each file is read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    """Data files under ``path`` by their header, read by the executors: one task and one line per file."""
+    try:
+        lines = spark.read.option("recursiveFileLookup", True).text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no CSV file with a header under {path}") from e
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    with _one_file_a_task(spark):
+        heads = lines.mapInArrow(_first_line, "file string, at long, value string").filter("at = 0 AND value <> ''")
+        # the reader of each group takes its list of files from the driver anyway
+        by_line = heads.groupBy(F.regexp_replace("value", "^\ufeff", "").alias("line")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
     found: dict[tuple[str, ...], list[str]] = {}
-    listed = fs.globStatus(root)
-    todo = sorted((x.getPath() for x in listed or []), key=str)
-    while todo:
-        at = todo.pop(0)
-        if at.getName().startswith(("_", ".")) and str(at) != str(root):
-            continue
-        if fs.getFileStatus(at).isDirectory():
-            todo = sorted((x.getPath() for x in fs.listStatus(at)), key=str) + todo
-            continue
-        codec = codecs.getCodec(at)
-        stream = fs.open(at)
-        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        line = lines.readLine()
-        lines.close()
-        if line:
-            found.setdefault(tuple(c.strip() for c in next(csv.reader([line.removeprefix("\ufeff")]))), []).append(at.toString())
+    for r in by_line:
+        found.setdefault(tuple(c.strip() for c in next(csv.reader([r["line"]]))), []).extend(r["files"])
     if not found:
         raise FileNotFoundError(f"no CSV file with a header under {path}")
-    return found
+    return {header: sorted(files) for header, files in found.items()}
 
 
 def _csv_groups(spark: SparkSession, path: str, tag: str | None = None) -> list[DataFrame]:
@@ -111,8 +129,9 @@ def _numbered(groups: Sequence[DataFrame]) -> DataFrame:
     """Union of the groups with ``row_id``: the row's number in its source, from 0.
 
     Rows of a file split keep their order and a table of one row per split supplies the offset.
+    The rows are staged, so that numbers and offsets come from the same reading.
     """
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
+    raw = stage(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups), "raw-rows")
     place = _PLACE[:3]
     splits = raw.groupBy(*place).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source_file").orderBy("_part", "_split").rowsBetween(Window.unboundedPreceding, -1)
@@ -261,14 +280,78 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
 # --- prepared splits -----------------------------------------------------------
 
 
-def write_prepared(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Windows with metadata, one folder per split."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+_SIDECAR = "_prepared.json"
 
 
-def read_prepared(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Prepared windows; ``split`` prunes to one folder."""
-    df = spark.read.parquet(path)
+def write_prepared(
+    df: DataFrame, path: str, keys: Sequence[str] = (), order: Sequence[str] = (), buckets: int = 8,
+    stats: Mapping[str, Mapping[str, float]] | None = None, scheme: str | None = None, settings: Mapping[str, object] | None = None,
+) -> None:
+    """Splits as a table: a folder per split, bucketed by ``keys`` and sorted by ``order``.
+
+    A sidecar holds what the rows were made with: scaler statistics per feature, feature
+    scheme, settings, and the layout. It is written last, so a table without it is not whole.
+    """
+    spark = df.sparkSession
+    others = [c for c in df.columns if c != "split"]
+    name = f"prepared_{uuid.uuid4().hex}"
+    writer = df.select(*others, "split").write.partitionBy("split").format("parquet").option("path", path)
+    if keys:
+        writer = writer.bucketBy(buckets, *keys).sortBy(*[*keys, *order])
+    writer.saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    about = {
+        "schema": json.loads(df.select(*others, "split").schema.json()), "keys": list(keys), "order": list(order), "buckets": buckets if keys else 0,
+        "scheme": scheme, "stats": {k: dict(v) for k, v in (stats or {}).items()}, "settings": dict(settings or {}),
+    }
+    write_text(spark, f"{path}/{_SIDECAR}", json.dumps(about, sort_keys=True))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any file system of the session."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def prepared_metadata(spark: SparkSession, path: str) -> dict:
+    """What a prepared table was made with: scheme, scaler statistics, settings, layout."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_SIDECAR}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(f"{path} is not a whole prepared table: {_SIDECAR} is missing")
+    file = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+    finally:
+        file.close()
+
+
+def read_prepared(spark: SparkSession, path: str, split: str | None = None, scheme: str | None = None) -> DataFrame:
+    """Prepared rows with their buckets known to Spark, so a window or join by the keys needs no exchange.
+
+    ``split`` prunes to one folder. ``scheme`` must be that of the sidecar, and the files must
+    have its columns.
+    """
+    about = prepared_metadata(spark, path)
+    if scheme is not None and about["scheme"] != scheme:
+        raise ValueError(f"{path} holds scheme {about['scheme']!r}, not {scheme!r}")
+    schema = T.StructType.fromJson(about["schema"])
+    kinds = lambda s: {f.name: f.dataType for f in s.fields if f.name != "split"}
+    if kinds(spark.read.parquet(path).schema) != kinds(schema):
+        raise ValueError(f"the files under {path} do not have the columns of their sidecar")
+    name = f"prepared_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    quoted = lambda names: ", ".join(f"`{n}`" for n in names)
+    layout = ""
+    if about["buckets"]:
+        layout = f"CLUSTERED BY ({quoted(about['keys'])}) SORTED BY ({quoted([*about['keys'], *about['order']])}) INTO {about['buckets']} BUCKETS"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (split) {layout} LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    df = spark.table(name)
     return df.filter(F.col("split") == split) if split else df
 
 

@@ -200,7 +200,8 @@ class RunStatus(StatefulProcessor):
         last = tuple(self.last.get()) if self.last.exists() else None
         if last is None:
             return
-        out, last = self._due(key, last, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        # the watermark may be far past the timer
+        out, last = self._due(key, last, max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000)
         if last[4]:
             self.last.update(last)
             self.handle.registerTimer(max(self._next_timer(last), timerValues.getCurrentWatermarkInMs() + 1))
@@ -446,6 +447,9 @@ class ScopeCounters(StatefulProcessor):
 def rule_decisions_stream(windows: DataFrame, policy: Policy, out: str, checkpoint: str, late: str = "1 hour", **trigger) -> StreamingQuery:
     """Decisions of a stream of the rows of ``rule_windows_stream``, as a table.
 
+    Read that table without a file limit: a micro-batch of it appears as a whole and has to
+    be taken as a whole, since its files overlap in time.
+
     Violation and volumetric counters belong to an entity scope and silence doesn't reset
     them, so their two numbers stay; the streak of a flow is freed after its idle time.
     """

@@ -1,6 +1,9 @@
 """CSV sources and sinks."""
 
+import json
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlens.sources import exports
@@ -59,3 +62,38 @@ def test_folder_of_exports_with_other_headers(spark, tmp_path):
     assert (rows["b"].src_port, rows["b"].dst_port, rows["b"].protocol, rows["b"].fwd_pkts, rows["b"].label) == (2000, 53, 17, 9.0, "DDoS")
     with pytest.raises(FileNotFoundError):
         exports.read_alternate_export(spark, str(tmp_path / "none"))
+
+
+def test_many_small_files_of_mixed_headers(spark, tmp_path):
+    heads = ["Source Port,Destination Port,Protocol,Flow Duration,Total Fwd Packets,Label", "﻿Label,Dst Port,Src Port,Protocol"]
+    for i in range(400):
+        line = f"{i},80,6,10,4,BENIGN" if i % 2 == 0 else f"DDoS,53,{i},17"
+        folder = tmp_path / f"d{i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"f{i}.csv").write_text("" if i % 100 == 99 else f"{heads[i % 2]}\n{line}\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = exports._headers(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert {len(h): len(files) for h, files in found.items()} == {6: 200, 4: 196}
+    rows = exports.read_alternate_export(spark, str(tmp_path)).select("source_file", "src_port", "label").collect()
+    assert sorted((r.source_file, r.src_port, r.label) for r in rows) == sorted((f"f{i}", i, "DDoS" if i % 2 else "Normal") for i in range(400) if i % 100 != 99)
+
+
+def test_prepared_tables_carry_what_made_them(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([(i, f"k{i % 5}", 1.5 * i, ["train", "val"][i % 2]) for i in range(40)], "ts_us long, key string, x double, split string")
+    exports.write_prepared(df, path, ["key"], ["ts_us"], buckets=4, stats={"x": {"center": 0.1, "scale": 2.0}}, scheme="s1", settings={"seq_len": 4})
+    about = exports.prepared_metadata(spark, path)
+    assert (about["scheme"], about["stats"], about["settings"]) == ("s1", {"x": {"center": 0.1, "scale": 2.0}}, {"seq_len": 4})
+    back = exports.read_prepared(spark, path, scheme="s1")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    previous = back.withColumn("before", F.lag("x").over(Window.partitionBy("key").orderBy("ts_us")))
+    assert "Exchange" not in previous._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="scheme"):
+        exports.read_prepared(spark, path, scheme="s2")
+    exports.write_text(spark, f"{path}/{exports._SIDECAR}", json.dumps(about).replace('"double"', '"long"'))
+    with pytest.raises(ValueError, match="columns of their sidecar"):
+        exports.read_prepared(spark, path)
+    df.write.partitionBy("split").parquet(str(tmp_path / "q"))
+    with pytest.raises(FileNotFoundError):
+        exports.read_prepared(spark, str(tmp_path / "q"))
