@@ -5,19 +5,26 @@
 2. A table of 2^24 bits tells, inside the task, which grams of a document can be seeds.
    Only runs of words under such grams leave the task. The table's size doesn't depend on
    the benchmark's; a fuller table lets more runs through and changes no result.
-3. Seeds join benchmark grams on the hash; each (document, item) with a seed is a candidate.
-4. For each candidate, greedy string tiling over the runs: the longest unmarked common
-   stretches are found with Karp-Rabin hashes of a search length that falls step by step,
-   compared word by word and marked, until no stretch of ``width`` words is left. Tiles
-   never overlap and keep no order, so reordered passages are covered as well.
+3. Tiles that cover ``share`` of an item hold at least a ``width``-th of that many of its
+   grams. So as many of its grams, less one, may be left out of the join, and the ones that
+   most documents have are: a phrase of every prompt pairs nothing. Seeds join the grams that
+   are left on the hash; each (document, item) with a seed is a candidate.
+4. For each candidate, greedy string tiling over the document's runs: the longest unmarked
+   common stretch (ties: first in the item, then in the document) is marked, again and again,
+   until none of ``width`` words is left. Its length is found by halving: Karp-Rabin hashes of
+   all windows of a length, taken from running prefix hashes, are compared at once, and a hit
+   is compared word by word. Tiles never overlap and keep no order, so reordered passages are
+   covered as well.
 5. The document is contaminated by an item if tiles cover at least ``share`` of its words.
 
-Every tile of ``width`` words lies in a run, so step 2 loses none. A candidate's work is
-bounded by the document's own text.
+Every tile of ``width`` words lies in a run, so step 2 loses none. With n words in the item and
+m in the runs, a candidate takes at most n / width tiles of (n + m) log n steps each, however
+repetitive both are.
 
 Cases: null and empty texts and items match nothing; an item shorter than ``width`` words
 is matched whole; repeated items each count, repeated documents are one result row each
-distinct (key, text); an empty table gives an empty result; other columns are ignored.
+distinct (key, text); an empty table gives an empty result; other columns are ignored. Keys of
+documents and items may be of any type that Arrow carries, and null.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowlens.llm.textio import values
 from flowlens.session import stage
@@ -81,12 +89,11 @@ def benchmark_grams(items: DataFrame, width: int, text: str, key: str) -> DataFr
                     w = min(width, len(words))
                     out.append((k.as_py(), words, w, grams_of(_hash_words(words, memory), w).view(np.int64).tolist()))
             cols = list(zip(*out)) or [[], [], [], []]
+            types = [batch.column(0).type, pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "words", "width", "grams"])
 
-    types = [pa.int64(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64())]
-    return items.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, "item_id long, words array<string>, width int, grams array<long>"
-    )
+    source = items.select(F.col(key).alias("item_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(cut, f"item_id {source.schema['item_id'].dataType.simpleString()}, words array<string>, width int, grams array<long>")
 
 
 def seed_table(grams: DataFrame) -> np.ndarray:
@@ -128,64 +135,87 @@ def _runs(cells: np.ndarray, widths: list[int]):
                     found = [int(g) for hit, grams in seeds for g in grams[(hit >= a) & (hit < b)]]
                     out.append((k.as_py(), th.as_py(), a, words[a:b], sorted(set(found))))
             cols = list(zip(*out)) or [[]] * 5
+            types = [batch.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "th", "at", "run", "grams"])
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
     return find
 
 
+class _Windows:
+    """Karp-Rabin hashes of all windows of any length of a sequence, and which windows are unmarked."""
+
+    def __init__(self, ids: np.ndarray, power: np.ndarray):
+        self.ids, self.power = ids, power
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        # running hash: sum of ids times powers, so that a window is a difference brought to a common power
+        self.run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power[: len(ids)], dtype=np.uint64)])
+        self.marked = np.zeros(len(ids) + 1, np.int64)
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the unmarked windows of ``size`` words, in order."""
+        n = len(self.ids) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        start = np.flatnonzero(self.marked[size : size + n] == self.marked[:n])
+        top = len(self.power) - 1
+        return start, (self.run[start + size] - self.run[start]) * self.power[top - start]
+
+    def mark(self, start: int, size: int) -> None:
+        self.marked[start + 1 :] += np.minimum(np.arange(1, len(self.marked) - start), size)
+
+
+def _meet(a: _Windows, b: _Windows, size: int) -> tuple[int, int] | None:
+    """First common unmarked window of ``size`` words: first in ``a``, then in ``b``."""
+    at_a, hash_a = a.free(size)
+    at_b, hash_b = b.free(size)
+    if not len(at_a) or not len(at_b):
+        return None
+    for i in np.flatnonzero(np.isin(hash_a, hash_b)).tolist():
+        for j in np.flatnonzero(hash_b == hash_a[i]).tolist():
+            x, y = int(at_a[i]), int(at_b[j])
+            if np.array_equal(a.ids[x : x + size], b.ids[y : y + size]):
+                return x, y
+    return None
+
+
 def tile(item: list[str], runs: list[list[str]], least: int) -> list[tuple[int, int, int, int]]:
-    """Tiles (item start, run number, run start, length): greedy string tiling with running Karp-Rabin."""
+    """Tiles (item start, run number, run start, length), the longest first."""
     number: dict[str, int] = {}
-    a = [number.setdefault(w, len(number)) for w in item]
-    texts = [[number.get(w, -1 - i) for i, w in enumerate(r)] for r in runs]
-    free_a, free = [True] * len(a), [[True] * len(r) for r in texts]
-    least = min(least, len(a))
+    a = np.array([number.setdefault(w, len(number)) for w in item], np.int64)
+    known = len(number)
+    flat, begins = [], []
+    for r in runs:
+        begins.append(len(flat))
+        flat += [number.get(w, -1) for w in r] + [-1]  # a border matches nothing
+    b = np.array(flat, np.int64)
+    strange = np.flatnonzero(b < 0)
+    b[strange] = known + np.arange(len(strange))
+    least = max(1, min(least, len(a)))
+    top = max(len(a), len(b), 1)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(top, _BASE)]), dtype=np.uint64)
+    left, right = _Windows(a, power), _Windows(b, power)
     out: list[tuple[int, int, int, int]] = []
-
-    def windows(seq: list[int], unmarked: list[bool], size: int):
-        """(start, hash) of each unmarked window, rolled along."""
-        base, mod = 1_000_003, (1 << 61) - 1
-        top = pow(base, size - 1, mod)
-        h = n = 0
-        for i, x in enumerate(seq):
-            if not unmarked[i]:
-                h = n = 0
-                continue
-            if n == size:
-                h = (h - (seq[i - size] + 7) * top) % mod
-                n -= 1
-            h = (h * base + x + 7) % mod
-            n += 1
-            if n == size:
-                yield i - size + 1, h
-
-    size = max(least, min(len(a), max(map(len, texts), default=0)))
-    while size >= least:
-        places: dict[int, list[int]] = {}
-        for i, h in windows(a, free_a, size):
-            places.setdefault(h, []).append(i)
-        found: list[tuple[int, int, int, int]] = []
-        for r, seq in enumerate(texts):
-            for j, h in windows(seq, free[r], size):
-                for i in places.get(h, ()):
-                    n = 0
-                    while i + n < len(a) and j + n < len(seq) and free_a[i + n] and free[r][j + n] and a[i + n] == seq[j + n]:
-                        n += 1
-                    if n >= size:
-                        found.append((-n, i, r, j))
-        again = 0
-        for n, i, r, j in sorted(found):
-            n = -n
-            if all(free_a[i : i + n]) and all(free[r][j : j + n]):
-                free_a[i : i + n] = [False] * n
-                free[r][j : j + n] = [False] * n
-                out.append((i, r, j, n))
-            else:  # partly taken by a longer tile: what is left is found in the next round
-                again = size
-        if size == least and not again:
-            break
-        size = size if again else max(least, size // 2)
+    most = min(len(a), max(map(len, runs), default=0))
+    while most >= least:
+        hit = _meet(left, right, most)
+        if hit is None:  # the longest common stretch is shorter; a stretch holds all shorter ones
+            low, high = least - 1, most
+            while high - low > 1:
+                size = (low + high) // 2
+                found = _meet(left, right, size)
+                if found is None:
+                    high = size
+                else:
+                    low, hit = size, found
+            most = low
+            if hit is None:
+                break
+        i, j = hit
+        left.mark(i, most)
+        right.mark(j, most)
+        run = int(np.searchsorted(begins, j, side="right")) - 1
+        out.append((i, run, j - begins[run], most))
     return out
 
 
@@ -194,19 +224,35 @@ def _covered(item: list[str], runs: list[list[str]], least: int) -> tuple[int, i
     return sum(t[3] for t in tiles), len(tiles)
 
 
+def _indexed(bench: DataFrame, seen: DataFrame, share: float) -> DataFrame:
+    """(item_id, gram) that are enough to find every contaminated document: each item without its most common grams.
+
+    ``seen``: documents per gram. Of an item's grams all are left but as many, less one, as
+    tiles over ``share`` of its words must hold.
+    """
+    one = bench.dropDuplicates(["item_id", "words"]).select("item_id", "width", F.size("words").alias("n"), F.xxhash64("item_id", "words").alias("item"), "grams")
+    at = one.select("item_id", "width", "n", "item", F.posexplode("grams").alias("pos", "gram"))
+    must = F.greatest(F.ceil(F.ceil(F.col("n") * share - 1e-9) / F.col("width")), F.lit(1))
+    by = Window.partitionBy("item_id", "item").orderBy(F.coalesce("docs", F.lit(0)), "pos")
+    ranked = at.join(seen, "gram", "left").withColumns({"rank": F.row_number().over(by), "most": F.col("n") - F.col("width") + 1 - must + 1})
+    return ranked.filter(F.col("rank") <= F.col("most")).select("item_id", "gram").distinct()
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", width: int = 5, share: float = 0.8) -> DataFrame:
     """Pairs (key, th, item_id, n_item_words, n_covered, n_tiles, coverage) of contaminated documents; th is the text's hash."""
     bench = stage(benchmark_grams(items, width, text, item_key), "benchmark")
-    grams = bench.select("item_id", F.explode("grams").alias("gram")).distinct()
+    grams = bench.select(F.explode("grams").alias("gram")).distinct()
     widths = sorted(r[0] for r in bench.select("width").distinct().collect())  # at most ``width`` values
-    source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).cast("string").alias("text"))
-    runs = source.mapInArrow(_runs(seed_table(grams), widths), "key long, th long, at long, run array<string>, grams array<long>")
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).cast("string").alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+    runs = source.mapInArrow(_runs(seed_table(grams), widths), f"key {kind}, th long, at long, run array<string>, grams array<long>")
     runs = stage(runs, "runs")
-    seeds = runs.select("key", "th", "at", F.explode("grams").alias("gram"))
-    pairs = seeds.join(grams, "gram").select("key", "th", "at", "item_id").distinct()
+    seeds = runs.select("key", "th", F.explode("grams").alias("gram"))
+    index = stage(_indexed(bench, seeds.groupBy("gram").agg(F.count("*").alias("docs")), share), "seed-index")
+    pairs = seeds.join(index, "gram").select("key", "th", "item_id").distinct()
     text_of = runs.select("key", "th", "at", "run").dropDuplicates(["key", "th", "at"])
-    both = pairs.alias("p").join(text_of.alias("t"), F.expr("p.key <=> t.key AND p.th = t.th AND p.at = t.at")).select("p.key", "p.th", "p.item_id", "t.run")
-    each = both.groupBy("key", "th", "item_id").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    both = pairs.alias("p").join(text_of.alias("t"), F.expr("p.key <=> t.key AND p.th = t.th")).select("p.key", "p.th", "p.item_id", "t.at", "t.run")
+    each = both.groupBy("key", "th", "item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "run"))), lambda x: x["run"]).alias("runs"))
     items_ = bench.groupBy("item_id", "words").agg(F.count("*").alias("copies"))
 
     @F.arrow_udf("n_covered long, n_tiles long")
@@ -222,7 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = leaks(docs, items, text, key, **how).select(F.col(key).cast("long").alias("key"), "th").distinct().alias("leak")
+    bad = leaks(docs, items, text, key, **how).select(F.col(key).alias("key"), "th").distinct().alias("leak")
     own = docs.alias("doc")
-    hit = F.col(f"doc.`{key}`").cast("long").eqNullSafe(F.col("leak.key")) & (F.xxhash64(F.coalesce(f"doc.`{text}`", F.lit(""))) == F.col("leak.th"))
+    hit = F.col(f"doc.`{key}`").eqNullSafe(F.col("leak.key")) & (F.xxhash64(F.coalesce(f"doc.`{text}`", F.lit(""))) == F.col("leak.th"))
     return own.join(bad, hit, "left_anti")
