@@ -5,8 +5,9 @@ repeated lines, punctuation) and of its neighbours. The chain labels each line g
 forward-backward gives each line's probability of good, and the document's score is their
 mean weighted by line length.
 
-``fit`` trains on a bounded sample of labelled documents (``SAMPLE`` rows of at most
-``LINES`` lines, chosen by hash): a line's training label is its document's label. The
+``fit`` trains on a bounded sample of labelled documents (``SAMPLE`` rows, chosen by hash; of
+each up to ``BLOCKS`` blocks of ``LINES`` lines, spread evenly over the text, which weigh as
+one document): a line's training label is its document's label. The
 likelihood is maximised by Adam with a fixed number of steps. ``score`` is a column that
 works through whole texts of any length, line by line.
 
@@ -29,7 +30,7 @@ from flowlens.llm import chain
 from flowlens.llm.textio import values
 from flowlens.llm.toxicity import bounded
 
-SAMPLE, LINES = 4_000, 200
+SAMPLE, LINES, BLOCKS = 4_000, 200, 4
 SYMBOLS = "#*$%&|<>"
 #: Own features of a line, one bit each; those before ``SHARED`` are also seen by both neighbours.
 FEATURES = (
@@ -87,6 +88,13 @@ class Model:
     steps: np.ndarray | None  # 2 x 2 scores of label pairs of neighbouring lines
 
 
+def blocks_of(bits: list[int]) -> list[list[int]]:
+    """Lines of a document in blocks of ``LINES``; of a longer one ``BLOCKS`` of them, spread evenly from its start to its end."""
+    n = -(-len(bits) // LINES)
+    at = range(n) if n <= BLOCKS else [round(i * (n - 1) / (BLOCKS - 1)) for i in range(BLOCKS)]
+    return [bits[k * LINES : (k + 1) * LINES] for k in at]
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Chain trained on a bounded sample of the labelled rows; ``labels``: key, quality."""
     given = labels.filter("quality IS NOT NULL").groupBy(key).agg(F.max("quality").cast("int").alias("quality"))
@@ -94,18 +102,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [line_bits(t)[0] for t in values(batch.column(0))]
-            keep = [i for i, g in enumerate(got) if 0 < len(g) <= LINES]
-            bits = pa.array([got[i] for i in keep], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([bits, batch.column(1).take(pa.array(keep, pa.int64()))], names=["bits", "quality"])
+            blocks, owner, parts = [], [], []
+            for i, t in enumerate(values(batch.column(0))):
+                own = blocks_of(line_bits(t)[0])
+                blocks += own
+                owner += [i] * len(own)
+                parts += [len(own)] * len(own)
+            quality = batch.column(1).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.list_(pa.int64())), quality, pa.array(parts, pa.int32())], names=["bits", "quality", "parts"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(sample, F.col("key") == F.col("key_"))
-    got = rows.select("text", "quality").mapInArrow(extract, "bits array<long>, quality int").orderBy("quality", "bits").collect()
-    y = [r["quality"] for r in got]
-    share = float(np.mean(y)) if y else 0.5
+    got = rows.select("text", "quality").mapInArrow(extract, "bits array<long>, quality int, parts int").orderBy("quality", "parts", "bits").collect()
+    y, part = [r["quality"] for r in got], np.array([1 / r["parts"] for r in got])
+    share = float(np.average(y, weights=part)) if y else 0.5
     if len(set(y)) < 2:
         return Model(share, None, None)
-    balance = [0.5 / share if q == 1 else 0.5 / (1 - share) for q in y]  # neither class nor long documents outweigh the rest
+    balance = [p * (0.5 / share if q == 1 else 0.5 / (1 - share)) for q, p in zip(y, part)]  # neither class nor long documents outweigh the rest
     return Model(share, *chain.train([_matrix(np.array(r["bits"], dtype=np.int64)) for r in got], [np.full(len(r["bits"]), r["quality"]) for r in got], np.array(balance)))
 
 

@@ -10,8 +10,9 @@ kept. Further spans (kind ``secret``: keys, tokens, passwords, account numbers)
 2. Labelers vote on each candidate: regex (hexadecimal, mixed letters and digits, upper-case
    key, account number with its checksum), gazetteer (known key prefixes), context (a word
    such as "password" before it, an assignment sign, quotes), and shape (changes between
-   letters and digits, plain words). What is announced and assigned, or has the shape of a
-   known number, may be short and even: there the shape labelers don't speak against it.
+   letters and digits, plain words, a word in the middle of a sentence). What is announced and
+   assigned, or has the shape of a known number, may be short and even: there the shape
+   labelers don't speak against it, unless the sentence goes on behind it ("secret: nobody knows").
 3. Votes of the whole corpus are reduced to counts of vote patterns;
    expectation-maximisation estimates how each labeler votes on true and false candidates,
    from a prior that says which side it speaks for.
@@ -65,6 +66,7 @@ _UPPER = re.compile(r"[A-Z0-9]{16,}\Z")
 _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 _PLAIN = re.compile(r"[a-z]{6,}")
+_NEXT_WORD = re.compile(r"[,;]?[ \t]+[^\W\d_]")
 #: Words that announce a secret, and prefixes of known key formats.
 _ANNOUNCE = re.compile(r"(?:token|passw(?:or)?d|pwd|secret|api[ _-]?key|access[ _-]?key|auth|bearer|credential|iban|account|ssn|pass(?:phrase|code)|(?:secret|private)[ _-]?key|phone|mobile|\btel|\bfax|\bcell|\bpin)\W{0,8}\Z", re.I)
 PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "ya29")
@@ -161,7 +163,7 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
 
 
 #: What each labeler says: (name, side it speaks for).
-LABELERS = ("hex", "mixed", "upper", "account", "prefix", "announced", "assigned", "quoted", "changes", "digits_only", "plain", "short")
+LABELERS = ("hex", "mixed", "upper", "account", "prefix", "announced", "assigned", "quoted", "changes", "digits_only", "plain", "short", "prose")
 
 
 def votes(text: str, start: int, end: int) -> tuple[int, ...]:
@@ -175,7 +177,9 @@ def votes(text: str, start: int, end: int) -> tuple[int, ...]:
     number = grouped or _checks(run) or bool(_NUMBER.match(text, start)) or bool(_PHONE_SURE.fullmatch(run))
     announced = bool(_ANNOUNCE.search(before))
     assigned = before.rstrip("\"' \t").endswith(("=", ":", "=>"))
-    free = number or (announced and assigned)
+    # a word of a sentence: small letters alone, a blank before it and another word behind
+    prose = run.isalpha() and run.islower() and before.endswith((" ", "\t")) and bool(_NEXT_WORD.match(text, end))
+    free = number or (announced and assigned and not prose)
     return (
         1 if len(run) >= 16 and digits and letters and _HEX.match(run) else 2,
         1 if len(run) >= 20 and digits >= 3 and any(c.islower() for c in run) and any(c.isupper() for c in run) and not _PLAIN.search(run) else 2,
@@ -189,6 +193,7 @@ def votes(text: str, start: int, end: int) -> tuple[int, ...]:
         0 if not letters and not free else 2,
         0 if _PLAIN.search(run) else 2,
         0 if len(run) < (4 if free else 14) else 2,
+        0 if prose else 2,
     )
 
 

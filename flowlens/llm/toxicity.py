@@ -13,7 +13,7 @@
    more voter. Correlations of voters within the classes are estimated from the posterior
    and voters that repeat each other are discounted.
 4. *Classifier.* Logistic regression on the counts, trained on the posterior labels of a
-   bounded sample (``SAMPLE`` rows).
+   bounded sample (``SAMPLE`` rows, chosen by a hash of key and text, so reruns agree).
 
 ``score`` is a column: one pass over the text, whatever its length. Labels, language,
 source and id never enter a score.
@@ -266,7 +266,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Lexicon, label model and classifier from training rows; ``labels``: key, toxic."""
     given = labels.filter("toxic IS NOT NULL").groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(key, text).alias("th"))
     sample = F.broadcast(bounded(given, key, SAMPLE).withColumnRenamed(key, "key_"))  # a bounded number of (id, label) pairs
     learned = learn_lexicon(rows.join(sample, F.col("key") == F.col("key_")).select("text", "toxic"))
 
@@ -275,29 +275,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         for batch in batches:
             got = [features(t, lexicon) for t in values(batch.column(1))]
             cols = [pa.array([g[i] for g in got], pa.int32()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["key", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["key", "th", *FEATURES])
 
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(extract, f"key {kind}, " + ", ".join(f"{f} int" for f in FEATURES))
-    found = stage(found, "toxicity-features")
-    named = found.join(given.withColumnRenamed(key, "key_"), F.col("key") == F.col("key_"), "left").select(*FEATURES, F.coalesce("toxic", F.lit(2)).alias("given"))
+    found = rows.mapInArrow(extract, f"key {kind}, th long, " + ", ".join(f"{f} int" for f in FEATURES))
+    named = found.join(given.withColumnRenamed(key, "key_"), F.col("key") == F.col("key_"), "left").select("th", *FEATURES, F.coalesce("toxic", F.lit(2)).alias("given"))
+    named = stage(named, "toxicity-features")
     # what the voters can tell apart: counts are cut where no voter looks further
     cut = [F.least(F.col(f), F.lit(4)).alias(f) for f in FEATURES[1:]]
     dense = (F.greatest("learned", "general") * 150 >= F.greatest("words", F.lit(1))).alias("dense")
-    patterns = named.groupBy(*cut, dense, "given").agg(F.count("*").alias("n")).collect()
+    patterns = named.groupBy(*cut, dense, "given").agg(F.count("*").alias("n")).orderBy(*FEATURES[1:], "dense", "given").collect()
     if not patterns:
         return Model(learned, np.zeros(11), None)
     f = np.array([[(1 if r["dense"] else 1_000_000), *[r[x] for x in FEATURES[1:]]] for r in patterns], dtype=np.int64)
     votes = np.column_stack([_votes(f), [r["given"] for r in patterns]])
     counts = np.array([r["n"] for r in patterns], float)
     model = fit_label_model(votes, counts)
-    few = bounded(named.filter("learned + general = 0").withColumn("k", F.monotonically_increasing_id()), "k", SAMPLE // 2)
-    some = bounded(named.filter("learned + general > 0").withColumn("k", F.monotonically_increasing_id()), "k", SAMPLE // 2)
+    # chosen and ordered by key and text, so that a run on other partitions trains on the same rows
+    few = bounded(named.filter("learned + general = 0"), "th", SAMPLE // 2)
+    some = bounded(named.filter("learned + general > 0"), "th", SAMPLE // 2)
     sizes = named.groupBy((F.col("learned") + F.col("general") > 0).alias("hit")).count().collect()
     each = {r["hit"]: r["count"] for r in sizes}
     xs, ys, ks = [], [], []
     for hit, part in ((False, few), (True, some)):
-        got = part.select(*FEATURES, "given").collect()  # at most about SAMPLE rows of nine numbers
+        got = part.orderBy("th", *FEATURES, "given").select(*FEATURES, "given").collect()  # at most about SAMPLE rows of nine numbers
         if got:
             a = np.array(got, dtype=np.int64)
             xs.append(_inputs(a[:, :-1]))
