@@ -23,8 +23,10 @@ def loop(rows, force, min_p=1, min_b=1):
     return kept
 
 
+@pytest.mark.parametrize("limit", [1024, 4])
 @pytest.mark.parametrize("seed,min_p", [(1, 1), (2, 3), (3, 5)])
-def test_fold(spark, seed, min_p):
+def test_fold(spark, monkeypatch, seed, min_p, limit):
+    monkeypatch.setattr(emission, "LIMIT", limit)
     rnd = random.Random(seed)
     rows, count = [], {}
     for i in range(1500):
@@ -42,14 +44,29 @@ def test_fold(spark, seed, min_p):
 
 
 @pytest.mark.parametrize("gap", [1, 3, 5])
-def test_cooldown_dense_key(spark, gap):
-    """A key that never falls silent: its chains of kept rows never merge."""
+def test_cooldown_dense_key(spark, monkeypatch, gap):
+    """A key that never falls silent, longer than an array: ranked by pointer doubling."""
+    monkeypatch.setattr(emission, "LIMIT", 16)
     rows = [("a", i * gap * SEC // 2, i, 1, 0, False) for i in range(800)]
     df = spark.createDataFrame(rows, "key string, ts_us long, row_id long, p long, b long, fresh boolean")
     out = {r.row_id for r in keep_changed(df, ["key"], 5 * SEC, block_us=20 * SEC).collect()}
     assert out == loop(rows, 5 * SEC)
 
 
+def test_ranked_lists_of_uneven_rows(spark, monkeypatch):
+    monkeypatch.setattr(emission, "LIMIT", 3)
+    rnd = random.Random(6)
+    rows, at = [], {"a": 0, "b": 7}
+    for i in range(600):
+        key = rnd.choice("ab")
+        at[key] += rnd.choice([0, 0, 1, 3, 99, 100, 101, 40, 250])
+        rows.append((key, at[key], i, 1, 0, rnd.random() < 0.005))
+    df = spark.createDataFrame(rows, "key string, ts_us long, row_id long, p long, b long, fresh boolean")
+    out = keep_changed(df, ["key"], 100, fresh=F.col("fresh"), block_us=1000)
+    assert {r.row_id for r in out.collect()} == loop(rows, 100)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cooldown_exactly_elapsed(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 5 * SEC, 2), ("a", 10 * SEC - 1, 3)], "key string, ts_us long, row_id long")
     assert {r.row_id for r in keep_changed(df, ["key"], 5 * SEC).collect()} == {1, 2}
@@ -63,8 +80,8 @@ def test_keys_with_nulls_are_apart_and_timeless_rows_stay(spark):
 
 
 def test_dense_key(spark):
-    """100,000 rows of one key within one cool-down, and the next one after it."""
-    df = spark.range(100_000).select(F.lit("k").alias("k"), F.col("id").alias("ts_us"), F.col("id").alias("row_id"))
-    df = df.unionByName(spark.createDataFrame([("k", 200_000, 200_000)], "k string, ts_us long, row_id long"))
-    kept = emission.keep_changed(df, ["k"], 150_000, block_us=1_000_000)
-    assert sorted(r["row_id"] for r in kept.collect()) == [0, 200_000]
+    """A million rows of one key within one cool-down, and the next one after it."""
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.col("id").alias("ts_us"), F.col("id").alias("row_id"))
+    df = df.unionByName(spark.createDataFrame([("k", 2_000_000, 2_000_000)], "k string, ts_us long, row_id long"))
+    kept = emission.keep_changed(df, ["k"], 1_500_000, block_us=10_000_000)
+    assert sorted(r["row_id"] for r in kept.collect()) == [0, 2_000_000]
