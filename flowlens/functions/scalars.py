@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.policy import LABELS
@@ -36,6 +36,14 @@ def num(c: Column | str, default: float = 0.0) -> Column:
     return F.when(x.isNotNull() & plain, clean(x, default)).otherwise(F.lit(default))
 
 
+def with_numbers(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
+    """``num`` of several text columns in place; each text is stripped and parsed once."""
+    df = df.withColumns({f"_t_{c}": strip(c) for c in defaults})
+    parsed = {f"_x_{c}": F.when(~F.col(f"_t_{c}").rlike("[dfxDFX]"), F.col(f"_t_{c}").try_cast("double")) for c in defaults}
+    df = df.withColumns(parsed)
+    return df.withColumns({c: clean(f"_x_{c}", d) for c, d in defaults.items()}).drop(*[f"_{v}_{c}" for c in defaults for v in "tx"])
+
+
 def finite_or(c: Column | str, nan: float = 0.0, inf: float = 1e6) -> Column:
     x = col_of(c).cast("double")
     return (

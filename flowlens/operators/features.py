@@ -162,13 +162,12 @@ def extract_match(df: DataFrame, json_col: str = "match") -> DataFrame:
             m["field"].isNotNull(), F.struct(m["field"].alias("field"), m["value"].alias("value"))
         ).otherwise(F.from_json(F.get(F.map_values(m), F.lit(0)), "field string, value string")),
     )
-    df = df.withColumn("_items", items)
+    # names are folded and empty values dropped once, not once per field
+    named = F.transform(items, lambda x: F.struct(F.lower(F.trim(x["field"])).alias("field"), x["value"].alias("value")))
+    df = df.withColumn("_items", F.filter(named, lambda x: x["value"].isNotNull() & (x["value"] != "")))
 
     def last_of(name: str) -> Column:
-        def match(x: Column) -> Column:
-            return (F.lower(F.trim(x["field"])) == name) & x["value"].isNotNull() & (x["value"] != "")
-
-        return F.try_element_at(F.filter("_items", match), F.lit(-1))["value"]
+        return F.try_element_at(F.filter("_items", lambda x: x["field"] == name), F.lit(-1))["value"]
 
     def field(*names: str) -> Column:
         return F.coalesce(*[last_of(n) for n in names])

@@ -22,6 +22,8 @@ def local_session(cpus: int | str = 8, app: str = "flowlens", shuffle: int | Non
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM interprets methods over 8,000 bytes; wide projections then run as compiled parts instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 

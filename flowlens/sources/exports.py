@@ -173,10 +173,10 @@ def read_flow_export(
 
 def typed_flows(raw: DataFrame) -> DataFrame:
     """All-text export columns to flow rows: types, time, features, labels, key."""
-    whole = {c: S.num(c).cast("long") for c in ("src_port", "dst_port", "protocol")}
-    counts = {c: S.num(c) for c in ("fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration_us")}
+    ports, counts = ("src_port", "dst_port", "protocol"), ("fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration_us")
     text = {c: F.coalesce(S.strip(c), F.lit("")) for c in ("flow_id", "src_ip", "dst_ip")}
-    df = raw.withColumns({**whole, **counts, **text})
+    df = S.with_numbers(raw, dict.fromkeys([*ports, *counts], 0.0))
+    df = df.withColumns({**{c: F.col(c).cast("long") for c in ports}, **text})
     df = df.withColumn("parsed_timestamp", S.parse_ts("timestamp", "row_id"))
     df = df.withColumn("ts_us", F.unix_micros("parsed_timestamp"))
     df = features.with_label_columns(features.with_flow_features(df))
@@ -211,9 +211,10 @@ def read_alternate_export(spark: SparkSession, path: str, scheme: str = "telemet
 
 
 def alternate_rows(df: DataFrame, scheme: str = "telemetry_v2") -> DataFrame:
-    ports = {c: S.num(c, -1.0).cast("long") for c in ("src_port", "dst_port", "protocol")}
+    ports = ("src_port", "dst_port", "protocol")
     rates = ("fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "duration_us", "packet_rate_raw", "byte_rate_raw")
-    df = df.withColumns({**ports, **{c: S.num(c) for c in rates}})
+    df = S.with_numbers(df, {**dict.fromkeys(ports, -1.0), **dict.fromkeys(rates, 0.0)})
+    df = df.withColumns({c: F.col(c).cast("long") for c in ports})
     df = df.withColumn("source_file", F.regexp_replace("source_file", r"\.[^.]*$", ""))
     df = df.withColumn("ts_us", F.col("row_id") * 1000)
     df = features.with_label_columns(features.with_alt_flow_features(df, scheme))
