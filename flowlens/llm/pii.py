@@ -12,7 +12,8 @@ kept. Further spans (kind ``secret``: keys, tokens, passwords, account numbers)
    such as "password" before it, an assignment sign, quotes), and shape (changes between
    letters and digits, plain words, a word in the middle of a sentence). What is announced and
    assigned, or has the shape of a known number, may be short and even: there the shape
-   labelers don't speak against it, unless the sentence goes on behind it ("secret: nobody knows").
+   labelers don't speak against it, unless the sentence goes on behind it ("secret: nobody
+   knows"): there the context labelers say nothing.
 3. Votes of the whole corpus are reduced to counts of vote patterns;
    expectation-maximisation estimates how each labeler votes on true and false candidates,
    from a prior that says which side it speaks for.
@@ -186,8 +187,8 @@ def votes(text: str, start: int, end: int) -> tuple[int, ...]:
         1 if digits and letters and _UPPER.match(run) else 2,
         1 if number else 2,
         1 if run.startswith(PREFIXES) else 2,
-        1 if announced else 2,
-        1 if assigned else 0 if before.endswith((".", ",")) else 2,
+        1 if announced and not prose else 2,
+        2 if prose else 1 if assigned else 0 if before.endswith((".", ",")) else 2,
         1 if before.endswith(('"', "'")) and text[end : end + 1] == before[-1] else 2,
         1 if changes >= 4 else 0 if changes <= 1 and not free else 2,
         0 if not letters and not free else 2,

@@ -1,10 +1,14 @@
 """Registered text queries against their SQL, and the pipeline's stages against the operators."""
 
 import os
+import random
+import re
 import sys
 
 import duckdb
 import pytest
+from test_llm_operators import brute_components, brute_cover, brute_print
+from tokenizers import Tokenizer
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, ROOT)
@@ -94,5 +98,48 @@ def test_pipeline_stages(spark, odd_dir, empty_dir, sf):
     assert texts["bpe"].filter("NOT decodes OR n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """A corpus whose fate is known: who is toxic by plan, copies and leaks by brute force, masks by hand, tokens by another library."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("aeioubdgklmnprst") for _ in range(r.randint(3, 8)))
+    vocabulary = [word() for _ in range(600)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, prose(30)) for i in range(3)]
+    texts, toxic, masks = [prose(r.randint(60, 140)) for _ in range(60)], [0] * 60, {}
+    for k in range(16):
+        texts.append(f"{prose(30)} you stupid idiot, worthless pathetic loser {prose(20)} such a moron and clown")
+        toxic.append(1)
+    for k in range(6):  # exact copies, and copies with one word more at the end of long texts
+        texts += [texts[k], texts[k + 10] + " " + prose(1)]
+        toxic += [0, 0]
+    halves = [t.split() for _, t in items]
+    texts += [f"{prose(20)} {items[0][1].upper()} {prose(20)}", f"{prose(15)} {' '.join(halves[1][15:])} {prose(3)} {' '.join(halves[1][:15])}", f"{prose(40)} {' '.join(halves[2][:12])}"]
+    toxic += [0, 0, 0]
+    for text, masked in (("write to ann.lee@mail.example.org soon", "write to <EMAIL> soon"), ("from 10.20.30.40 today", "from <IP> today"), ("call +49 30 1234567 now", "call <PHONE> now"),
+                         ("card 4111 1111 1111 1111 here", "card <CARD> here"), ("password = 'p&s (w)!rd9' here", "password = '<SECRET>' here"), ("the account: is closed", "the account: is closed")):
+        a, b = prose(40), prose(30)
+        texts.append(f"{a} {text} {b}")
+        masks[texts[-1]] = f"{a} {masked} {b}"
+        toxic.append(0)
+    texts += ["", None]
+    toxic += [0, 0]
+    rows = [(i, t, "xx", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, EMPTY).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    left = [(i, t) for (i, t, *_), x in zip(rows, toxic) if not x]
+    groups = brute_components([(i, brute_print(t)) for i, t in left])
+    left = [(i, t) for k, (i, t) in enumerate(left) if groups[k] == i]
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    left = [(i, t) for i, t in left if not any(brute_cover(words(x), words(t), 5) >= 0.8 * len(words(x)) for _, x in items if set(words(x)) & set(words(t)))]
+    other = Tokenizer.from_file(bpe.default_path())
+    want = {i: other.encode(masks.get(t, t or ""), add_special_tokens=False).ids for i, t in left}
+    got = corpus_pipeline.run(spark, d).collect()
+    assert {x["doc_id"]: x["ids"] for x in got} == want and all(x["decodes"] and x["n_tokens"] == len(x["ids"]) for x in got)
+    assert len(want) < len([x for x in toxic if not x])
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
