@@ -56,7 +56,8 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: SQL can't express the trained models of the stages; tests hold the stages against brute force.
+#: SQL can't express the trained models of the stages. A test holds the rows of ``run`` against a corpus whose
+#: fate is known: fingerprints, groups, tiles and masks in plain Python, tokens by the tokenizers library.
 ORACLE_SQL = None
 
 
