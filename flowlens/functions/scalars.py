@@ -202,6 +202,7 @@ def recommended_interval(
 ) -> Column:
     """Poll-interval advice: slow down under pressure, speed up gently when idle."""
 
+    # Factors and steps below.
     def slower(x: Column, factor: float, plus: float) -> Column:
         return F.greatest(x, F.least(highest, x * factor + plus))
 

@@ -197,6 +197,7 @@ def run_status(
     own, held = S.norm_status("status"), F.col("hold_status")
     promoted = S.status_rank("hold_status") > S.status_rank("status")
     status = F.when(promoted, held).when((own == "NORMAL") & hit, "SUSPECT").otherwise(own)
+    # Texts of a held status.
     reason = (
         F.when(
             promoted & (F.coalesce("hold_category", F.lit("")) != ""),

@@ -2,6 +2,9 @@
 
 Rows are taken in ``(ts_us, row_id)`` order.  Every rule adds one nullable
 struct column (a *support*); ``decide`` fuses them with the model score.
+
+Fixed values: texts of reasons, names of sources and categories, and prefixes of emit keys
+are read by others and must not change.
 """
 
 from __future__ import annotations

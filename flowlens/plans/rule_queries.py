@@ -61,9 +61,19 @@ rule_pieces("obs", "o_")
 _SUP = ["reason", "severity", "hit_count", "emit_key", "source", "category"]
 
 
-def _shown(df, support, reason=True):
-    cols = _SUP if reason else _SUP[1:]
-    return df.filter(F.col(support).isNotNull()).select("row_id", *[F.col(f"{support}.{c}").alias(c) for c in cols])
+def _shown(df, support):
+    return df.filter(F.col(support).isNotNull()).select("row_id", *[F.col(f"{support}.{c}").alias(c) for c in _SUP])
+
+
+def _with_reason(df, support, *numbers):
+    """The support without its reason, the reason's text with ``#`` for numbers, and whether its numbers are ``numbers`` to the digits shown."""
+    reason = F.col(f"{support}.reason")
+    shown = F.regexp_extract_all(reason, F.lit(r"-?[0-9]+[.][0-9]+"), F.lit(0))
+    real = F.filter(F.array(*[n.cast("double") for n in numbers]), lambda x: x.isNotNull())
+    near = F.zip_with(shown, real, lambda a, b: F.abs(a.cast("double") - b) <= F.pow(F.lit(10.0), -F.length(F.substring_index(a, ".", -1))) * 0.5 + 1e-9 * F.abs(b))
+    right = (F.size(shown) == F.size(real)) & F.forall(near, lambda x: x)
+    df = df.filter(F.col(support).isNotNull())
+    return df.select("row_id", *[F.col(f"{support}.{c}").alias(c) for c in _SUP[1:]], F.regexp_replace(reason, r"-?[0-9]+[.][0-9]+", "#").alias("reason_text"), right.alias("reason_right"))
 
 
 @query("w6_service_baseline", with_pieces("obs o_base", f"""SELECT o.row_id, {r6('base_packet_rate', 'base_byte_rate', digits=3)} FROM obs o LEFT JOIN o_base USING (row_id)"""), digits=3)
@@ -141,16 +151,24 @@ FLOOD = f"""CASE WHEN {ACTIVE} AND protocol = 17 AND (packet_rate >= 12 OR byte_
 
 
 @query("r4_flood_support", with_pieces("obs", f"""SELECT row_id, 'high' AS severity, 1::BIGINT AS hit_count, f || ':' || {ENTITY} AS emit_key,
- CASE f WHEN 'tcpflood' THEN 'tcp_flood_rule' ELSE f || '_rule' END AS source, CASE f WHEN 'udp' THEN 'UDP-Flood' WHEN 'icmp' THEN 'ICMP-Flood' ELSE 'TCP-Flood' END AS category
+ CASE f WHEN 'tcpflood' THEN 'tcp_flood_rule' ELSE f || '_rule' END AS source, CASE f WHEN 'udp' THEN 'UDP-Flood' WHEN 'icmp' THEN 'ICMP-Flood' ELSE 'TCP-Flood' END AS category,
+ CASE f WHEN 'udp' THEN 'udp flood support: pkt_rate=#, byte_rate=#' WHEN 'icmp' THEN 'icmp flood support: pkt_rate=#' ELSE 'tcp small-packet flood support: pkt_rate=#, avg_size=#' END AS reason_text, true AS reason_right
  FROM (SELECT *, {FLOOD} AS f FROM obs) t WHERE f IS NOT NULL"""))
 def _(t):
-    return _shown(rules.flood_support(t.obs(), P), "flood", reason=False)
+    second = F.when(F.col("protocol") == 17, F.col("byte_rate")).when(F.col("protocol") == 6, F.greatest("avg_packet_size", F.lit(1.0)))
+    return _with_reason(rules.flood_support(t.obs(), P), "flood", F.col("packet_rate"), second)
 
 
 @query("r5_volumetric_support", with_pieces("o_vol", f"""SELECT row_id, CASE WHEN hard OR attackish THEN 'high' ELSE 'medium' END AS severity, volumetric_hits AS hit_count,
- 'vol:' || {ENTITY} AS emit_key, 'volumetric_rule' AS source, 'Traffic-Flood' AS category FROM o_vol WHERE hard OR warn"""))
-def _(t):
-    return _shown(rules.volumetric_support(t.obs(), P), "volumetric", reason=False)
+ 'vol:' || {ENTITY} AS emit_key, 'volumetric_rule' AS source, 'Traffic-Flood' AS category, CASE WHEN hard THEN 'volumetric support: pkt_rate=#, byte_rate=#, pkt_delta=#, byte_delta=#'
+ ELSE 'baseline volumetric support: pkt_rate=# (#x), byte_rate=# (#x)' END AS reason_text, true AS reason_right FROM o_vol WHERE hard OR warn"""))
+def _(t):
+    df = rules.volumetric_support(t.obs(), P)
+    plain = F.startswith(F.col("volumetric.reason"), F.lit("volumetric"))
+    per = lambda rate, base: F.col(rate) / F.greatest(F.col(base), F.lit(1e-6))
+    numbers = [F.col("packet_rate"), F.when(plain, F.col("byte_rate")).otherwise(per("packet_rate", "base_packet_rate")),
+               F.when(plain, F.col("packet_delta")).otherwise(F.col("byte_rate")), F.when(plain, F.col("byte_delta")).otherwise(per("byte_rate", "base_byte_rate"))]
+    return _with_reason(df, "volumetric", *numbers)
 
 
 piece("supported", ("streak", "o_scan_n", "o_bfa_n", "o_viol", "o_vol"), f"""SELECT *, len(sources) AS n_sup, CASE WHEN list_contains(sevs, 'high') THEN 'high' WHEN list_contains(sevs, 'medium') THEN 'medium' ELSE 'low' END AS sev

@@ -25,7 +25,21 @@ RUNTIME10 = [
     "protocol_udp",
     "protocol_icmp",
 ]
-CORE11 = RUNTIME10[:6] + ["src_port_norm"] + RUNTIME10[6:]
+# The longer contract, in vector order.
+CORE11 = [
+    "packet_count",
+    "byte_count",
+    "flow_duration_s",
+    "packet_rate",
+    "byte_rate",
+    "avg_packet_size",
+    "src_port_norm",
+    "dst_port_norm",
+    "protocol_tcp",
+    "protocol_udp",
+    "protocol_icmp",
+]
+# Names of the contracts.
 FEATURE_SCHEMES = {
     "insdn_runtime10_v2": RUNTIME10,
     "insdn_ml_core_v1": CORE11,
@@ -72,8 +86,9 @@ def feature_weights(names: list[str]) -> list[float]:
 
 @dataclass(frozen=True)
 class Policy:
-    """Rule, alert and state settings (code defaults of the rule engine)."""
+    """Rule, alert and state settings."""
 
+    # The defaults of all settings.
     # model decision
     threshold: float = 0.5
     score_direction: str = "higher_is_attack"
