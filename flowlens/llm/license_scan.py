@@ -2,14 +2,15 @@
 
 Every rolling word k-gram (k = 2) of a text is joined by hash to the positions where
 a template has that k-gram. A hit at text position p and template position t votes for
-the diagonal p - t. Votes are kept as bit sets over template positions, so partial sums
-merge and repeated rows don't count twice. Neighbouring diagonals (words put in or left
+the diagonal p - t. Votes are kept as bit sets over template positions, one for each 62
+positions of a template, so templates may have any length, partial sums merge and repeated
+rows don't count twice. Neighbouring diagonals (words put in or left
 out) are merged, and a span is verified by the share of the template's k-grams that it
 holds and by its length. The words themselves are compared in the join, so a collision
 of hashes never votes.
 
-The template table is a parameter of at most a few thousand rows and is broadcast; texts
-never are. A text is read once: a marker row per document carries its word count.
+The template table is a parameter. Up to ``BROADCAST`` k-grams of it are broadcast, a larger
+one is joined by shuffling the texts' k-grams; texts are never broadcast. A text is read once: a marker row per document carries its word count.
 
 Cases: null and empty texts have 0 words, no labels and score 0; repeated rows are all
 returned; rows of equal id and other text are kept apart by the text's hash; an empty
@@ -26,6 +27,10 @@ from pyspark.sql.window import Window
 
 from flowlens.llm.textio import ascii_lower
 
+#: K-grams of all templates that are broadcast (some ten MB).
+BROADCAST = 200_000
+#: Template positions in a bit set.
+BITS = 62
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,8 +66,8 @@ def template_table(templates: tuple[Template, ...]) -> list[tuple]:
     rows = []
     for tid, t in enumerate(templates):
         words = t.words.split()
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"a template has 2 to 64 words; cut this one into parts: {t.words[:60]}")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words or more: {t.words!r}")
         rows += [(tid, t.label, t.base, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
     return rows
 
@@ -86,25 +91,28 @@ def scan(
     at = at.withColumns({"wa": F.get("w", F.col("p")), "wb": F.get("w", F.col("p") + 1)})
     at = at.select("id", "th", "n", "p", "wa", "wb", F.when(F.col("p") < 0, F.lit(0)).otherwise(F.xxhash64("wa", "wb")).alias("gram"))
     real = (F.col("p") >= 0) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b"))
-    hits = at.join(F.broadcast(grams), "gram").filter(real | (F.col("p") < 0) & (F.col("tid") < 0))
-    # diagonals: a set bit for each k-gram of the template that stands on it
-    bit = F.expr("shiftleft(1L, tpos)")
-    diagonals = hits.groupBy("id", "th", "tid", "label", "base", "grams", (F.col("p") - F.col("tpos")).alias("d")).agg(
+    hits = at.join(F.broadcast(grams) if len(rows) <= BROADCAST else grams, "gram").filter(real | (F.col("p") < 0) & (F.col("tid") < 0))
+    # diagonals: a set bit for each k-gram of the template that stands on it, in blocks of its positions
+    bit, block = F.expr(f"shiftleft(1L, tpos % {BITS})"), F.expr(f"tpos div {BITS}").alias("block")
+    diagonals = hits.groupBy("id", "th", "tid", "label", "base", "grams", (F.col("p") - F.col("tpos")).alias("d"), block).agg(
         F.bit_or(bit).alias("bits"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("n").alias("n"), F.sum((F.col("tid") < 0).cast("long")).alias("copies")
     )
-    by = Window.partitionBy("id", "th", "tid").orderBy("d")
+    by = Window.partitionBy("id", "th", "tid").orderBy("d", "block")
     new = (F.col("d") - F.lag("d").over(by) > near).cast("int")
-    merged = (
-        diagonals.withColumn("part", F.sum(F.coalesce(new, F.lit(0))).over(by))
-        .groupBy("id", "th", "tid", "part")
-        .agg(
-            F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
-            F.max(F.bit_count("bits")).alias("alone"), F.bit_count(F.bit_or("bits")).alias("together"),
-            (F.max("hi") - F.min("lo") + 1).alias("span"), F.max("n").alias("n"), F.sum("copies").alias("copies"),
-            F.sum((F.bit_count("bits") == F.col("grams")).cast("long")).alias("whole"),
-            F.min(F.when(F.bit_count("bits") == F.col("grams"), F.col("d"))).alias("first_d"),
-            F.max(F.when(F.bit_count("bits") == F.col("grams"), F.col("d"))).alias("last_d"),
-        )
+    alone = F.sum(F.bit_count("bits")).over(Window.partitionBy("id", "th", "tid", "d"))
+    # a diagonal is whole if all its blocks are; it is counted where the first one stands
+    diagonals = diagonals.withColumns({"part": F.sum(F.coalesce(new, F.lit(0))).over(by), "alone": alone})
+    whole = (F.col("alone") == F.col("grams")) & (F.col("block") == 0)
+    blocks = diagonals.groupBy("id", "th", "tid", "part", "block").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
+        F.max("alone").alias("alone"), F.bit_count(F.bit_or("bits")).alias("together"),
+        F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("n").alias("n"), F.sum("copies").alias("copies"),
+        F.sum(whole.cast("long")).alias("whole"), F.min(F.when(whole, F.col("d"))).alias("first_d"), F.max(F.when(whole, F.col("d"))).alias("last_d"),
+    )
+    merged = blocks.groupBy("id", "th", "tid", "part").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"),
+        F.max("alone").alias("alone"), F.sum("together").alias("together"), (F.max("hi") - F.min("lo") + 1).alias("span"), F.max("n").alias("n"),
+        F.sum("copies").alias("copies"), F.sum("whole").alias("whole"), F.min("first_d").alias("first_d"), F.max("last_d").alias("last_d"),
     )
     fits = F.col("span") <= F.col("grams") + near + F.floor(F.col("grams") * (1 - share))
     votes = F.greatest("alone", F.when(fits, F.col("together")).otherwise(0))

@@ -144,6 +144,70 @@ def test_license_altered_text(spark):
     assert sorted((r["doc_id"] or 0, r["labels"]) for r in got) == [(0, "mit"), (1, "mit"), (2, ""), (3, "all-rights-reserved"), (3, "all-rights-reserved")]
 
 
+#: The terms of a well-known licence, in full.
+TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_vote(text, templates, near=2, share=0.8):
+    """Labels and score by votes on diagonals, one template after the other."""
+    words = license_words(text)
+    labels, best = set(), 0.0
+    for t in templates:
+        own = t.words.split()
+        grams = len(own) - 1
+        on = {}
+        for p, k in itertools.product(range(len(words) - 1), range(grams)):
+            if words[p : p + 2] == own[k : k + 2]:
+                on.setdefault(p - k, []).append((p, k))
+        parts = []
+        for d in sorted(on):
+            if parts and d - parts[-1][-1] <= near:
+                parts[-1].append(d)
+            else:
+                parts.append([d])
+        for part in parts:
+            alone = max(len({k for _, k in on[d]}) for d in part)
+            places = [p for d in part for p, _ in on[d]]
+            fits = max(places) - min(places) + 1 <= grams + near + math.floor(grams * (1 - share))
+            got = max(alone, len({k for d in part for _, k in on[d]}) if fits else 0) / grams
+            if alone == grams if t.base else got >= share:
+                labels.add(t.label)
+                best = max(best, got)
+    return ",".join(sorted(labels)), round(best, 6)
+
+
+def test_license_votes_against_brute_force(spark, texts):
+    r = random.Random(3)
+    terms = license_words(TERMS)
+    templates = (*license_scan.TEMPLATES, license_scan.Template("terms", " ".join(terms)), license_scan.Template("long", " ".join(f"w{i % 90}" for i in range(200))))
+
+    def altered(words, cut, extra):
+        out = [w for w in words if r.random() > cut]
+        for _ in range(extra):
+            out.insert(r.randrange(len(out) + 1), r.choice(["so", "x", "the", "software"]))
+        return " ".join(out)
+
+    given = [TERMS, "before " * 40 + TERMS.lower() + " after" * 9, *(altered(terms, c, e) for c in (0, 0.01, 0.05, 0.2) for e in (0, 1, 4, 12)), " ".join(terms[80:] + terms[:80]), " ".join(terms[:140])]
+    given += [altered(t.words.split(), c, e) for t in license_scan.TEMPLATES for c, e in ((0, 1), (0.1, 0), (0.2, 2))]
+    given += [" ".join(f"w{i % 90}" for i in range(250)), "x " + " ".join(f"w{i % 90}" for i in range(1, 200)), None, *[t for t in texts if len(t) < 1500][:20]]
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for most in (license_scan.BROADCAST, 10):  # the table broadcast, and joined by shuffle
+        license_scan.BROADCAST, before = most, license_scan.BROADCAST
+        got = {x["doc_id"]: (x["labels"], x["score"]) for x in license_scan.scan(rows, templates=templates).collect()}
+        license_scan.BROADCAST = before
+        assert got == {i: brute_vote(t, templates) for i, t in enumerate(given)}
+    assert "terms" in got[0][0] and "terms" in got[1][0]
+
+
 def test_license_plan_is_native(spark):
     df = license_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
