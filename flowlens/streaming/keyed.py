@@ -12,9 +12,11 @@ only; the file limit of the source bounds them.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from decimal import Decimal
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,28 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    every = pd.concat(list(rows))
-    return every.sort_values(["ts_us", "row_id"]).itertuples(index=False)
+#: Rows of a frame that a processor hands over.
+FRAME_ROWS = 50_000
+
+
+def _columns_in_order(rows: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
+    """``(ts_us, row_id, *names)`` of a key's rows in order; equal texts are held once, other columns not at all."""
+    known: dict[str, str] = {}
+    kept: list[list] = [[] for _ in range(2 + len(names))]
+    for f in rows:
+        for values, c in zip(kept, ("ts_us", "row_id", *names)):
+            column = f[c]
+            if column.dtype.kind in "iufb":
+                values.append(column.to_numpy())
+            else:
+                others = np.empty(len(column), dtype=object)
+                others[:] = [known.setdefault(x, x) if isinstance(x, str) else None if isinstance(x, float) else x for x in column]
+                values.append(others)
+    kept = [np.concatenate(v) for v in kept]
+    order = np.lexsort((kept[1], kept[0]))
+    for i in range(0, len(order), FRAME_ROWS):
+        part = order[i : i + FRAME_ROWS]
+        yield from zip(*(v[part].tolist() for v in kept))
 
 
 def _watermarked(df: DataFrame, late: str) -> DataFrame:
@@ -78,14 +99,14 @@ class SequenceBuffer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buffer = [tuple(r) for r in self.recent.get()]
         out = []
-        for r in _in_order(rows):
-            if buffer and (buffer[-1][1] or r.ts_us - buffer[-1][0] > self.idle):
+        for ts, row_id, gone, vector in _columns_in_order(rows, "gone", "vector"):
+            if buffer and (buffer[-1][1] or ts - buffer[-1][0] > self.idle):
                 buffer = []
-            buffer.append((int(r.ts_us), bool(r.gone), [float(x) for x in r.vector]))
+            buffer.append((int(ts), bool(gone), [float(x) for x in vector]))
             buffer = buffer[-self.n :]
             full = len(buffer) == self.n
             phase = "scored" if full else f"warmup_{len(buffer)}/{self.n}"
-            out.append((*key, r.row_id, r.ts_us, len(buffer), phase, [list(b[2]) for b in buffer] if full else None))
+            out.append((*key, row_id, ts, len(buffer), phase, [list(b[2]) for b in buffer] if full else None))
         kept = buffer[-(self.n - 1) :] if self.n > 1 else []
         if kept:
             self.recent.put(kept)
@@ -122,6 +143,59 @@ _RANK = {"ATTACK": 2, "SUSPECT": 1}
 _NAMES = ("NORMAL", "SUSPECT", "ATTACK")
 
 
+class _Down(str):
+    """A text that sorts backwards."""
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
+class _Evidence:
+    """Evidence inside the hold window; its worst entry, peak score and signals without looking through it.
+
+    Entries expire by time, also where a late row came in between. The heaps drop an expired
+    entry when it gets to their top, or when most of their entries have expired.
+    """
+
+    def __init__(self, entries: Iterable[tuple]):
+        self.entries: dict[int, tuple] = {}
+        self.seen = self.signals = 0
+        self.by_time: list[tuple] = []
+        self.by_worst: list[tuple] = []
+        self.by_score: list[tuple] = []
+        for e in entries:
+            self.add(e)
+
+    def add(self, e: tuple) -> None:
+        ts, rank, score, category = e
+        n, self.seen = self.seen, self.seen + 1
+        self.entries[n] = e
+        self.signals += rank > 0
+        heappush(self.by_time, (ts, n))
+        heappush(self.by_worst, (-rank, score is None, -(score or 0.0), category is None, _Down(category or ""), n))
+        if score is not None:
+            heappush(self.by_score, (-score, n))
+
+    def expire(self, before: int) -> None:
+        while self.by_time and self.by_time[0][0] < before:
+            self.signals -= self.entries.pop(heappop(self.by_time)[1])[1] > 0
+
+    def _top(self, heap: list[tuple]) -> tuple | None:
+        if len(heap) > 2 * len(self.entries) + 64:
+            heap[:] = [x for x in heap if x[-1] in self.entries]
+            heapify(heap)
+        while heap and heap[0][-1] not in self.entries:
+            heappop(heap)
+        return self.entries[heap[0][-1]] if heap else None
+
+    def worst(self) -> tuple:
+        return self._top(self.by_worst)
+
+    def peak(self) -> float | None:
+        top = self._top(self.by_score)
+        return None if top is None else top[2]
+
+
 class RunStatus(StatefulProcessor):
     """Display status of a run. State: the evidence inside the hold window, and the last row with what it still owes.
 
@@ -158,13 +232,12 @@ class RunStatus(StatefulProcessor):
         times = [last[0] + self.hold] * last[3] + [last[0] + self.idle] * last[4]
         return _ms_after(min(times) + 1) if times else None
 
-    def _live(self, key, r, evidence: list[tuple]) -> tuple:
-        scores = [e[2] for e in evidence if e[2] is not None]
-        peak = max(scores, default=None)
-        worst = max(evidence, key=lambda e: (e[1], e[2] is not None, e[2] or 0.0, e[3] is not None, e[3] or ""))
-        own = _RANK.get(r.status, 0)
+    def _live(self, key, row: tuple, evidence: _Evidence) -> tuple:
+        ts, row_id, status, reason = row
+        peak, worst = evidence.peak(), evidence.worst()
+        own = _RANK.get(status, 0)
         hit = peak is not None and peak != 0 and (peak <= self.threshold if self.lower else peak >= self.threshold)
-        status, reason = _NAMES[own], r.reason
+        status = _NAMES[own]
         if worst[1] > own:
             status = _NAMES[worst[1]]
             if worst[3]:
@@ -173,28 +246,32 @@ class RunStatus(StatefulProcessor):
                 reason = "holding recent model evidence above threshold"
         elif own == 0 and hit:
             status, reason = "SUSPECT", "recent model score above threshold; confirming"
-        return (*key, r.row_id, r.ts_us, status, reason, "active", sum(e[1] > 0 for e in evidence), peak)
+        return (*key, row_id, ts, status, reason, "active", evidence.signals, peak)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        evidence = [tuple(e) for e in self.evidence.get()]
+        evidence = _Evidence(tuple(e) for e in self.evidence.get())
         last = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for r in _in_order(rows):
+        for ts, row_id, status, reason, score, category in _columns_in_order(rows, "status", "reason", "score", "category"):
             if last is not None:
-                due, last = self._due(key, last, r.ts_us)
+                due, last = self._due(key, last, ts)
                 out += due
-            score = None if pd.isna(r.score) else float(r.score)
-            evidence = [e for e in evidence if e[0] >= r.ts_us - self.hold]
-            evidence.append((int(r.ts_us), _RANK.get(r.status, 0), score, r.category))
-            live = self._live(key, r, evidence)
+            score = None if score is None or score != score else float(score)
+            evidence.expire(ts - self.hold)
+            evidence.add((int(ts), _RANK.get(status, 0), score, category))
+            live = self._live(key, (ts, row_id, status, reason), evidence)
             out.append(live)
             raised = live[len(self.keys) + 2] != "NORMAL" and self.hold < self.idle
-            last = (int(r.ts_us), int(r.row_id), score or 0.0, raised, True)
-        self.evidence.put(evidence)
+            last = (int(ts), int(row_id), score or 0.0, raised, True)
+            if len(out) >= FRAME_ROWS:
+                yield self._frame(out)
+                out = []
+        self.evidence.put(list(evidence.entries.values()))
         self.last.update(last)
         at = self._next_timer(last)
         _set_timer(self.handle, max(at, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = tuple(self.last.get()) if self.last.exists() else None
@@ -319,12 +396,12 @@ class ScopeWindows(StatefulProcessor):
             return cells[c]
 
         out = []
-        for r in _in_order(rows):
-            ts, rid = int(r.ts_us), int(r.row_id)
+        for ts, rid, port, seen, p, b in _columns_in_order(rows, "port", "seen", "p", "b"):
+            ts, rid = int(ts), int(rid)
             span = [x for c in range((ts - window) // wide, ts // wide + 1) if (x := cell(c)) is not None]
             own = ts // wide
             if kind == "scan":
-                cell(own, True).add(int(r.port), ts)
+                cell(own, True).add(int(port), ts)
                 changed.add(own)
                 span = span if cells[own] in span else [*span, cells[own]]
                 found = set().union(*(x.between(ts - window, ts) for x in span))
@@ -338,10 +415,10 @@ class ScopeWindows(StatefulProcessor):
                 out.append((rid, None, n, None, None, None))
                 continue
             parts = [x.between((ts - window, -(1 << 62)), (ts, rid)) for x in span]
-            n, p, b = (sum(x[i] for x in parts) for i in range(3))
-            out.append((rid, None, None, n, str(Decimal(p).scaleb(-9)), str(Decimal(b).scaleb(-9))))
-            if r.seen:
-                cell(own, True).add((ts, rid), int(r.p), int(r.b))
+            n, sum_p, sum_b = (sum(x[i] for x in parts) for i in range(3))
+            out.append((rid, None, None, n, str(Decimal(sum_p).scaleb(-9)), str(Decimal(sum_b).scaleb(-9))))
+            if seen:
+                cell(own, True).add((ts, rid), int(p), int(b))
                 changed.add(own)
         for c in changed:
             store.updateValue((c,), cells[c].state())
@@ -425,11 +502,11 @@ class ScopeCounters(StatefulProcessor):
         a, b = self.count.get() if self.count.exists() else (0, 0)
         out, last = [], 0
         flow = key[0] == "flow"
-        for r in _in_order(rows):
-            a = (0 if r.reset_a else a) + int(r.add_a)
-            b = (0 if r.reset_b else b) + int(r.add_b)
-            out.append((r.row_id, None, None, a) if flow else (r.row_id, a, b, None))
-            last = int(r.ts_us)
+        for ts, row_id, add_a, reset_a, add_b, reset_b in _columns_in_order(rows, "add_a", "reset_a", "add_b", "reset_b"):
+            a = (0 if reset_a else a) + int(add_a)
+            b = (0 if reset_b else b) + int(add_b)
+            out.append((row_id, None, None, a) if flow else (row_id, a, b, None))
+            last = int(ts)
         self.count.update((int(a), int(b)))
         if flow:
             _set_timer(self.handle, max(_ms_after(last + self.idle), timerValues.getCurrentWatermarkInMs() + 1))

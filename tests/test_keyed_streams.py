@@ -1,7 +1,9 @@
 """Streams on keyed state against the batch operators, over micro-batches of any cut."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,80 @@ def test_listener_adds_up_all_queries(spark):
         assert meters.of_query(q).rows_in == 30
     finally:
         spark.streams.removeListener(counters)
+
+
+class _State:
+    """List or value state of one key in memory."""
+
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return [] if self.rows is None else self.rows
+
+    def put(self, rows):
+        self.rows = rows
+
+    update = put
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getListState(self, name, _schema):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getListState
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def _statuses(batches, policy):
+    handle = _Handle()
+    out = []
+    for rows in batches:
+        processor = keyed.RunStatus(policy, ["run_id"])
+        processor.init(handle)
+        frame = pd.DataFrame(rows, columns=["row_id", "ts_us", "status", "reason", "score", "category"]).astype({"score": "float64"})
+        half = len(frame) // 2
+        for got in processor.handleInputRows(("r",), iter([frame[:half], frame[half:]]), handle):
+            out += got.itertuples(index=False, name=None)
+    return out, handle.states["evidence"].rows
+
+
+def test_a_run_with_many_rows_in_its_hold():
+    """Each row used to look through the evidence of the whole hold."""
+    n = 40_000
+    rows = [(i, 1_000 * i, ["NORMAL", "SUSPECT", "NORMAL"][i % 3], "why", (n - i) / n, "DDoS") for i in range(n)]
+    policy = Policy.from_dict({"threshold": 2.0, "alert_hold_seconds": 30.0, "runtime_idle_reset_s": 10**6})
+    began = time.process_time()
+    out, evidence = _statuses([rows], policy)
+    assert time.process_time() - began < 20
+    assert len(out) == n and len(evidence) == 30_001
+    assert out[-1][5:] == ("active", sum(i % 3 == 1 for i in range(n - 30_001, n)), 30_001 / n)
+
+
+def test_evidence_expires_around_late_rows():
+    r = random.Random(8)
+    late = [r.randrange(0, 400) for _ in range(300)]
+    entries = [(t, r.randrange(3), r.choice([None, 0.0, r.random()]), r.choice([None, "", "a", "b"])) for t in late]
+    fast, plain = keyed._Evidence([]), []
+    for e in entries:
+        fast.expire(e[0] - 40)
+        fast.add(e)
+        plain = [x for x in plain if x[0] >= e[0] - 40] + [e]
+        worst = max(plain, key=lambda e: (e[1], e[2] is not None, e[2] or 0.0, e[3] is not None, e[3] or ""))
+        assert list(fast.entries.values()) == plain and fast.signals == sum(x[1] > 0 for x in plain)
+        assert (fast.worst()[1], fast.worst()[3]) == (worst[1], worst[3])
+        assert fast.peak() == max((x[2] for x in plain if x[2] is not None), default=None)
