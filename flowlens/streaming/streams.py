@@ -32,6 +32,71 @@ def table_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.parquet(path)
 
 
+# --- state of many small keys -------------------------------------------------------
+
+#: Keys are dealt out to this many groups, each with the states of its keys: a call, its frames
+#: and its state cost as much for one key as for hundreds.
+BUCKETS = 512
+
+
+def _by_bucket(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    out: str,
+    fields: Sequence[tuple[str, str]],
+    fold: Callable[[tuple, list[tuple], tuple | None], tuple[tuple | None, list[tuple], int]],
+    buckets: int,
+) -> DataFrame:
+    """``fold(key, rows, last)`` over the rows of each key in a micro-batch, in order; ``rows`` are ``columns``.
+
+    It returns the key's state, what to emit and the time in ms at which silence frees the state. A state is
+    freed when the watermark has passed that time, and not in a micro-batch that has rows of its key.
+    ``_at`` is the watermarked time. NULL keys are keys.
+    """
+    names = [c.strip().split()[0] for c in out.split(",")]
+    wide = [n for n, t in ((c.strip().split()) for c in out.split(",")) if t == "bigint"]
+    types = ", ".join(f"{n} array<{t}>" for n, t in (("key", "string"), *fields, ("wake", "bigint")))
+
+    def step(_bucket, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {k: (last, wake) for k, *last, wake in zip(*state.get)} if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        groups: dict[str, list[tuple]] = {}
+        values: dict[str, tuple] = {}
+        if not state.hasTimedOut:
+            for f in batches:
+                lists = [f[c].astype(object).where(f[c].notna(), None).tolist() for c in keys] + [f[c].tolist() for c in columns]
+                for text, *row in zip(f["_key"].tolist(), *lists):
+                    rows = groups.get(text)
+                    if rows is None:
+                        rows = groups[text] = []
+                        values[text] = tuple(row[: len(keys)])
+                    rows.append(tuple(row[len(keys) :]))
+        emitted: list[tuple] = []
+        for text, (_, wake) in list(known.items()):
+            if text not in groups and wake < now:
+                del known[text]
+        for text, rows in groups.items():
+            rows.sort(key=lambda r: [(x != x, 0 if x != x else x) for x in r[:2]])  # nulls last
+            last = known.get(text)
+            kept, more, wake = fold(values[text], rows, None if last is None else tuple(last[0]))
+            emitted += more
+            if kept is not None:
+                known[text] = (list(kept), max(wake, now + 1))
+        if known:
+            state.update(tuple(map(list, zip(*((k, *last, wake) for k, (last, wake) in known.items())))))
+            state.setTimeoutTimestamp(max(min(wake for _, wake in known.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if emitted:
+            yield pd.DataFrame(emitted, columns=names).astype({n: "Int64" for n in wide})
+
+    text = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")
+    rows = df.withColumn("_key", text).select(bucket.alias("_bucket"), "_key", *keys, *columns, "_at")
+    return rows.groupBy("_bucket").applyInPandasWithState(step, out, types, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # --- flow tracker ------------------------------------------------------------------
 
 
@@ -41,6 +106,7 @@ def track_flows_stream(
     keys: Sequence[str] = FLOW_KEY,
     late: str = "1 hour",
     removed: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Emit-on-change observations of a stream of readings.
 
@@ -56,19 +122,11 @@ def track_flows_stream(
         "packet_rate double, byte_rate double, packet_delta double, byte_delta double, packet_rate_delta double, "
         "byte_rate_delta double, has_history boolean, gap_us bigint"
     )
-    state_type = "p double, b double, pr double, br double, emitted bigint, seen bigint, gone boolean"
-    names = [c.strip().split()[0] for c in out.split(",")]
+    fields = [("p", "double"), ("b", "double"), ("pr", "double"), ("br", "double"), ("emitted", "bigint"), ("seen", "bigint"), ("gone", "boolean")]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "row_id"])
+    def fold(key: tuple, rows: list[tuple], last: tuple | None) -> tuple[tuple | None, list[tuple], int]:
         kept = []
-        for rid, ts, p, b, d, gone in zip(
-            rows["row_id"], rows["ts_us"], rows["packet_count"], rows["byte_count"], rows["duration_s"], rows["_gone"]
-        ):
+        for ts, rid, p, b, d, gone in rows:
             if gone:
                 if last is not None:
                     last = (*last[:5], ts, True)
@@ -89,56 +147,37 @@ def track_flows_stream(
             gap = None if last is None else ts - last[4]
             kept.append((*key, rid, ts, p, b, d, pr, br, *delta, not fresh, gap))
             last = (p, b, pr, br, ts, ts, False)
-        if last is not None:
-            state.update(last)
-            wake = (last[5] + idle) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if kept:
-            yield pd.DataFrame(kept, columns=names).astype({"gap_us": "Int64"})
+        return last, kept, 0 if last is None else (last[5] + idle) // 1000 + 1
 
     gone = F.coalesce(F.col(removed), F.lit(False)) if removed else F.lit(False)
-    return (
-        df.withColumns({"_gone": gone, "_at": F.timestamp_micros("ts_us"), "duration_s": F.col("duration_s").cast("double")})
-        .withWatermark("_at", late)
-        .groupBy(*keys)
-        .applyInPandasWithState(step, out, state_type, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    rows = df.withColumns({"_gone": gone, "_at": F.timestamp_micros("ts_us"), "duration_s": F.col("duration_s").cast("double")})
+    columns = ["ts_us", "row_id", "packet_count", "byte_count", "duration_s", "_gone"]
+    return _by_bucket(rows.withWatermark("_at", late), keys, columns, out, fields, fold, buckets)
 
 
 # --- alerts ------------------------------------------------------------------------
 
 
-def alerts_stream(decisions: DataFrame, cooldown_s: float = 5.0, late: str = "1 hour") -> DataFrame:
+def alerts_stream(decisions: DataFrame, cooldown_s: float = 5.0, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """ATTACK rows of a stream, at most one per emit key and cool-down.
 
     The state of a key is freed once its cool-down has passed the watermark.
     """
     cool = _us(cooldown_s)
-    out = "emit_key string, row_id bigint, ts_us bigint"
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "row_id"])
+    def fold(key: tuple, rows: list[tuple], last: tuple | None) -> tuple[tuple | None, list[tuple], int]:
+        at = None if last is None else last[0]
         kept = []
-        for rid, ts in zip(rows["row_id"], rows["ts_us"]):
-            if last is None or ts - last >= cool:
-                kept.append((key[0], rid, ts))
-                last = ts
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + cool) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if kept:
-            yield pd.DataFrame(kept, columns=["emit_key", "row_id", "ts_us"])
+        for ts, rid in rows:
+            if at is None or ts - at >= cool:
+                kept.append((*key, rid, ts))
+                at = ts
+        return (at,), kept, (at + cool) // 1000 + 1
 
     key = F.when(F.coalesce("emit_key", F.lit("")) != "", F.col("emit_key")).otherwise(F.col("entity_key"))
-    return (
-        decisions.filter(F.upper("status") == "ATTACK")
-        .select(key.alias("emit_key"), "row_id", "ts_us", F.timestamp_micros("ts_us").alias("_at"))
-        .withWatermark("_at", late)
-        .groupBy("emit_key")
-        .applyInPandasWithState(step, out, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = decisions.filter(F.upper("status") == "ATTACK").select(key.alias("emit_key"), "row_id", "ts_us", F.timestamp_micros("ts_us").alias("_at"))
+    return _by_bucket(
+        rows.withWatermark("_at", late), ["emit_key"], ["ts_us", "row_id"], "emit_key string, row_id bigint, ts_us bigint", [("last", "bigint")], fold, buckets
     )
 
 
