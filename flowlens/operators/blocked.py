@@ -198,7 +198,7 @@ def with_recent(
     order: Sequence[str],
     row: Column,
     n: int,
-    block: Column,
+    block: Column | None,
     name: str = "recent",
     number: str | None = None,
     first: Column | None = None,
@@ -207,7 +207,17 @@ def with_recent(
 
     ``number`` also adds the 1-based row number along the key, ``first`` the
     value of an expression on the first row of the key (as ``first``).
+
+    Without a ``block`` a key is one window, in one shuffle: only for keys of few rows.
     """
+    if block is None:
+        part = Window.partitionBy(*keys).orderBy(*order)
+        cols = {name: F.collect_list(row).over(part.rowsBetween(-(n - 1), 0))}
+        if first is not None:
+            cols["first"] = F.first(first).over(part.rowsBetween(_FIRST, 0))
+        if number:
+            cols[number] = F.row_number().over(part).cast("long")
+        return df.withColumns(cols)
     df = _placed(df, keys, block).withColumn("_row", row)
     part = Window.partitionBy(KEY).orderBy(*order)
     local = df.withColumn("_arr", F.collect_list("_row").over(part.rowsBetween(-(n - 1), 0)))

@@ -27,12 +27,13 @@ def sequence_windows(
     keys: Sequence[str] = KEYS,
     scheme: str = DEFAULT_SCHEME,
     order: Sequence[str] = ORDER,
-    block_us: int = blocked.DAY_US,
+    block_us: int | None = blocked.DAY_US,
 ) -> DataFrame:
     """Windows of ``seq_len`` consecutive rows of a key, every ``stride`` rows.
 
     Identity columns come from the first row of the key.  ``window`` is an array of feature vectors, ``start_us`` / ``end_us`` its
     bounds; the label is voted and an attack row makes the window an attack.
+    ``block_us`` None: no key has more than a few rows, as the replay steps of one flow.
     """
     keys = list(keys)
     row = F.struct(
@@ -44,7 +45,7 @@ def sequence_windows(
     df = rows if "feature_vector" in rows.columns else with_feature_vector(rows, scheme)
     meta = [c for c in _META if c in df.columns and c not in keys]
     df = blocked.with_recent(
-        df, keys, order, row, seq_len, blocked.time_block(block_us),
+        df, keys, order, row, seq_len, None if block_us is None else blocked.time_block(block_us),
         name="_rows", number="_rn", first=F.struct(*meta) if meta else None,
     )
     start = F.col("_rn") - seq_len

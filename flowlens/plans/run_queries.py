@@ -266,7 +266,7 @@ def _(t):
 def _model_windows(t):
     """Replay windows with a row id and their hash split, staged for the fits."""
     replay = snapshots.expand_replay(t.flows(), 1.0, 6).withColumn("row_id", F.col("poll_step"))
-    w = windows.sequence_windows(replay, keys=["flow_key"], order=["ts_us", "poll_step"])
+    w = windows.sequence_windows(replay, keys=["flow_key"], order=["ts_us", "poll_step"], block_us=None)
     side = F.conv(F.substring(F.md5("flow_key"), 1, 2), 16, 10).cast("int")
     return stage(w.withColumn("split", F.when(side < 178, "train").otherwise("test")), "model-windows")
 

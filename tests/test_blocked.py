@@ -152,3 +152,15 @@ def test_sliding_windows_keep_rows_without_key_or_time(holes):
     assert out == {k: (len({x[3] for x in xs}),) for k, xs in each.items()}
     out = got(blocked.sliding_max(df, ["key"], {"m": F.col("v")}, width), "m")
     assert out == {k: (max(x[3] for x in xs),) for k, xs in each.items()}
+
+
+def test_keys_of_few_rows_need_one_shuffle(spark):
+    from flowlens.operators import windows
+
+    rows = [(f"k{i % 7}" if i % 7 else None, i, 3 * i, [float(i)], "Normal" if i % 3 else "DDoS", int(i % 3 == 0), f"f{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, row_id long, ts_us long, feature_vector array<double>, label string, is_attack long, flow_id string")
+    blocks = windows.sequence_windows(df, keys=["k"], block_us=10)
+    one = windows.sequence_windows(df, keys=["k"], block_us=None)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, blocks.collect())) and one.columns == blocks.columns
