@@ -337,6 +337,9 @@ class _Sums:
         else:  # a late row
             self._total()
 
+    def totals(self) -> tuple[int, int, int]:
+        return len(self.at), self.run_p[-1], self.run_b[-1]
+
     def between(self, lo: tuple[int, int], hi: tuple[int, int]) -> tuple[int, int, int]:
         i, j = bisect_left(self.at, lo), bisect_left(self.at, hi)
         return j - i, self.run_p[j] - self.run_p[i], self.run_b[j] - self.run_b[i]
@@ -395,27 +398,44 @@ class ScopeWindows(StatefulProcessor):
                 cells[c] = make()
             return cells[c]
 
+        inside: tuple = (None, None)
+
+        def inner(first: int, own: int) -> tuple | set:
+            """What the cells between those on the border hold: rows come in order, so it stands until a border moves."""
+            nonlocal inside
+            if inside[0] != (first, own):
+                found = [x for c in range(first + 1, own) if (x := cell(c)) is not None]
+                if kind == "scan":
+                    inside = (first, own), set().union(*(x.times for x in found))
+                else:
+                    parts = [x.totals() for x in found]
+                    inside = (first, own), tuple(sum(x[i] for x in parts) for i in range(3))
+            return inside[1]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["row_id", "ports", "tries", "n", "p", "b"]).astype({"ports": "Int64", "tries": "Int64", "n": "Int64"})
+
         out = []
         for ts, rid, port, seen, p, b in _columns_in_order(rows, "port", "seen", "p", "b"):
+            if len(out) >= FRAME_ROWS:
+                yield frame(out)
+                out = []
             ts, rid = int(ts), int(rid)
-            span = [x for c in range((ts - window) // wide, ts // wide + 1) if (x := cell(c)) is not None]
-            own = ts // wide
-            if kind == "scan":
-                cell(own, True).add(int(port), ts)
+            first, own = (ts - window) // wide, ts // wide
+            if kind != "service":  # the row itself counts
+                cell(own, True).add(*((int(port), ts) if kind == "scan" else ((ts, rid), 0, 0)))
                 changed.add(own)
-                span = span if cells[own] in span else [*span, cells[own]]
-                found = set().union(*(x.between(ts - window, ts) for x in span))
+            border = [x for c in ((first, own) if first < own else (own,)) if (x := cell(c)) is not None]
+            if kind == "scan":
+                found = inner(first, own).union(*(x.between(ts - window, ts) for x in border))
                 out.append((rid, len(found), None, None, None, None))
                 continue
-            if kind == "bfa":  # the row itself counts
-                cell(own, True).add((ts, rid), 0, 0)
-                changed.add(own)
-                span = span if cells[own] in span else [*span, cells[own]]
-                n = sum(x.between((ts - window, -(1 << 62)), (ts, rid + 1))[0] for x in span)
+            upto = (ts, rid) if kind == "service" else (ts, rid + 1)
+            parts = [inner(first, own), *(x.between((ts - window, -(1 << 62)), upto) for x in border)]
+            n, sum_p, sum_b = (sum(x[i] for x in parts) for i in range(3))
+            if kind == "bfa":
                 out.append((rid, None, n, None, None, None))
                 continue
-            parts = [x.between((ts - window, -(1 << 62)), (ts, rid)) for x in span]
-            n, sum_p, sum_b = (sum(x[i] for x in parts) for i in range(3))
             out.append((rid, None, None, n, str(Decimal(sum_p).scaleb(-9)), str(Decimal(sum_b).scaleb(-9))))
             if seen:
                 cell(own, True).add((ts, rid), int(p), int(b))
@@ -423,7 +443,7 @@ class ScopeWindows(StatefulProcessor):
         for c in changed:
             store.updateValue((c,), cells[c].state())
             self.handle.registerTimer(max(_ms_after((c + 1) * wide + window), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(out, columns=["row_id", "ports", "tries", "n", "p", "b"]).astype({"ports": "Int64", "tries": "Int64", "n": "Int64"})
+        yield frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         window = self.window_us[key[0]]

@@ -213,3 +213,75 @@ def test_evidence_expires_around_late_rows():
         assert list(fast.entries.values()) == plain and fast.signals == sum(x[1] > 0 for x in plain)
         assert (fast.worst()[1], fast.worst()[3]) == (worst[1], worst[3])
         assert fast.peak() == max((x[2] for x in plain if x[2] is not None), default=None)
+
+
+def test_flows_share_a_bounded_number_of_states(spark):
+    """Each flow used to cost a call and frames of its own; NULL keys are keys."""
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(120)]), i, 10_000_000 * (i + 1), float(r.randrange(6)), 0.0, 1.0, i % 11 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, row_id long, ts_us long, packet_count double, byte_count double, duration_s double, removed boolean")
+    df = df.withColumns({c: F.lit(6).cast("long") for c in ("src_port", "dst_port", "protocol")})
+    policy = Policy.from_dict({"idle_timeout_s": 900, "force_emit_after_s": 300})
+    show = lambda d: sorted(map(repr, d.filter("row_id >= 0").select("k", "row_id", "has_history", "packet_delta", "packet_rate_delta").collect()))
+    want = show(polls.track_flows(df, policy, ["k"], removed="removed"))
+    path = _parts(spark, df, [1_000_000_000, 3_500_000_000], {"row_id": F.lit(-1)})
+    sink = new_path(spark, "tracked")
+    out = streams.track_flows_stream(streams.table_stream(spark, path, 1), policy, ["k"], "1 second", "removed", buckets=8)
+    q = exports.stream_rows(out, sink, new_path(spark, "check"))
+    streams.run_to_end(q)
+    assert show(spark.read.parquet(sink)) == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8
+
+
+def test_alerts_share_a_bounded_number_of_states(spark):
+    r = random.Random(5)
+    rows = [(f"e{r.randrange(90)}", i, 1_000_000 * (1 + i // 2), "ATTACK") for i in range(500)]
+    df = spark.createDataFrame(rows, "entity_key string, row_id long, ts_us long, status string").withColumn("emit_key", F.lit(""))
+    want = sorted(x.row_id for x in alerts.emit_alerts(df, 60.0).collect())
+    path = _parts(spark, df, [90_000_000, 200_000_000], {"row_id": F.lit(-1)})
+    sink = new_path(spark, "alerts")
+    q = exports.stream_rows(streams.alerts_stream(streams.table_stream(spark, path, 1), 60.0, "1 second", buckets=8), sink, new_path(spark, "check"))
+    streams.run_to_end(q)
+    assert sorted(x.row_id for x in spark.read.parquet(sink).filter("row_id >= 0").collect()) == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8
+
+
+class _Cells(_State):
+    """Map state of one key in memory."""
+
+    def __init__(self):
+        self.cells = {}
+
+    def containsKey(self, c):
+        return c in self.cells
+
+    def getValue(self, c):
+        return self.cells[c]
+
+    def updateValue(self, c, value):
+        self.cells[c] = value
+
+
+def test_rows_of_a_scope_look_into_two_cells(monkeypatch):
+    """Each row used to look into all cells of its window."""
+    r = random.Random(6)
+    at = sorted(r.randrange(0, 400) for _ in range(300))
+    rows = [(t, i, r.randrange(5), r.random() < 0.7, str(r.randrange(9)), "1") for i, t in enumerate(at)]
+    looks = [0]
+    for cls in (keyed._Sums, keyed._Ports):
+        plain = cls.between
+        monkeypatch.setattr(cls, "between", lambda self, lo, hi, plain=plain: (looks.__setitem__(0, looks[0] + 1), plain(self, lo, hi))[1])
+    for kind in ("scan", "bfa", "service"):
+        handle = _Handle()
+        handle.getMapState = lambda name, *_, h=handle: h.states.setdefault(name, _Cells())
+        looks[0], got = 0, []
+        for part in (rows[:110], rows[110:]):
+            processor = keyed.ScopeWindows({kind: 160})
+            processor.init(handle)
+            frame = pd.DataFrame(part, columns=["ts_us", "row_id", "port", "seen", "p", "b"])
+            for f in processor.handleInputRows((kind, "x"), iter([frame]), handle):
+                got += [next(v for v in (x.ports, x.tries, x.n) if not pd.isna(v)) for x in f.itertuples()]
+        inside = lambda t: [x for x in rows if x[0] >= t[0] - 160 and x[:2] <= t[:2]]
+        want = {"scan": lambda t: len({x[2] for x in inside(t)}), "bfa": lambda t: len(inside(t)), "service": lambda t: sum(x[3] for x in inside(t) if x[:2] < t[:2])}[kind]
+        assert got == [want(t) for t in rows]
+        assert looks[0] <= 2 * len(rows)
