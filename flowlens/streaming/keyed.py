@@ -448,7 +448,8 @@ class ScopeWindows(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         window = self.window_us[key[0]]
         wide = max(1, window // CELLS)
-        done = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all that is behind the watermark at once: later timers then list few cells
+        done = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         store = self.ports if key[0] == "scan" else self.sums
         for (c,) in list(store.keys()):
             if (c + 1) * wide + window < done:
