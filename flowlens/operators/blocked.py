@@ -10,6 +10,10 @@ column and the work is done per ``(key, block)``:
 * windows that look back without bound (previous row, row numbers, running
   totals, streaks) add a *carry*: one small summary row per ``(key, block)``,
   folded over the blocks of the key and joined back on the same partitioning.
+  Only keys of more than ``KEY_ROWS`` rows are cut, as counted beforehand: a block
+  of a small key holds a row or two, and a summary for each would double the data.
+  Where no key is that large, a key is one window, in one shuffle, which windows
+  over the same key and order share.
 
 Block ids must not decrease along the order of the key.  A summary holds one row
 per non-empty block, so the fold over the blocks of a hot key stays small.
@@ -22,10 +26,14 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import stage
+
 BLOCK = "_block"
 KEY = "_k"
 DAY_US = 86_400_000_000
 _FIRST = Window.unboundedPreceding
+#: Rows of a key that one task may hold; larger keys are cut into blocks.
+KEY_ROWS = 250_000
 
 
 def time_block(block_us: int, ts: str = "ts_us") -> Column:
@@ -36,14 +44,26 @@ def _order(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    """Add the block and ``_k``, the key and block as one value.
+def _hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys of more than ``KEY_ROWS`` rows, staged; None where there are none.  The input is counted once."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    most = counts.agg(F.max("_c")).first()[0]
+    if most is None or most <= KEY_ROWS:
+        return None
+    return stage(counts.filter(F.col("_c") > KEY_ROWS).select(*keys), "hot-keys")
+
+
+def _placed(df: DataFrame, keys: Sequence[str], block: Column, hot: DataFrame) -> DataFrame:
+    """Add the block, NULL on keys that aren't hot, and ``_k``, the key and block as one value.
 
     A struct is never NULL and NULLs inside it are equal, so grouping, windows and
     the join of the carry treat NULL keys and NULL times as values like any other,
     and all of them share one partitioning.
     """
-    return df.withColumn(BLOCK, block).withColumn(KEY, F.struct(*keys, BLOCK))
+    # one row per KEY_ROWS rows at most
+    marks = F.broadcast(hot.select(F.struct(*keys).alias("_hk")))
+    df = df.withColumn(KEY, F.struct(*keys)).join(marks, F.col(KEY) == F.col("_hk"), "left")
+    return df.withColumn(BLOCK, F.when(F.col("_hk").isNotNull(), block)).drop("_hk").withColumn(KEY, F.struct(*keys, BLOCK))
 
 
 def _carry(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], over_blocks) -> DataFrame:
@@ -68,7 +88,14 @@ def ranked(
     total: str | None = "n",
 ) -> DataFrame:
     """Dense 1-based row number along ``order`` and the row count of the key."""
-    df = _placed(df, keys, block)
+    hot = _hot_keys(df, keys)
+    if hot is None:
+        part = Window.partitionBy(*keys)
+        cols = {number: F.row_number().over(part.orderBy(*order)).cast("long")}
+        if total:
+            cols[total] = F.count(F.lit(1)).over(part)
+        return df.withColumns(cols)
+    df = _placed(df, keys, block, hot)
     carry = _carry(
         df,
         keys,
@@ -92,23 +119,33 @@ def running_sums(
     order: Sequence[str],
     sums: Mapping[str, Column],
     block: Column,
+    least: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of ``sums`` along the order of each key."""
-    names = list(sums)
-    df = _placed(df, keys, block)
+    """Inclusive running sums of ``sums`` and minima of ``least`` along the order of each key."""
+    names, low = list(sums), dict(least or {})
+    hot = _hot_keys(df, keys)
+    if hot is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_FIRST, 0)
+        minima = {n: F.min(c).over(w) for n, c in low.items()}
+        return df.withColumns({n: F.coalesce(F.sum(sums[n]).over(w), F.lit(0)) for n in names} | minima)
+    df = _placed(df, keys, block, hot)
     w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(_FIRST, 0)
-    local = df.select("*", *[F.sum(sums[n]).over(w).alias(f"_l_{n}") for n in names])
+    running = {f"_l_{n}": F.sum(sums[n]) for n in names} | {f"_l_{n}": F.min(c) for n, c in low.items()}
+    local = df.select("*", *[c.over(w).alias(n) for n, c in running.items()])
     carry = _carry(
         df,
         keys,
-        {f"_s_{n}": F.sum(sums[n]) for n in names},
-        lambda before, *_: {f"_b_{n}": F.sum(f"_s_{n}").over(before) for n in names},
+        {f"_s_{n}": F.sum(sums[n]) for n in names} | {f"_s_{n}": F.min(c) for n, c in low.items()},
+        lambda before, *_: {f"_b_{n}": F.sum(f"_s_{n}").over(before) for n in names}
+        | {f"_b_{n}": F.min(f"_s_{n}").over(before) for n in low},
     )
     out = _join_back(local, carry)
     zero = F.lit(0)
     for n in names:
         out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_b_{n}"), zero))
-    return out.drop(BLOCK, *[f"_l_{n}" for n in names], *[f"_b_{n}" for n in names])
+    for n in low:
+        out = out.withColumn(n, F.least(f"_l_{n}", f"_b_{n}"))
+    return out.drop(BLOCK, *[f"_{x}_{n}" for n in [*names, *low] for x in "lb"])
 
 
 def running_since_reset(
@@ -123,15 +160,20 @@ def running_since_reset(
     A reset row starts the new span and its own ``add`` counts.
     """
     names = list(counters)
-    df = _placed(df, keys, block)
+    hot = _hot_keys(df, keys)
+    if hot is not None:
+        df = _placed(df, keys, block, hot)
     for n in names:
         add, reset = counters[n]
         df = df.withColumn(f"_a_{n}", F.coalesce(add.cast("long"), F.lit(0))).withColumn(f"_r_{n}", F.coalesce(reset, F.lit(False)))
     # running total less the total before the last reset: every counter shares one sort
-    w = Window.partitionBy(KEY).orderBy(*order).rowsBetween(_FIRST, 0)
+    part = Window.partitionBy(*keys) if hot is None else Window.partitionBy(KEY)
+    w = part.orderBy(*order).rowsBetween(_FIRST, 0)
     local = df.withColumns({f"_s_{n}": F.sum(f"_a_{n}").over(w) for n in names})
     base = {f"_b_{n}": F.last(F.when(F.col(f"_r_{n}"), F.col(f"_s_{n}") - F.col(f"_a_{n}")), ignorenulls=True).over(w) for n in names}
     local = local.withColumns(base).withColumns({f"_v_{n}": F.col(f"_s_{n}") - F.coalesce(f"_b_{n}", F.lit(0)) for n in names})
+    if hot is None:
+        return local.withColumnsRenamed({f"_v_{n}": n for n in names}).drop(*[f"_{x}_{n}" for n in names for x in "arsb"])
     last = _order(order)
     aggs = {f"_t_{n}": F.max_by(f"_v_{n}", last) for n in names} | {f"_h_{n}": F.bool_or(f"_r_{n}") for n in names}
     summary = local.groupBy(KEY).agg(*[c.alias(k) for k, c in aggs.items()])
@@ -156,7 +198,11 @@ def with_previous(
     block: Column,
 ) -> DataFrame:
     """``{new: source}``: value of ``source`` on the previous row of the key."""
-    df = _placed(df, keys, block)
+    hot = _hot_keys(df, keys)
+    if hot is None:
+        part = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({new: F.lag(src).over(part) for new, src in fields.items()})
+    df = _placed(df, keys, block, hot)
     row = F.struct(*[F.col(src).alias(new) for new, src in fields.items()])
     carry = _carry(
         df,
@@ -178,7 +224,11 @@ def with_next(
     block: Column,
 ) -> DataFrame:
     """``{new: source}``: value of ``source`` on the next row of the key."""
-    df = _placed(df, keys, block)
+    hot = _hot_keys(df, keys)
+    if hot is None:
+        part = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({new: F.lead(src).over(part) for new, src in fields.items()})
+    df = _placed(df, keys, block, hot)
     row = F.struct(*[F.col(src).alias(new) for new, src in fields.items()])
     carry = _carry(
         df,
@@ -210,7 +260,8 @@ def with_recent(
 
     Without a ``block`` a key is one window, in one shuffle: only for keys of few rows.
     """
-    if block is None:
+    hot = None if block is None else _hot_keys(df, keys)
+    if hot is None:
         part = Window.partitionBy(*keys).orderBy(*order)
         cols = {name: F.collect_list(row).over(part.rowsBetween(-(n - 1), 0))}
         if first is not None:
@@ -218,7 +269,7 @@ def with_recent(
         if number:
             cols[number] = F.row_number().over(part).cast("long")
         return df.withColumns(cols)
-    df = _placed(df, keys, block).withColumn("_row", row)
+    df = _placed(df, keys, block, hot).withColumn("_row", row)
     part = Window.partitionBy(KEY).orderBy(*order)
     local = df.withColumn("_arr", F.collect_list("_row").over(part.rowsBetween(-(n - 1), 0)))
     back = max(n - 1, 1)

@@ -44,6 +44,10 @@ def sequence_windows(
     )
     df = rows if "feature_vector" in rows.columns else with_feature_vector(rows, scheme)
     meta = [c for c in _META if c in df.columns and c not in keys]
+    if block_us is not None:
+        # the rows of each key are counted first
+        used = [*keys, *order, *meta, "ts_us", "label", "is_attack", "feature_vector"]
+        df = stage(df.select(*dict.fromkeys(used)), "sequence-rows")
     df = blocked.with_recent(
         df, keys, order, row, seq_len, None if block_us is None else blocked.time_block(block_us),
         name="_rows", number="_rn", first=F.struct(*meta) if meta else None,

@@ -92,16 +92,17 @@ def _poll_stats(src: DataFrame) -> DataFrame:
         F.expr(SPARK_US).alias("ts_us"),
         F.floor(F.col("value") / 20).cast("long").alias("_p"),
     ).withColumn("_period", F.floor(F.col("ts_us") / PERIOD_US).cast("long"))
+    base = base.filter("user_id IS NOT NULL AND _period IS NOT NULL")
     summed = blocked.running_sums(
         base,
         ["user_id", "_period"],
         ["ts_us", "event_id"],
         {"packet_count": F.col("_p"), "byte_count": F.col("_p") * (64 + F.col("event_id") % 1000)},
         blocked.time_block(blocked.DAY_US),
+        {"_start": F.col("ts_us")},
     )
-    start = base.groupBy("user_id", "_period").agg(F.min("ts_us").alias("_start"))
     u = F.col("user_id")
-    return summed.join(start, ["user_id", "_period"]).select(
+    return summed.select(
         F.col("event_id").alias("row_id"),
         (u % 3 + 1).alias("dpid"),
         F.concat(F.lit("10.0.0."), (u % 20).cast("string")).alias("src_ip"),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from flowlens.operators import features, polls
 from flowlens.plans import fixtures
 from flowlens.policy import Policy
-from flowlens.session import stage
+from flowlens.session import compile_wide, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        compile_wide(spark)
 
     def get(self, name: str) -> DataFrame:
         return fixtures.table(self.spark, self.sf_dir, name)

@@ -28,6 +28,11 @@ def local_session(cpus: int | str = 8, app: str = "flowlens", shuffle: int | Non
     )
 
 
+def compile_wide(spark: SparkSession) -> None:
+    """Have generated methods that the JVM would only interpret cut into compiled parts, also in a session of others."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 _TEST_DIRS: dict[str, str] = {}
 
 

@@ -164,3 +164,44 @@ def test_keys_of_few_rows_need_one_shuffle(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert sorted(map(repr, one.collect())) == sorted(map(repr, blocks.collect())) and one.columns == blocks.columns
+
+
+def plans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_keys_take_one_shuffle(data):
+    """No summaries of blocks where every key fits a task; windows of one key and order share the shuffle."""
+    df, _ = data
+    df = df.select("*")
+    block = blocked.time_block(BLOCK)
+    out = blocked.with_previous(df, ["key"], ORDER, {"p": "v"}, block)
+    out = blocked.running_since_reset(out, ["key"], ORDER, {"c": (F.lit(1), F.col("r"))}, block)
+    assert plans(out).count("Exchange hashpartitioning") == 1 and "Join" not in plans(out)
+
+
+def test_large_keys_are_cut(data, monkeypatch):
+    """Keys over the limit in blocks and the others whole give what all keys whole give; NULL keys and times are values."""
+    df, _ = data
+    nulls = df.limit(90).select(F.lit(None).cast("string").alias("key"), F.when(F.col("row_id") % 9 > 0, F.col("ts_us")).alias("ts_us"), (F.col("row_id") + 10_000).alias("row_id"), "v", "r")
+    df = df.unionByName(nulls)
+    block = blocked.time_block(BLOCK)
+
+    def results():
+        keys = ["key"]
+        frames = [
+            (blocked.ranked(df, keys, ORDER, block), ["rn", "n"]),
+            (blocked.running_sums(df, keys, ORDER, {"s": F.col("v")}, block, {"low": F.col("v"), "start": F.col("ts_us")}), ["s", "low", "start"]),
+            (blocked.running_since_reset(df, keys, ORDER, {"c": (F.col("v"), F.col("r"))}, block), ["c"]),
+            (blocked.with_previous(df, keys, ORDER, {"p": "v", "pt": "ts_us"}, block), ["p", "pt"]),
+            (blocked.with_next(df, keys, ORDER, {"p": "v", "pt": "ts_us"}, block), ["p", "pt"]),
+            (blocked.with_recent(df, keys, ORDER, F.col("row_id"), 4, block, number="k", first=F.col("row_id")), ["recent", "k", "first"]),
+        ]
+        return [got(f, *cols) for f, cols in frames], ["Join" in plans(f) for f, _ in frames]
+
+    whole, joined = results()
+    assert not any(joined)
+    monkeypatch.setattr(blocked, "KEY_ROWS", 60)
+    cut, joined = results()
+    assert all(joined)
+    assert cut == whole
