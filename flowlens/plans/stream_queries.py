@@ -22,8 +22,8 @@ from flowlens.streaming import keyed, meters, streams
 SLICES = 3
 
 
-def _sliced(df, keys, ts="ts_us", closing=None):
-    """Write ``df`` as files in time order; all rows of a key in a slice share a file.
+def _sliced(df, keys, ts="ts_us", closing=None, files=2):
+    """Write ``df`` as files in time order, ``files`` a slice; all rows of a key in a slice share a file.
 
     ``closing``: columns of one more row, written last and a day after the end, that moves
     the watermark past every real row.
@@ -34,7 +34,7 @@ def _sliced(df, keys, ts="ts_us", closing=None):
     step = (hi - lo) // SLICES + 1
     for i in range(SLICES):
         part = df.filter((F.col(ts) >= lo + i * step) & (F.col(ts) < lo + (i + 1) * step))
-        part.repartition(2, *keys).write.mode("append").parquet(path)
+        part.repartition(files, *keys).write.mode("append").parquet(path)
     if closing:
         end = {ts: F.lit(hi + DAY).cast("long"), **closing}
         last = df.limit(1).select(*[(end[c].cast(t) if c in end else F.col(c)).alias(c) for c, t in df.dtypes])
@@ -86,8 +86,8 @@ def _(t):
 @query("x4_rolling_sequences_stream", ORACLES["x4_rolling_sequences"])
 def _(t):
     """Warm-up phases, windows and idle restarts over several micro-batches."""
-    path = _sliced(with_feature_vector(t.obs()).drop("ts"), polls.FLOW_KEY)
-    df = keyed.rolling_sequences_stream(streams.table_stream(t.spark, path, 2), 4, idle_timeout_s=P.idle_timeout_s)
+    path = _sliced(with_feature_vector(t.obs()).select(*polls.FLOW_KEY, "row_id", "ts_us", "feature_vector"), polls.FLOW_KEY, files=12)
+    df = keyed.rolling_sequences_stream(streams.table_stream(t.spark, path, 12), 4, idle_timeout_s=P.idle_timeout_s)
     at = lambda i: F.get(F.get("window", F.lit(i)), F.lit(0))
     return _to_table(df, "sequences").select("row_id", "phase", at(0).alias("oldest"), at(3).alias("newest"))
 

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from flowlens.functions import scalars as S
@@ -28,6 +29,7 @@ from flowlens.operators.alerts import RELEASED
 from flowlens.operators.polls import FLOW_KEY
 from flowlens.policy import Policy
 from flowlens.sources.exports import stream_once
+from flowlens.streaming.streams import BUCKETS
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -87,35 +89,51 @@ def _set_timer(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
 
 
 class SequenceBuffer(StatefulProcessor):
-    """The last ``n - 1`` vectors of a live flow; freed by a timer after the idle time."""
+    """The last ``n - 1`` vectors of each live flow of a bucket; a timer frees them after the idle time."""
 
-    def __init__(self, n: int, idle_us: int, keys: Sequence[str]):
-        self.n, self.idle, self.keys = n, idle_us, list(keys)
+    def __init__(self, n: int, idle_us: int):
+        self.n, self.idle = n, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "ts_us bigint, gone boolean, vector array<double>")
+        self.recent = handle.getListState("recent", "flow string, ts_us bigint, gone boolean, vector array<double>")
+
+    def _buffers(self) -> dict[str, list[tuple]]:
+        buffers: dict[str, list[tuple]] = {}
+        for flow, *entry in self.recent.get():
+            buffers.setdefault(flow, []).append(tuple(entry))
+        return buffers
+
+    def _keep(self, buffers: dict[str, list[tuple]], now_ms: int) -> None:
+        """Hold what can still count behind the watermark; the timer is that of the next flow to be freed."""
+        live = {k: b[-(self.n - 1) :] for k, b in buffers.items() if self.n > 1 and _ms_after(b[-1][0] + self.idle) > now_ms}
+        if live:
+            self.recent.put([(k, ts, gone, [float(x) for x in vector]) for k, b in live.items() for ts, gone, vector in b])
+            _set_timer(self.handle, min(_ms_after(b[-1][0] + self.idle) for b in live.values()))
+        else:
+            self.recent.clear()
+            _set_timer(self.handle, None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buffer = [tuple(r) for r in self.recent.get()]
+        buffers = self._buffers()
         out = []
-        for ts, row_id, gone, vector in _columns_in_order(rows, "gone", "vector"):
+        names = ["flow", "row_id", "ts_us", "buffered", "phase", "window"]
+        for ts, row_id, flow, gone, vector in _columns_in_order(rows, "flow", "gone", "vector"):
+            buffer = buffers.get(flow, [])
             if buffer and (buffer[-1][1] or ts - buffer[-1][0] > self.idle):
                 buffer = []
-            buffer.append((int(ts), bool(gone), [float(x) for x in vector]))
-            buffer = buffer[-self.n :]
+            buffer = buffers[flow] = [*buffer, (int(ts), bool(gone), vector)][-self.n :]
             full = len(buffer) == self.n
             phase = "scored" if full else f"warmup_{len(buffer)}/{self.n}"
-            out.append((*key, row_id, ts, len(buffer), phase, [list(b[2]) for b in buffer] if full else None))
-        kept = buffer[-(self.n - 1) :] if self.n > 1 else []
-        if kept:
-            self.recent.put(kept)
-            # timers of the past would never fire
-            _set_timer(self.handle, max(_ms_after(buffer[-1][0] + self.idle), timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(out, columns=[*self.keys, "row_id", "ts_us", "buffered", "phase", "window"])
+            out.append((flow, row_id, ts, len(buffer), phase, [b[2] for b in buffer] if full else None))
+            if len(out) == FRAME_ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        self._keep(buffers, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
+        self._keep(self._buffers(), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def close(self) -> None:
@@ -124,17 +142,21 @@ class SequenceBuffer(StatefulProcessor):
 
 def rolling_sequences_stream(
     df: DataFrame, n: int = 4, vector: str = "feature_vector", keys: Sequence[str] = FLOW_KEY, idle_timeout_s: float = 120.0,
-    removed: str | None = None, late: str = "1 hour",
+    removed: str | None = None, late: str = "1 hour", buckets: int = BUCKETS,
 ) -> DataFrame:
     """``rolling_sequences`` of a stream: one row per row, ``window`` once the buffer is full.
 
-    A silence above the time-out or a removal empties the buffer.
+    A silence above the time-out or a removal empties the buffer. Flows are dealt out to
+    ``buckets``, each with the buffers of its flows: one list state and one timer.
     """
     gone = F.coalesce(F.col(removed), F.lit(False)) if removed else F.lit(False)
-    rows = _watermarked(df, late).select(*keys, "row_id", "ts_us", "_at", gone.alias("gone"), F.col(vector).alias("vector"))
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{types}, row_id bigint, ts_us bigint, buffered int, phase string, window array<array<double>>"
-    return rows.groupBy(*keys).transformWithStateInPandas(SequenceBuffer(n, _us(idle_timeout_s), keys), schema, "Append", "EventTime")
+    flow = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = _watermarked(df, late).select(flow.alias("flow"), "row_id", "ts_us", "_at", gone.alias("gone"), F.col(vector).alias("vector"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("flow"), F.lit(buckets)).cast("int"))
+    schema = "flow string, row_id bigint, ts_us bigint, buffered int, phase string, window array<array<double>>"
+    found = rows.groupBy("_bucket").transformWithStateInPandas(SequenceBuffer(n, _us(idle_timeout_s)), schema, "Append", "EventTime")
+    types = T.StructType([df.schema[k] for k in keys])
+    return found.select(F.from_json("flow", types).alias("_k"), "*").select("_k.*", "row_id", "ts_us", "buffered", "phase", "window")
 
 
 # --- run status ------------------------------------------------------------------------

@@ -285,3 +285,21 @@ def test_rows_of_a_scope_look_into_two_cells(monkeypatch):
         want = {"scan": lambda t: len({x[2] for x in inside(t)}), "bfa": lambda t: len(inside(t)), "service": lambda t: sum(x[3] for x in inside(t) if x[:2] < t[:2])}[kind]
         assert got == [want(t) for t in rows]
         assert looks[0] <= 2 * len(rows)
+
+
+def test_sequences_share_a_bounded_number_of_states(spark):
+    """Each flow used to cost calls, frames and a timer of its own; NULL keys are keys."""
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(120)]), r.choice(["a", None]), i, 10_000_000 * (i + 1), [float(i), 0.5], i % 11 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, s string, row_id long, ts_us long, feature_vector array<double>, gone boolean")
+    show = lambda d: sorted(map(repr, d.filter("row_id >= 0").select("k", "s", "row_id", "buffered", "phase", "window").collect()))
+    want = show(polls.rolling_sequences(df, 3, keys=["k", "s"], idle_timeout_s=900.0, removed="gone"))
+    path = _parts(spark, df, [1_000_000_000, 3_500_000_000], {"row_id": F.lit(-1)})
+    sink = new_path(spark, "sequences")
+    out = keyed.rolling_sequences_stream(streams.table_stream(spark, path, 1), 3, keys=["k", "s"], idle_timeout_s=900.0, removed="gone", late="1 second", buckets=8)
+    q = exports.stream_rows(out, sink, new_path(spark, "check"))
+    streams.run_to_end(q)
+    assert show(spark.read.parquet(sink)) == want
+    # one list and its length a bucket
+    calls = [p["stateOperators"][0]["customMetrics"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(m["numRegisteredTimers"] for m in calls) <= 3 * 8
