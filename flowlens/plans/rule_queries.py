@@ -215,8 +215,8 @@ _DCOLS = ["status", "severity", "hit_count", "emit_key", "decision_source", "cat
 
 
 def _decided(t):
-    """Decisions over the scored observations, staged as a table."""
-    return rules.decide(_obs_score(t), P)
+    """Decisions over the scored observations; the records show no columns but those that decisions read."""
+    return rules.decide(_obs_score(t).select(*rules.DECISION_COLUMNS), P)
 
 
 def _reason_head():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import scalars as S
 from flowlens.operators import alerts, features, metrics, polls, quantiles, rules, scaling, snapshots, windows
 from flowlens.policy import BUNDLE_POLICY, DEPLOYMENT_POLICY, Policy, feature_names, feature_weights
+from flowlens.session import stage
 
 SEC = 1_000_000
 
@@ -260,3 +261,25 @@ def test_unscored_rows_are_left_out_of_binary_metrics(spark):
     df = spark.createDataFrame([(1, 0.9), (1, None), (0, 0.1)], "is_attack int, score double")
     r = metrics.binary_metrics(df, 0.5).first()
     assert (r.tp, r.fp, r.fn, r.recall) == (1, 0, 0, 1.0)
+
+
+def test_decisions_stage_and_sort_numbers_only(spark, monkeypatch):
+    staged = {}
+
+    def record(df, name="stage", partition_by=None):
+        staged[name] = df.columns
+        return stage(df, name, partition_by)
+
+    monkeypatch.setattr(rules, "stage", record)
+    p = Policy(bfa_attempt_threshold=1, scan_unique_ports=1, threshold=0.5, min_alert_hits=2)
+    rows = [obs_row(i, i, src="10.0.0.1", score=0.6 if i < 3 else None) for i in range(1, 5)]
+    wide = obs(spark, rows).withColumns({"gap_us": F.lit(None).cast("long"), "note": F.concat(F.lit("n"), F.col("row_id"))})
+    kept = rules.decide(wide, p)
+    assert {r.row_id: r.note for r in kept.collect()} == {i: f"n{i}" for i in range(1, 5)}
+    out = rules.decide(wide.select(*rules.DECISION_COLUMNS), p)
+    assert set(staged["observations"]) == set(rules.DECISION_COLUMNS)
+    assert not {"scan", "bfa", "supports", "note"} & set(staged["rule-windows"])
+    assert sorted(map(str, out.collect())) == sorted(map(str, kept.select(*out.columns).collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # texts of supports are made above the last window, not below it
+    assert plan.index("scan support: ") < plan.index("Window ")
