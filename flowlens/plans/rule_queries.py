@@ -214,9 +214,14 @@ piece("decided", ("supported",), f"""SELECT *, CASE WHEN score IS NULL THEN CASE
 _DCOLS = ["status", "severity", "hit_count", "emit_key", "decision_source", "category"]
 
 
-def _decided(t):
-    """Decisions over the scored observations; the records show no columns but those that decisions read."""
-    return rules.decide(_obs_score(t).select(*rules.DECISION_COLUMNS), P)
+def _decided(t, *columns):
+    """Decisions over the scored observations; the records show no columns but those that decisions read.
+
+    With ``columns``, those of a staged table: a filter on a decision would otherwise be pushed below the
+    projections that make it, where all of them are worked out a second time, nested into one expression.
+    """
+    df = rules.decide(_obs_score(t).select(*rules.DECISION_COLUMNS), P)
+    return stage(df.select(*columns), "decisions") if columns else df
 
 
 def _reason_head():
@@ -254,7 +259,7 @@ def _(t):
 
 @query("r9_emit_decisions", with_pieces("decided", "SELECT row_id FROM walk WHERE emit", emit_sql("(SELECT * FROM decided WHERE status = 'ATTACK')", "emit_key", COOL)))
 def _(t):
-    df = stage(_decided(t).select("row_id", "ts_us", "status", "emit_key", "entity_key"), "decisions")
+    df = _decided(t, "row_id", "ts_us", "status", "emit_key", "entity_key")
     return alerts.emit_alerts(df, P.alert_cooldown_seconds).select("row_id")
 
 
@@ -264,9 +269,10 @@ _AR = ["row_id", "ts_us", "entity_key", "status", "severity", "block", "model_hi
 @query("r10_alert_rows", with_pieces("decided", """SELECT row_id, ts_us, entity_key, emit_key, round(coalesce(score, 0), 6) AS anomaly_score, status, severity, severity = 'high' AS block,
  coalesce(score >= 0.5, false) AS model_hit, category, array_to_string(sources, ',') AS support_sources, 0.5::DOUBLE AS threshold FROM decided WHERE status = 'ATTACK'"""))
 def _(t):
-    df = alerts.alert_rows(_decided(t).filter(F.col("status") == "ATTACK"))
-    return df.select("row_id", "ts_us", "entity_key", "emit_key", "anomaly_score", "status", "severity", "block", "model_hit", "category",
-                     "support_sources", "threshold")
+    shown = ["row_id", "ts_us", "entity_key", "emit_key", "anomaly_score", "status", "severity", "block", "model_hit", "category",
+             "support_sources", "threshold"]
+    decided = _decided(t, "score", *[c for c in shown if c != "anomaly_score"])
+    return alerts.alert_rows(decided.filter(F.col("status") == "ATTACK")).select(*shown)
 
 
 @query("r10_score_rows", with_pieces("decided", """SELECT row_id, ts_us, entity_key, round(score, 6) AS score, 0.5::DOUBLE AS threshold, status, 'scored' AS phase, severity, category, '' AS label, '' AS source_file,
@@ -279,7 +285,7 @@ def _(t):
 
 @query("r11_block_candidates", with_pieces("decided", "SELECT DISTINCT src_ip FROM decided WHERE status = 'ATTACK' AND severity = 'high'"))
 def _(t):
-    return alerts.block_candidates(_decided(t))
+    return alerts.block_candidates(_decided(t, "src_ip", "block"))
 
 
 # --- tracking ------------------------------------------------------------------------------

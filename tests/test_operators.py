@@ -1,5 +1,6 @@
 """Edge cases of the operators on small literal frames."""
 
+import datetime
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import scalars as S
 from flowlens.operators import alerts, features, metrics, polls, quantiles, rules, scaling, snapshots, windows
+from flowlens.plans import queries
 from flowlens.policy import BUNDLE_POLICY, DEPLOYMENT_POLICY, Policy, feature_names, feature_weights
 from flowlens.session import stage
 
@@ -283,3 +285,16 @@ def test_decisions_stage_and_sort_numbers_only(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # texts of supports are made above the last window, not below it
     assert plan.index("scan support: ") < plan.index("Window ")
+
+
+@pytest.mark.parametrize("name", ["r10_alert_rows", "r11_block_candidates"])
+def test_filters_on_decisions_read_a_table(spark, tmp_path, name):
+    """A filter by status or block is not worked out anew, nested, below the decision."""
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 5, i % 24), i % 7, "click", float(i % 90), '{"k": 5}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "support" not in plan.replace("support_sources", "")
+    assert out.count()
